@@ -18,6 +18,14 @@ DOCUMENT_PREFIX = "document: "
 INSTRUCTION_SEPARATOR = "!@#$%^&*()"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Computes a value once and gives it to `body`.
+
+    A plain expression inside a lambda would be computed again for every element of the array it runs over.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of letters and digits, in order."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
@@ -42,11 +50,8 @@ def has_answer(text: Column, answers: Column, regex: bool = False) -> Column:
     """True if the text holds one of the answers as a token run, or matches one as a pattern."""
     if regex:
         return F.exists(answers, lambda a: text.rlike(F.concat(F.lit("(?iu)"), a)))
-    whole = answer_form(text)
-    return F.exists(
-        F.filter(F.transform(answers, answer_form), lambda a: F.length(a) > 2),
-        lambda a: F.contains(whole, a),
-    )
+    forms = F.filter(F.transform(answers, answer_form), lambda a: F.length(a) > 2)
+    return let(answer_form(text), lambda whole: F.exists(forms, lambda a: F.contains(whole, a)))
 
 
 class WordTokenizer:
@@ -190,6 +195,10 @@ def bio_spans(tags: Column) -> Column:
 
     Starts and ends are listed in order, and spans do not overlap, so the n-th start belongs to the n-th end.
     """
+    return let(tags, _spans)
+
+
+def _spans(tags: Column) -> Column:
     size = F.size(tags)
     at = lambda i: F.when((i >= 1) & (i <= size), F.element_at(tags, F.greatest(F.least(i, size), F.lit(1)))).otherwise("O")
     kind = lambda tag: F.substr(tag, F.lit(3))

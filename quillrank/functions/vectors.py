@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillrank.functions.text import let
+
 
 def steady(score: Column, digits: int = 9) -> Column:
     """Score to a fixed number of digits, so that ties do not depend on the order of a float sum."""
@@ -29,5 +31,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return let(norm(a), scaled)

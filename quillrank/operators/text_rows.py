@@ -13,6 +13,7 @@ from quillrank.operators.placement import running_total, spread_join
 PASSAGE = T.StructType(
     [T.StructField("docid", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]
 )
+IGNORED = -100
 SCORED_PASSAGE = T.StructType(PASSAGE.fields + [T.StructField("score", T.DoubleType())])
 
 
@@ -164,11 +165,11 @@ def cap_words(df: DataFrame, cap: int, text: str = "text", count_tokens=None) ->
     Words by blanks are the default tokens, and then one cut is enough. `count_tokens` maps a list of texts to
     their token counts and runs on Arrow batches.
     """
-    words = F.filter(F.split(F.col(text), r"\s+", -1), lambda w: F.length(w) > 0)
     if count_tokens is None:
-        kept = F.floor(F.size(words) * (F.lit(float(cap)) / F.size(words))).cast("int")
-        short = F.array_join(F.slice(words, F.lit(1), kept), " ")
-        return df.withColumn(text, F.when(F.size(words) > cap, short).otherwise(F.col(text)))
+        words = F.filter(F.split(F.col(text), r"\s+", -1), lambda w: F.length(w) > 0)
+        kept = lambda w: F.floor(F.size(w) * (F.lit(float(cap)) / F.size(w))).cast("int")
+        short = lambda w: F.array_join(F.slice(w, F.lit(1), kept(w)), " ")
+        return df.withColumn(text, tx.let(words, lambda w: F.when(F.size(w) > cap, short(w)).otherwise(F.col(text))))
 
     @F.pandas_udf(T.StringType())
     def shrink(texts: pd.Series) -> pd.Series:
@@ -223,22 +224,20 @@ def align_labels(word_ids: Column, labels: Column, mode: str = "same_token") ->
 
     `word_ids` counts words from 0 and is null for special tokens. In next_token mode labels move left by one.
     """
-    place = F.sequence(F.lit(1), F.size(word_ids))
-    fresh = lambda w, i: w.isNotNull() & ((i == 1) | ~w.eqNullSafe(F.element_at(word_ids, F.greatest(i - 1, F.lit(1)))))
-    ids = F.zip_with(
-        word_ids,
-        place,
-        lambda w, i: F.when(fresh(w, i), F.element_at(labels, F.coalesce(w, F.lit(0)).cast("int") + 1)).otherwise(F.lit(-100)),
-    )
-    ids = F.when(F.size(word_ids) > 0, ids).otherwise(F.array().cast("array<int>"))
-    if mode == "same_token":
-        return ids
-    if mode != "next_token":
+    if mode not in ("same_token", "next_token"):
         raise ValueError(f"unknown mode {mode}")
-    return F.slice(F.concat(ids, F.array(F.lit(-100))), F.lit(2), F.size(ids))
+    same = tx.let(F.struct(word_ids.alias("w"), labels.alias("l")), lambda p: _first_pieces(p["w"], p["l"]))
+    if mode == "same_token":
+        return same
+    return tx.let(same, lambda ids: F.slice(F.concat(ids, F.array(F.lit(IGNORED))), F.lit(2), F.size(ids)))
+
+
+def _first_pieces(word_ids: Column, labels: Column) -> Column:
+    fresh = lambda w, i: w.isNotNull() & ((i == 0) | ~w.eqNullSafe(F.get(word_ids, i - 1)))
+    return F.transform(word_ids, lambda w, i: F.when(fresh(w, i), F.get(labels, w.cast("int"))).otherwise(F.lit(IGNORED)))
 
 
 def shift_word_ids(word_ids: Column) -> Column:
     """Word ids that go with next_token labels; -1 marks special tokens."""
     marked = F.transform(word_ids, lambda w: F.coalesce(w, F.lit(-1)))
-    return F.slice(F.concat(marked, F.array(F.lit(-1))), F.lit(2), F.size(marked))
+    return F.slice(F.concat(marked, F.array(F.lit(-1))), F.lit(2), F.size(word_ids))

@@ -180,11 +180,12 @@ def pack_tokens(
     sized = grouped.withColumn("_from", start).where(F.size("_t") > 0)
     first = F.floor(F.col("_from") / length).cast("long")
     last = F.floor((F.col("_from") + F.size("_t") - 1) / length).cast("long")
-    cut = sized.withColumn("chunk", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("chunk") * length - F.col("_from"), F.lit(0))
-    high = F.least((F.col("chunk") + 1) * length - F.col("_from"), F.size("_t").cast("long"))
-    piece = F.slice("_t", (low + 1).cast("int"), (high - low).cast("int"))
-    pieces = cut.select("batch", "chunk", F.struct(F.col("_i").alias("i"), piece.alias("p")).alias("_p"))
+    low = lambda c: F.greatest(c * length - F.col("_from"), F.lit(0))
+    high = lambda c: F.least((c + 1) * length - F.col("_from"), F.size("_t").cast("long"))
+    piece = lambda c: F.slice("_t", (low(c) + 1).cast("int"), (high(c) - low(c)).cast("int"))
+    cut = F.transform(F.sequence(first, last), lambda c: F.struct(c.alias("chunk"), piece(c).alias("p")))
+    exploded = sized.select("batch", "_i", F.explode(cut).alias("_c"))
+    pieces = exploded.select("batch", "_c.chunk", F.struct(F.col("_i").alias("i"), F.col("_c.p").alias("p")).alias("_p"))
     packed = pieces.groupBy("batch", "chunk").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
     joined = packed.select("batch", "chunk", F.flatten(F.transform("_p", lambda p: p["p"])).alias(tokens))
     return joined.where(F.size(tokens) == length)

@@ -238,7 +238,7 @@ def _(spark, d):
 
 
 WORDS_SQL = (
-    "(SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS at FROM "
+    "(SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS idx FROM "
     f"(SELECT doc_id, {t.sql_words('text')} AS w FROM documents))"
 )
 
@@ -250,7 +250,7 @@ def _words(spark, d):
 @query(
     "m15_shifted_accuracy",
     "SELECT round(avg(CASE WHEN p = l THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS places FROM (SELECT length(tok) AS p, "
-    f"lead(CASE WHEN length(tok) <= 2 THEN -100 ELSE length(tok) END) OVER (PARTITION BY doc_id ORDER BY at) AS l FROM {WORDS_SQL}) WHERE l <> -100",
+    f"lead(CASE WHEN length(tok) <= 2 THEN -100 ELSE length(tok) END) OVER (PARTITION BY doc_id ORDER BY idx) AS l FROM {WORDS_SQL}) WHERE l <> -100",
 )
 def _(spark, d):
     rows = _words(spark, d).select(
@@ -283,8 +283,10 @@ def _kinds(long: int):
 
 
 def _bio(words: str, long: int):
-    kind = _kinds(long)
-    kinds = F.transform(words, kind)
+    return tx.let(F.transform(words, _kinds(long)), _tags)
+
+
+def _tags(kinds):
     lead = lambda k, i: F.when((i > 0) & k.eqNullSafe(F.get(kinds, i - 1)), F.lit("I-")).otherwise(F.lit("B-"))
     return F.transform(kinds, lambda k, i: F.when(k.isNull(), F.lit("O")).otherwise(F.concat(lead(k, i), k)))
 
@@ -292,11 +294,11 @@ def _bio(words: str, long: int):
 def _sql_spans(name: str, long: int) -> str:
     kind = f"CASE WHEN regexp_matches(tok, '{CAPITAL}') THEN 'NAME' WHEN length(tok) >= {long} THEN 'LONG' END"
     return (
-        f"{name}_k AS (SELECT doc_id, at, {kind} AS kind FROM words), "
-        f"{name}_f AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY at) THEN 0 ELSE 1 END AS fresh FROM {name}_k), "
-        f"{name}_t AS (SELECT *, CASE WHEN kind IS NULL THEN 'O' WHEN fresh = 1 OR at = 1 THEN 'B-' || kind ELSE 'I-' || kind END AS tag, "
-        f"sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM {name}_f), "
-        f"{name} AS (SELECT doc_id, kind, min(at) AS a, max(at) AS b FROM {name}_t WHERE kind IS NOT NULL GROUP BY doc_id, kind, island)"
+        f"{name}_k AS (SELECT doc_id, idx, {kind} AS kind FROM words), "
+        f"{name}_f AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS fresh FROM {name}_k), "
+        f"{name}_t AS (SELECT *, CASE WHEN kind IS NULL THEN 'O' WHEN fresh = 1 OR idx = 1 THEN 'B-' || kind ELSE 'I-' || kind END AS tag, "
+        f"sum(fresh) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM {name}_f), "
+        f"{name} AS (SELECT doc_id, kind, min(idx) AS a, max(idx) AS b FROM {name}_t WHERE kind IS NOT NULL GROUP BY doc_id, kind, island)"
     )
 
 
@@ -305,7 +307,7 @@ def _sql_spans(name: str, long: int) -> str:
     f"WITH words AS (SELECT * FROM {WORDS_SQL}), {_sql_spans('gold', 9)}, {_sql_spans('pred', 8)}, "
     "c AS (SELECT (SELECT count(*) FROM gold JOIN pred USING (doc_id, kind, a, b)) AS hit, (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p) "
     "SELECT round(hit / p, 6) AS precision, round(hit / g, 6) AS recall, round(2.0 * hit / (p + g), 6) AS f1, "
-    "round((SELECT avg(CASE WHEN x.tag = y.tag THEN 1.0 ELSE 0.0 END) FROM gold_t x JOIN pred_t y USING (doc_id, at)), 6) AS accuracy, g AS entities FROM c",
+    "round((SELECT avg(CASE WHEN x.tag = y.tag THEN 1.0 ELSE 0.0 END) FROM gold_t x JOIN pred_t y USING (doc_id, idx)), 6) AS accuracy, g AS entities FROM c",
 )
 def _(spark, d):
     rows = _words(spark, d).select(_bio("w", 8).alias("predicted"), _bio("w", 9).alias("actual"))

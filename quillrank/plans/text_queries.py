@@ -318,9 +318,9 @@ def _(spark, d):
     "WITH w AS (SELECT doc_id, CAST(u - 1 AS INT) AS word, length(ws[u]) AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS u FROM "
     f"(SELECT doc_id, {t.sql_words('text')} AS ws FROM documents))), "
     "s AS (SELECT doc_id, word, n, unnest(generate_series(1, CAST(ceil(n / 4.0) AS INT))) AS piece FROM w), "
-    "l AS (SELECT doc_id, CASE WHEN piece = 1 THEN n ELSE -100 END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY word, piece) AS at FROM s) "
-    "SELECT doc_id, string_agg(CAST(label AS VARCHAR), ' ' ORDER BY at) AS same, string_agg(CAST(coalesce(ahead, -100) AS VARCHAR), ' ' ORDER BY at) AS next "
-    "FROM (SELECT *, lead(label) OVER (PARTITION BY doc_id ORDER BY at) AS ahead FROM l) GROUP BY doc_id",
+    "l AS (SELECT doc_id, CASE WHEN piece = 1 THEN n ELSE -100 END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY word, piece) AS idx FROM s) "
+    "SELECT doc_id, string_agg(CAST(label AS VARCHAR), ' ' ORDER BY idx) AS same, string_agg(CAST(coalesce(ahead, -100) AS VARCHAR), ' ' ORDER BY idx) AS next "
+    "FROM (SELECT *, lead(label) OVER (PARTITION BY doc_id ORDER BY idx) AS ahead FROM l) GROUP BY doc_id",
 )
 def _(spark, d):
     # Words are cut into pieces of four letters, and a word's label is its length.

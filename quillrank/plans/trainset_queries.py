@@ -162,8 +162,8 @@ def _(spark, d):
     "n18_token_packing",
     "WITH g AS (SELECT doc_id, w, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS batch FROM "
     f"(SELECT doc_id, {t.sql_words('text')} AS w FROM documents)), "
-    "x AS (SELECT batch, doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS at FROM g), "
-    "y AS (SELECT batch, tok, row_number() OVER (PARTITION BY batch ORDER BY doc_id, at) - 1 AS i FROM x) "
+    "x AS (SELECT batch, doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS idx FROM g), "
+    "y AS (SELECT batch, tok, row_number() OVER (PARTITION BY batch ORDER BY doc_id, idx) - 1 AS i FROM x) "
     "SELECT batch, i // 128 AS chunk, string_agg(tok, ' ' ORDER BY i) AS tokens FROM y GROUP BY batch, i // 128 HAVING count(*) = 128",
 )
 def _(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrank.functions.text import let
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
 
 Paths = str | Sequence[str]
@@ -71,26 +72,27 @@ def read_sparse_queries(spark: SparkSession, paths: Paths) -> tuple[DataFrame, D
 def _count_words(body: Column) -> Column:
     """Words of one line to a map word -> count; sorted first, so that equal words are neighbours."""
     words = F.array_sort(F.filter(F.split(body, r"\s+"), lambda w: F.length(w) > 0))
-    starts = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-        lambda s: (s["i"] == 0) | (F.get(words, s["i"] - 1) != s["w"]),
-    )
-    n = F.size(starts)
-    counts = F.transform(
-        starts,
-        lambda s, j: F.struct(
-            s["w"], (F.coalesce(F.get(starts, j + 1)["i"], F.size(words)) - s["i"]).cast("double")
-        ),
-    )
-    return F.when(n > 0, F.map_from_entries(counts)).otherwise(F.create_map().cast("map<string,double>"))
+    return let(words, lambda w: let(_run_starts(w), lambda s: _run_lengths(w, s)))
+
+
+def _run_starts(words: Column) -> Column:
+    fresh = lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
+    places = F.transform(words, lambda w, i: F.when(fresh(i), i))
+    return F.filter(places, lambda i: i.isNotNull())
+
+
+def _run_lengths(words: Column, starts: Column) -> Column:
+    end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
+    counts = F.transform(starts, lambda i, j: F.struct(F.get(words, i), (end(j) - i).cast("double")))
+    return F.map_from_entries(counts)
 
 
 def read_repeated_queries(lines: DataFrame, line: str = "line") -> DataFrame:
     """`qid TAB term term ...` to postings, weight = how often a term stands there."""
-    fields = F.split(_trimmed(line), "\t", -1)
-    words = lines.where(F.size(fields) == 2).select(
-        F.get(fields, F.lit(0)).alias("id"), F.explode(F.split(F.get(fields, F.lit(1)), r"\s+")).alias("term")
-    )
+    fields = lines.select(F.split(_trimmed(line), "\t", -1).alias("_f")).where(F.size("_f") == 2)
+    # The id is taken before the explode: what stands beside an explode is computed once per element.
+    rows = fields.select(F.get("_f", F.lit(0)).alias("id"), F.split(F.get("_f", F.lit(1)), r"\s+").alias("_w"))
+    words = rows.select("id", F.explode("_w").alias("term"))
     return words.where(F.length("term") > 0).groupBy("id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
