@@ -80,18 +80,24 @@ _ALL = [f"{m}_at_{k}" for m in FORMULAS for k in KS]
 _PER_QUERY = ", ".join(f"coalesce(CAST({FORMULAS[m](k)} AS DOUBLE), 0) AS {m}_at_{k}" for m in FORMULAS for k in KS)
 
 
+part(
+    "dataset_means",
+    "SELECT dataset, " + ", ".join(f"avg({c}) AS {c}" for c in _ALL) + " FROM (SELECT "
+    f"CASE WHEN length(query) < 250 THEN 'short' ELSE 'long' END AS dataset, n.* FROM (SELECT qid, {_PER_QUERY} FROM n_rel) n "
+    "JOIN queries ON qid = query_id) GROUP BY dataset",
+    "n_rel",
+    "hits",
+    "ideal",
+    "queries",
+)
+
+
 @query(
     "m8_metric_table",
     using(
-        "WITH q AS (SELECT CASE WHEN length(query) < 250 THEN 'short' ELSE 'long' END AS dataset, n.* FROM "
-        f"(SELECT qid, {_PER_QUERY} FROM n_rel) n JOIN queries ON qid = query_id), "
-        "t AS (SELECT dataset, " + ", ".join(f"avg({c}) AS {c}" for c in _ALL) + " FROM q GROUP BY dataset) "
-        "SELECT dataset, " + ", ".join(f"round({c}, 6) AS {c}" for c in _ALL) + " FROM t UNION ALL "
-        "SELECT 'mean', " + ", ".join(f"round(avg({c}), 6)" for c in _ALL) + " FROM t",
-        "n_rel",
-        "hits",
-        "ideal",
-        "queries",
+        "SELECT dataset, " + ", ".join(f"round({c}, 6) AS {c}" for c in _ALL) + " FROM dataset_means UNION ALL "
+        "SELECT 'mean', " + ", ".join(f"round(avg({c}), 6)" for c in _ALL) + " FROM dataset_means",
+        "dataset_means",
     ),
 )
 def _(spark, d):

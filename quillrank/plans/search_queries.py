@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from quillrank.functions.vectors import unit
 from quillrank.operators import evaluation, plugins, rerank, search
 from quillrank.plans import tables as t
 from quillrank.plans.registry import part, query, using
@@ -13,9 +11,8 @@ from quillrank.session import fresh_path
 from quillrank.sources import readers, writers
 
 
-def _out(found, digits: int | None = None):
-    score = F.col("score") if digits is None else F.round("score", digits)
-    return found.select("qid", "docid", score.alias("score"), F.col("rank").cast("long").alias("rank"))
+def _out(found):
+    return found.select("qid", "docid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j1_sparse_topk", using("SELECT qid, docid, score, rank FROM run", "run"))
@@ -49,10 +46,10 @@ part("dense", "SELECT q.id AS qid, p.id AS docid, round(list_dot_product(q.e, p.
 part("dense_run", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM dense QUALIFY rank <= 10", "dense")
 
 
-@query("j5_dense_topk", using("SELECT qid, docid, round(score, 6) AS score, rank FROM dense_run", "dense_run"))
+@query("j5_dense_topk", using("SELECT qid, docid, score, rank FROM dense_run", "dense_run"))
 def _(spark, d):
     rows = t.vectors(spark, d)
-    return _out(search.dense_topk(rows, rows, 10), 6)
+    return _out(search.dense_topk(rows, rows, 10))
 
 
 @query("j6_dense_topk_cells")
@@ -60,13 +57,13 @@ def _(spark, d):
     rows = t.vectors(spark, d)
     model = search.train_cells(rows, 16)
     celled = search.assign_cells(rows, model)
-    return _out(search.dense_topk_cells(rows, celled, model.clusterCenters(), 10, probes=4), 6)
+    return _out(search.dense_topk_cells(rows, celled, model.clusterCenters(), 10, probes=4))
 
 
 @query(
     "j8_cosine_topk",
     using(
-        "SELECT qid, docid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM "
+        "SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM "
         "(SELECT q.id AS qid, p.id AS docid, round(list_cosine_similarity(q.e, p.e), 9) AS score FROM vec q, vec p WHERE q.id <> p.id) "
         "QUALIFY rank <= 10",
         "vec",
@@ -74,14 +71,14 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = t.vectors(spark, d)
-    return _out(search.cosine_topk(rows, rows, 10), 6)
+    return _out(search.cosine_topk(rows, rows, 10))
 
 
-@query("j9_shard_reduce", using("SELECT qid, docid, round(score, 6) AS score, rank FROM dense_run", "dense_run"))
+@query("j9_shard_reduce", using("SELECT qid, docid, score, rank FROM dense_run", "dense_run"))
 def _(spark, d):
     rows = t.vectors(spark, d)
     shards = [rows.where(F.col("label") < 5), rows.where(F.col("label") >= 5)]
-    return _out(search.reduce_runs([search.dense_topk(rows, s, 10) for s in shards], 10), 6)
+    return _out(search.reduce_runs([search.dense_topk(rows, s, 10) for s in shards], 10))
 
 
 @query("j10_run_reduce", using("SELECT qid, docid, CAST(score AS DOUBLE) AS score, rank FROM run WHERE rank <= 20", "run"))
@@ -112,7 +109,7 @@ part(
 @query(
     "j11_maxsim",
     using(
-        "SELECT qid, docid, round(sum(best), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(best), 9) DESC, docid) AS rank FROM "
+        "SELECT qid, docid, round(sum(best), 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(best), 9) DESC, docid) AS rank FROM "
         "(SELECT qid, docid, a.pos, greatest(max(list_dot_product(a.e, b.e)), 0) AS best FROM text_run JOIN token_vec a ON a.id = qid "
         "JOIN token_vec b ON b.id = docid GROUP BY qid, docid, a.pos) GROUP BY qid, docid",
         "text_run",
@@ -122,7 +119,7 @@ def _(spark, d):
     tokens = t.token_vectors(spark, d)
     texts = evaluation.pool_vectors(tokens, "mean").withColumn("embedding", F.col("embedding").cast("array<double>"))
     near = search.dense_topk(texts, texts, 10)
-    return _out(search.maxsim(near, tokens, tokens, padded=True), 6)
+    return _out(search.maxsim(near, tokens, tokens, padded=True))
 
 
 @query(
