@@ -199,14 +199,14 @@ def bio_spans(tags: Column) -> Column:
 
 
 def _spans(tags: Column) -> Column:
-    size = F.size(tags)
-    at = lambda i: F.when((i >= 1) & (i <= size), F.element_at(tags, F.greatest(F.least(i, size), F.lit(1)))).otherwise("O")
-    kind = lambda tag: F.substr(tag, F.lit(3))
-    inside = lambda i: (at(i) != "O") & at(i).startswith("I")
-    joined = lambda i: inside(i) & (at(i - 1) != "O") & (kind(at(i)) == kind(at(i - 1)))
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: (at(i) != "O") & ~joined(i))
-    ends = F.filter(places, lambda i: (at(i) != "O") & ~joined(i + 1))
-    return F.zip_with(
-        starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end"), kind(at(s)).alias("kind"))
-    )
+    """A tag goes on with the span before it if it is I- and the tag before has its kind."""
+    goes_on = lambda tag, last: tag.startswith("I") & ((last == tag) | (last == F.concat(F.lit("B"), F.substr(tag, F.lit(2)))))
+    outside = F.array(F.lit("O"))
+    before = F.slice(F.concat(outside, tags), F.lit(1), F.size(tags))
+    after = F.slice(F.concat(tags, outside), F.lit(2), F.size(tags))
+    starts = F.zip_with(tags, before, lambda tag, last: (tag != "O") & ~goes_on(tag, last))
+    ends = F.zip_with(tags, after, lambda tag, following: (tag != "O") & ~goes_on(following, tag))
+    places = lambda flags: F.array_compact(F.transform(flags, lambda flag, i: F.when(flag, i + 1)))
+    kinds = F.filter(F.zip_with(tags, starts, lambda tag, start: F.when(start, F.substr(tag, F.lit(3)))), lambda k: k.isNotNull())
+    span = lambda z: F.struct(z["s"].alias("start"), z["e"].alias("end"), z["k"].alias("kind"))
+    return F.transform(F.arrays_zip(places(starts).alias("s"), places(ends).alias("e"), kinds.alias("k")), span)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
 from quillrank.functions.seeded import seeded_key, seeded_shuffle
-from quillrank.operators.placement import spread_join, top_k
+from quillrank.operators.placement import attach, spread_join, top_k
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
 
 PASSAGES = "array<struct<docid:string,title:string,text:string>>"
@@ -21,7 +21,7 @@ def _cut(run: DataFrame, depth: int) -> DataFrame:
 
 
 def _with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    return spread_join(ranked, corpus.select("docid", "title", "text"), "docid", "inner", ["qid"], right_fits=False)
+    return attach(ranked, corpus.select("docid", "title", "text"), "docid", ["qid"])
 
 
 def _passages(condition: Column | None = None) -> Column:
@@ -65,10 +65,9 @@ def answer_pairs(corpus: DataFrame, answers: DataFrame) -> DataFrame:
     anchors = anchors.where(F.col("anchor").isNotNull())
     tokens = F.explode(F.array_distinct(tx.answer_tokens(F.col("text"))))
     placed = corpus.select("docid", tokens.alias("anchor"))
-    near = spread_join(placed, anchors.select("anchor").distinct(), "anchor", "left_semi", ["docid"])
-    met = spread_join(near, anchors, "anchor", "inner", ["docid"]).select("docid", "qid", "form")
+    met = spread_join(placed, anchors, "anchor", "inner", ["docid"]).select("docid", "qid", "form")
     texts = corpus.select("docid", tx.answer_form(F.col("text")).alias("whole"))
-    told = spread_join(met, texts, "docid", "inner", ["qid"], right_fits=False)
+    told = attach(met, texts, "docid", ["qid"])
     return told.where(F.contains("whole", "form")).select("qid", "docid").distinct()
 
 
@@ -127,7 +126,7 @@ def assemble_examples(
 ) -> DataFrame:
     """Token arrays of query, positives and negatives per query of `negatives` (qid, place, docid).
 
-    Every needed passage is tokenised once, then listed per query. Positives beyond `max_list` go on in a further
+    Positives beyond `max_list` go on in a further
     part, each with the same query and negatives.
     """
     asked = negatives.select("qid").distinct()
@@ -140,9 +139,7 @@ def assemble_examples(
     wanted = pos.unionByName(neg)
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(sep), "text")
     tokens = tx.truncate(tokenizer.one(body), max_len)
-    needed = corpus.select("docid", "title", "text").join(wanted.select("docid").distinct(), "docid", "left_semi")
-    passages = needed.select("docid", tokens.alias("tokens"))
-    told = spread_join(wanted, passages, "docid", "inner", ["qid"], right_fits=False)
+    told = attach(wanted, corpus.select("docid", "title", "text"), "docid", ["qid"]).withColumn("tokens", tokens)
     entry = F.struct("place", "tokens")
     listed = lambda flag: F.transform(F.sort_array(F.collect_list(F.when(F.col("positive") == flag, entry))), lambda e: e["tokens"])
     pos_lists = told.where("positive").groupBy("qid", "part").agg(listed(True).alias("positives"))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.session import settled
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1024
@@ -77,6 +79,18 @@ def spread_join(
     return joined.drop("_salt")
 
 
+def attach(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Inner join of derived rows, such as a run, with a large table that is unique on the key, such as a corpus.
+
+    The left side is settled first. Where it fits, it is broadcast and the large table is only scanned; where it
+    does not, both are shuffled and hot keys of the left are spread.
+    """
+    left = settled(left, "rows")
+    if fits_broadcast(left):
+        return right.join(F.broadcast(left), key)
+    return spread_join(left, right, key, "inner", spread, right_fits=False)
+
+
 def top_k(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", spread: str | None = None
 ) -> DataFrame:

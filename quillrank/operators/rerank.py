@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.placement import running_total, spread_join, top_k
+from quillrank.operators.placement import attach, running_total, spread_join, top_k
 
 MAX_LIST = 100_000
 
@@ -14,7 +14,7 @@ def rerank_input(run: DataFrame, queries: DataFrame, corpus: DataFrame, depth: i
     """First `depth` documents of each known query with both texts (query_id, query, docid, title, text, score)."""
     best = top_k(run.select("qid", "docid", "score"), ["qid"], [F.desc("score"), F.asc("docid")], depth, spread="docid")
     asked = spread_join(best, queries.select(F.col("query_id").alias("qid"), "query"), "qid", "inner", ["docid"])
-    told = spread_join(asked, corpus.select("docid", "title", "text"), "docid", "inner", ["qid"], right_fits=False)
+    told = attach(asked, corpus.select("docid", "title", "text"), "docid", ["qid"])
     return told.select(F.col("qid").alias("query_id"), "query", "docid", "title", "text", F.col("score").cast("float").alias("score"))
 
 

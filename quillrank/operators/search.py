@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.functions.vectors import steady, unit
-from quillrank.operators.placement import fits_broadcast, spread_join, top_k
+from quillrank.operators.placement import attach, fits_broadcast, spread_join, top_k
 
 DENSE_QUERY_ROWS = 20_000
 CELL_ROWS = 200_000
@@ -33,18 +33,29 @@ def _integral(df: DataFrame) -> bool:
     return isinstance(df.schema["weight"].dataType, (T.IntegerType, T.LongType, T.ShortType))
 
 
-def _summed(q_weight: str, d_weight: str, whole: bool) -> Column:
+def _summed(whole: bool) -> Column:
     kind = "long" if whole else "double"
-    total = F.sum(F.col(q_weight).cast(kind) * F.col(d_weight).cast(kind))
+    total = F.sum(F.col("q_weight").cast(kind) * F.col("d_weight").cast(kind))
     return total if whole else steady(total)
 
 
-def _document_side(postings: DataFrame) -> DataFrame:
-    return postings.select(F.col("id").alias("docid"), "term", F.col("weight").alias("d_weight"))
-
-
-def _query_side(query_terms: DataFrame) -> DataFrame:
-    return query_terms.select(F.col("id").alias("qid"), "term", F.col("weight").alias("q_weight"))
+def _meeting(
+    postings: DataFrame, query_terms: DataFrame, by_document: bool, queries_fit: bool | None
+) -> tuple[DataFrame, bool]:
+    """Rows of postings and query terms that share a term, placed by docid; and whether all weights are whole."""
+    docs = postings.select(F.col("id").alias("docid"), "term", F.col("weight").alias("d_weight"))
+    rest = [c for c in query_terms.columns if c not in ("id", "term", "weight")]
+    queries = query_terms.select(F.col("id").alias("qid"), "term", F.col("weight").alias("q_weight"), *rest)
+    if queries_fit is None:
+        queries_fit = fits_broadcast(queries)
+    if queries_fit:
+        if not by_document:
+            wanted = queries.select("term").distinct()
+            docs = docs.join(F.broadcast(wanted), "term", "left_semi").repartition("docid")
+        pairs = docs.join(F.broadcast(queries), "term")
+    else:
+        pairs = spread_join(docs, queries, "term", "inner", ["docid"], right_fits=False)
+    return pairs, _integral(postings) and _integral(query_terms)
 
 
 def sparse_scores(
@@ -56,18 +67,8 @@ def sparse_scores(
     moves each posting once whatever the number of queries. Scores then add up inside the task. `by_document`
     says that postings are stored by docid already (see write_index): no shuffle is left.
     """
-    whole = _integral(postings) and _integral(query_terms)
-    docs, queries = _document_side(postings), _query_side(query_terms)
-    if queries_fit is None:
-        queries_fit = fits_broadcast(queries)
-    if queries_fit:
-        if not by_document:
-            wanted = queries.select("term").distinct()
-            docs = docs.join(F.broadcast(wanted), "term", "left_semi").repartition("docid")
-        pairs = docs.join(F.broadcast(queries), "term")
-    else:
-        pairs = spread_join(docs, queries, "term", "inner", ["docid"], right_fits=False)
-    return pairs.groupBy("qid", "docid").agg(_summed("q_weight", "d_weight", whole).alias("score"))
+    pairs, whole = _meeting(postings, query_terms, by_document, queries_fit)
+    return pairs.groupBy("qid", "docid").agg(_summed(whole).alias("score"))
 
 
 def sparse_topk(
@@ -91,27 +92,14 @@ def sparse_topk_cut(
 ) -> DataFrame:
     """Search by candidates: the `query_cut` heaviest terms of a query choose documents, all terms score them.
 
-    Both steps read postings by docid, so candidates meet their postings without a further shuffle.
+    One pass does both: a pair's score and whether a chosen term led to it add up in the same aggregate, and
+    pairs without one are dropped in the task, before anything is ranked or shuffled.
     """
-    whole = _integral(postings) and _integral(query_terms)
-    docs, queries = _document_side(postings), _query_side(query_terms)
-    cut = top_k(queries, ["qid"], [F.desc("q_weight"), F.asc("term")], query_cut, "_place", spread="term")
-    cut = cut.select("qid", "term")
-    if queries_fit is None:
-        queries_fit = fits_broadcast(queries)
-    if not queries_fit:
-        chosen = spread_join(docs, cut, "term", "inner", ["docid"], right_fits=False)
-        chosen = chosen.select("qid", "docid").distinct()
-        pairs = spread_join(docs, queries, "term", "inner", ["docid"], right_fits=False)
-        pairs = pairs.join(chosen, ["qid", "docid"], "left_semi")
-    else:
-        if not by_document:
-            wanted = queries.select("term").distinct()
-            docs = docs.join(F.broadcast(wanted), "term", "left_semi").repartition("docid")
-        chosen = docs.join(F.broadcast(cut), "term").select("docid", "qid").distinct()
-        pairs = docs.join(chosen, "docid").join(F.broadcast(queries), ["qid", "term"])
-    scored = pairs.groupBy("qid", "docid").agg(_summed("q_weight", "d_weight", whole).alias("score"))
-    return _best(scored, k)
+    heaviest = Window.partitionBy("id").orderBy(F.desc("weight"), F.asc("term"))
+    marked = query_terms.withColumn("cut", F.row_number().over(heaviest) <= query_cut)
+    pairs, whole = _meeting(postings, marked, by_document, queries_fit)
+    scored = pairs.groupBy("qid", "docid").agg(_summed(whole).alias("score"), F.max("cut").alias("chosen"))
+    return _best(scored.where("chosen").drop("chosen"), k)
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool = False) -> DataFrame:
@@ -349,9 +337,10 @@ def maxsim(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFra
         return pd.Series(out)
 
     queries = token_matrix(query_vectors).select(F.col("id").alias("qid"), F.col("matrix").alias("q_matrix"))
-    docs = token_matrix(doc_vectors).select(F.col("id").alias("docid"), F.col("matrix").alias("d_matrix"))
+    wanted = candidates.select(F.col("docid").alias("id")).distinct()
+    docs = token_matrix(doc_vectors.join(wanted, "id", "left_semi")).select(F.col("id").alias("docid"), F.col("matrix").alias("d_matrix"))
     pairs = candidates.select("qid", "docid")
-    with_docs = spread_join(pairs, docs, "docid", "inner", ["qid"], right_fits=False)
+    with_docs = attach(pairs, docs, "docid", ["qid"])
     both = spread_join(with_docs, queries, "qid", "inner", ["docid"])
     scored = both.select("qid", "docid", steady(score("q_matrix", "d_matrix")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("docid"))

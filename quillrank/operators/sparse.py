@@ -30,6 +30,16 @@ def document_frequencies(docs: DataFrame, tokenizer=LEXICAL) -> DataFrame:
     return docs.select(terms.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _saturate(logit: Column) -> Column:
+    return F.log1p(F.greatest(logit, F.lit(0.0)))
+
+
+def lexical_weights(rows: DataFrame, frequencies: DataFrame, n_docs: int, tokenizer=LEXICAL) -> DataFrame:
+    """Max-pooled lexical activations in one step: a term has one logit, so one row per term needs no grouping."""
+    first = lexical_activations(rows, frequencies, n_docs, tokenizer, every_position=False)
+    return first.select("id", "term", _saturate(F.col("logit")).alias("weight"))
+
+
 def lexical_activations(
     rows: DataFrame,
     frequencies: DataFrame,
@@ -54,10 +64,6 @@ def lexical_activations(
     return joined.select("id", F.col("pos").cast("long").alias("pos"), "term", logit.alias("logit"))
 
 
-def _saturate(logit: Column) -> Column:
-    return F.log1p(F.greatest(logit, F.lit(0.0)))
-
-
 def pool_max(activations: DataFrame) -> DataFrame:
     return activations.groupBy("id", "term").agg(_saturate(F.max("logit")).alias("weight"))
 

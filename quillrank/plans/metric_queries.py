@@ -250,7 +250,7 @@ WORDS_SQL = (
 
 
 def _words(spark, d):
-    return t.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
+    return t.documents(spark, d).select("doc_id", tx.word_tokens(F.col("text")).alias("w"))
 
 
 @query(

@@ -84,7 +84,7 @@ def _(spark, d):
 @query("j10_run_reduce", using("SELECT qid, docid, CAST(score AS DOUBLE) AS score, rank FROM run WHERE rank <= 20", "run"))
 def _(spark, d):
     base = fresh_path(spark, "runs")
-    langs = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("docid"), "lang")
+    langs = t.documents(spark, d).select(F.col("doc_id").cast("string").alias("docid"), "lang")
     run = t.run(spark, d).join(langs, "docid")
     writers.write_run(run.where("lang = 'en'"), f"{base}/a")
     writers.write_run(run.where("lang <> 'en'"), f"{base}/b")

@@ -108,7 +108,7 @@ def _(spark, d):
 def _(spark, d):
     shards = []
     vectors = _vectors(spark, d).join(
-        t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang"), "id"
+        t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "lang"), "id"
     )
     base = fresh_path(spark, "shards")
     for lang in ("en", "fr", "de", "es"):
@@ -256,7 +256,7 @@ def _(spark, d):
 @query("s19_sharded_json", "SELECT count(*) AS rows, CAST(count(*) - 1 AS BIGINT) AS last, true AS within FROM documents")
 def _(spark, d):
     path = fresh_path(spark, "shards")
-    writers.write_json_shards(t.table(spark, d, "documents").select("doc_id", "text"), path, 100)
+    writers.write_json_shards(t.documents(spark, d).select("doc_id", "text"), path, 100)
     rows = spark.read.schema("doc_id long, text string").json(path).withColumn("file", F.col("_metadata.file_path"))
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     return sizes.agg(F.sum("n").alias("rows"), F.max("last").alias("last"), (F.max("n") <= 100).alias("within"))
@@ -304,7 +304,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = fresh_path(spark, "sentences")
-    writers.write_lines(t.table(spark, d, "documents").select(F.concat(F.lit("  "), _flat("text"), F.lit(" ")).alias("value")), path)
+    writers.write_lines(t.documents(spark, d).select(F.concat(F.lit("  "), _flat("text"), F.lit(" ")).alias("value")), path)
     return readers.read_sentences(spark, path)
 
 
@@ -329,7 +329,7 @@ def _(spark, d):
     f"SELECT kind, {_sql_flat('text')} AS text FROM documents, (VALUES ('csv'), ('json'), ('txt')) v(kind)",
 )
 def _(spark, d):
-    rows = t.table(spark, d, "documents").select(_flat("text").alias("text"))
+    rows = t.documents(spark, d).select(_flat("text").alias("text"))
     base = fresh_path(spark, "texts")
     rows.write.text(f"{base}/lines.txt")
     rows.write.json(f"{base}/rows.json")

@@ -46,7 +46,7 @@ def split_words(texts):
 @query("u1_tokenizer", f"SELECT doc_id, array_to_string({t.sql_words('text')}, ' ') AS tokens FROM documents")
 def _(spark, d):
     words = plugins.tokenizer(split_words)
-    return t.table(spark, d, "documents").select("doc_id", F.array_join(words.one(F.col("text")), " ").alias("tokens"))
+    return t.documents(spark, d).select("doc_id", F.array_join(words.one(F.col("text")), " ").alias("tokens"))
 
 
 def count_encoder(texts):
@@ -60,7 +60,7 @@ def count_encoder(texts):
     "CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents",
 )
 def _(spark, d):
-    out = plugins.vector_encoder(t.table(spark, d, "documents"), count_encoder, "doc_id")
+    out = plugins.vector_encoder(t.documents(spark, d), count_encoder, "doc_id")
     at = lambda i: F.get("embedding", F.lit(i)).cast("long")
     return out.select("id", at(0).alias("letters"), at(1).alias("words"), at(2).alias("lines"))
 

@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out by id where the files have fewer splits than the cluster has cores.
+
+    Large inputs have more splits than cores and are read as they lie.
+    """
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "doc_id")
+
+
 def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Stores a derived table in the shared folder at first use, as a run or an index would be, and reads it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -35,7 +45,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Data
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (docid, title, text); English ones have a title."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     title = F.when(F.col("lang") == "en", F.col("source"))
     return docs.select(F.col("doc_id").cast("string").alias("docid"), title.alias("title"), "text")
 
@@ -71,10 +81,8 @@ def activations(spark: SparkSession, sf_dir: str, every_position: bool = True) -
 
 
 def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, max_terms: int) -> DataFrame:
-    active = sparse.lexical_activations(
-        rows, frequencies(spark, sf_dir), doc_count(spark, sf_dir), every_position=False
-    )
-    heavy = sparse.top_terms(sparse.pool_max(active), max_terms)
+    weights = sparse.lexical_weights(rows, frequencies(spark, sf_dir), doc_count(spark, sf_dir))
+    heavy = sparse.top_terms(weights, max_terms)
     return sparse.fill_empty(sparse.quantise(heavy), rows)
 
 

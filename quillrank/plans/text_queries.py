@@ -52,7 +52,7 @@ NAMED = "CASE lang WHEN 'en' THEN 'quora' WHEN 'fr' THEN 'cqadupstack-english' E
     f"SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN 'query: ' ELSE 'passage: ' END || text AS text FROM documents",
 )
 def _(spark, d):
-    rows = t.table(spark, d, "documents").withColumn("name", F.expr(NAMED))
+    rows = t.documents(spark, d).withColumn("name", F.expr(NAMED))
     return rows.select("doc_id", F.concat(tx.corpus_prefix(F.col("name")), "text").alias("text"))
 
 
@@ -62,7 +62,7 @@ def _(spark, d):
 )
 def _(spark, d):
     tokens = tx.word_tokens(F.col("text"))
-    return t.table(spark, d, "documents").select(
+    return t.documents(spark, d).select(
         "doc_id",
         F.array_join(tx.truncate(tokens, 256), " ").alias("cut"),
         F.array_join(tx.truncate(tokens, 32, "</s>"), " ").alias("ended"),
@@ -223,7 +223,7 @@ SQL_INSTRUCTIONS = ", ".join(f"('{a}', '{b}')" for a, b in TASK_INSTRUCTIONS)
 )
 def _(spark, d):
     known = spark.createDataFrame(TASK_INSTRUCTIONS, "task string, instruction string")
-    docs = t.table(spark, d, "documents").withColumnRenamed("lang", "task")
+    docs = t.documents(spark, d).withColumnRenamed("lang", "task")
     return text_rows.instruct(docs, known).select("doc_id", "instructed")
 
 
@@ -241,7 +241,7 @@ def _(spark, d):
     "FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 0) AS w FROM documents)",
 )
 def _(spark, d):
-    return text_rows.cap_words(t.table(spark, d, "documents").select("doc_id", "text"), 100)
+    return text_rows.cap_words(t.documents(spark, d).select("doc_id", "text"), 100)
 
 
 FAMILY = "CASE lang WHEN 'en' THEN 'llama3-instruct' WHEN 'fr' THEN 'mistral-instruct' WHEN 'de' THEN 'qwen2' ELSE 'gemma2-it' END"
@@ -257,7 +257,7 @@ TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
     f"ELSE '<bos><start_of_turn>user' || chr(10) || x || '<end_of_turn><eos>' END AS ended FROM (SELECT *, {TRIMMED} AS x FROM documents)",
 )
 def _(spark, d):
-    rows = t.table(spark, d, "documents").withColumn("family", F.expr(FAMILY))
+    rows = t.documents(spark, d).withColumn("family", F.expr(FAMILY))
     return rows.select(
         "doc_id",
         tx.chat_text(F.col("family"), F.col("text")).alias("plain"),
@@ -285,12 +285,12 @@ def _(spark, d):
     "THEN 'validation' ELSE 'train' END AS split FROM documents",
 )
 def _(spark, d):
-    return text_rows.split_by_percent(t.table(spark, d, "documents").select("doc_id"), ["doc_id"], 7)
+    return text_rows.split_by_percent(t.documents(spark, d).select("doc_id"), ["doc_id"], 7)
 
 
 @query("p20_take_first", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 25")
 def _(spark, d):
-    return text_rows.take_first(t.table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], 25)
+    return text_rows.take_first(t.documents(spark, d).select("doc_id", "text"), ["doc_id"], 25)
 
 
 @query(
@@ -324,7 +324,7 @@ def _(spark, d):
 )
 def _(spark, d):
     # Words are cut into pieces of four letters, and a word's label is its length.
-    rows = t.table(spark, d, "documents").select("doc_id", F.transform(tx.word_tokens(F.col("text")), lambda w: F.length(w)).alias("labels"))
+    rows = t.documents(spark, d).select("doc_id", F.transform(tx.word_tokens(F.col("text")), lambda w: F.length(w)).alias("labels"))
     pieces = F.flatten(F.transform("labels", lambda n, i: F.array_repeat(i.cast("int"), F.ceil(n / 4.0).cast("int"))))
     rows = rows.withColumn("word_ids", pieces)
     shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")

@@ -167,7 +167,7 @@ def _(spark, d):
     "SELECT batch, i // 128 AS chunk, string_agg(tok, ' ' ORDER BY i) AS tokens FROM y GROUP BY batch, i // 128 HAVING count(*) = 128",
 )
 def _(spark, d):
-    rows = t.table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
+    rows = t.documents(spark, d).select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
     packed = trainset.pack_tokens(rows, ["doc_id"], 128, group_rows=300)
     return packed.withColumn("tokens", F.array_join("tokens", " "))
 
@@ -179,7 +179,7 @@ def _(spark, d):
     r"WHERE NOT regexp_matches(text, '^\s*$')",
 )
 def _(spark, d):
-    lines = t.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    lines = t.documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     out = trainset.line_by_line(lines, 64)
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("tokens", " ").alias("tokens"))
 
@@ -187,7 +187,7 @@ def _(spark, d):
 @query("n20_full_masking")
 def _(spark, d):
     ids = F.transform(tx.word_tokens(F.col("text")), lambda w: F.length(w))
-    rows = t.table(spark, d, "documents").select("doc_id", ids.alias("tokens"))
+    rows = t.documents(spark, d).select("doc_id", ids.alias("tokens"))
     out = trainset.mask_tokens(rows, "doc_id", 0.3, mask_id=0, special_ids=(1, 2), seed=4)
     kept = F.size(F.filter("labels", lambda x: x == -100))
     return out.select("doc_id", F.size("tokens").cast("long").alias("tokens"), (F.size("labels") - kept).cast("long").alias("masked"))
