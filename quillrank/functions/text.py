@@ -49,7 +49,7 @@ def answer_form(text: Column) -> Column:
 def has_answer(text: Column, answers: Column, regex: bool = False) -> Column:
     """True if the text holds one of the answers as a token run, or matches one as a pattern."""
     if regex:
-        return F.exists(answers, lambda a: text.rlike(F.concat(F.lit("(?iu)"), a)))
+        return F.exists(answers, lambda a: F.rlike(text, F.concat(F.lit("(?ium)"), a)))
     forms = F.filter(F.transform(answers, answer_form), lambda a: F.length(a) > 2)
     return let(answer_form(text), lambda whole: F.exists(forms, lambda a: F.contains(whole, a)))
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.text import let
 from quillrank.session import settled
 
 BROADCAST_ROWS = 1_000_000
@@ -149,7 +150,7 @@ def running_total(
     bounds = list(dict.fromkeys(sample[step::step]))
     types = [df.schema[c].dataType for c in order]
     if bounds:
-        work = work.withColumn("_range", _range_of(F.struct(*order), bounds, types))
+        work = work.withColumn("_range", let(F.struct(*order), lambda key: _range_of(key, bounds, types)))
     else:
         work = work.withColumn("_range", F.lit(0))
     keys = list(group) + ["_range"]
