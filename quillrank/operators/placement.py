@@ -16,9 +16,10 @@ BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
 SALTS = 32
-RANGE_ROWS = 5_000_000
-MAX_RANGES = 4096
-FANOUT = 64
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 16_384
+FANOUT = 128
+ONE_RANGE_ROWS = 5_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -138,6 +139,8 @@ def running_total(
     amount = F.lit(1).cast("long") if value is None else value
     rows = df.count()
     ranges = min(MAX_RANGES, math.ceil(rows / range_rows)) if rows else 1
+    if rows > ONE_RANGE_ROWS:
+        ranges = max(ranges, df.sparkSession.sparkContext.defaultParallelism)
     work = df.withColumn("_value", amount)
     before = lambda keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = lambda keys: F.coalesce(F.sum("_value").over(before(keys)), F.lit(0))

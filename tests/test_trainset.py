@@ -93,7 +93,7 @@ def test_pack_tokens(spark, range_rows):
 
 def test_pack_tokens_moves_rows_once(spark, capsys):
     df = spark.range(10).select(F.col("id"), F.array("id").alias("tokens"))
-    trainset.pack_tokens(df, ["id"], 2).explain()
+    trainset.pack_tokens(df, ["id"], 2, range_rows=4).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning(batch") == 1
 
