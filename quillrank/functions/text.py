@@ -165,8 +165,7 @@ END_MARKERS = {
     "llama2-chat": " </s>",
     "mistral": " </s>",
     "mistral-instruct": " </s>",
-    "gemma2": "<eos>",
-    "gemma2-it": "<eos>",
+    "gemma": "<eos>",
     "qwen2": "<|endoftext|>",
     "qwen2-instruct": "<|endoftext|>",
 }
@@ -175,7 +174,7 @@ END_MARKERS = {
 def chat_text(family: Column, text: Column, eos_pooling: bool = False) -> Column:
     """Wraps a text in the markers of its model family; unknown families keep the text as it is.
 
-    The one family whose template already closes the turn gets no end marker.
+    Families whose template closes the turn by itself get no end marker.
     """
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
     wrapped = text

@@ -243,13 +243,18 @@ def _send_queries(queries: DataFrame):
     return context.broadcast(_matrix(local["embedding"])), context.broadcast(local["id"].to_numpy(dtype=object))
 
 
-def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int) -> DataFrame:
+def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each block of queries meets each block of documents once, in a task of bounded size.
+
+    With `on`, blocks meet only where these columns are equal.
+    """
     q_cells = max(1, math.ceil(queries.count() / min(cell_rows, DENSE_QUERY_ROWS)))
     d_cells = max(1, math.ceil(docs.count() / cell_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.withColumn("q_cell", place(q_cells)).withColumn("d_cell", every(d_cells))
     right = docs.withColumn("d_cell", place(d_cells)).withColumn("q_cell", every(q_cells))
+    key = [*on, "q_cell", "d_cell"]
 
     def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         best = _Best(len(q), k)
@@ -258,7 +263,7 @@ def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int)
         frames = list(best.frames(q["id"].to_numpy(dtype=object)))
         return pd.concat(frames) if frames else pd.DataFrame({"qid": [], "docid": [], "score": []})
 
-    return left.groupBy("q_cell", "d_cell").cogroup(right.groupBy("q_cell", "d_cell")).applyInPandas(meet, SCORED)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCORED)
 
 
 def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, queries_fit: bool | None = None) -> DataFrame:
@@ -282,20 +287,34 @@ def assign_cells(docs: DataFrame, model) -> DataFrame:
     return model.transform(rows).select("id", "embedding", F.col("prediction").alias("cell"))
 
 
+def _nearest_cells(vectors: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
+    distance = (centers**2).sum(axis=1)[None, :] - 2.0 * vectors @ centers.T
+    return np.argsort(distance, axis=1, kind="stable")[:, :probes]
+
+
 def dense_topk_cells(
-    queries: DataFrame, celled_docs: DataFrame, centers: Sequence[np.ndarray], k: int = 1000, probes: int = 4
+    queries: DataFrame,
+    celled_docs: DataFrame,
+    centers: Sequence[np.ndarray],
+    k: int = 1000,
+    probes: int = 4,
+    queries_fit: bool | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Approximate inner-product search: a query sees the documents of its `probes` nearest cells, scored exactly.
 
-    Documents stay where they are, so a cell with a large share of them needs no shuffle at all.
+    With queries that fit, documents stay where they are, so a cell with a large share of them needs no shuffle.
+    A larger query set meets the documents by cell, in blocks of bounded size.
     """
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
-    if not fits_broadcast(queries, DENSE_QUERY_ROWS):
-        raise ValueError("search this many queries in parts, or with dense_topk")
-    sent, q_ids = _send_queries(queries)
+    docs = celled_docs.select("id", "embedding", "cell")
     centers = np.asarray(centers, dtype=np.float64)
-    distance = (centers**2).sum(axis=1)[None, :] - 2.0 * sent.value @ centers.T
-    nearest = np.argsort(distance, axis=1, kind="stable")[:, :probes]
+    if queries_fit is None:
+        queries_fit = fits_broadcast(queries, DENSE_QUERY_ROWS)
+    if not queries_fit:
+        return _best(_dense_by_cells(_probe(queries, centers, probes), docs, k, cell_rows, ("cell",)), k)
+    sent, q_ids = _send_queries(queries)
+    nearest = _nearest_cells(sent.value, centers, probes)
     visitors = {c: np.flatnonzero((nearest == c).any(axis=1)) for c in range(len(centers))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +326,17 @@ def dense_topk_cells(
                     _score_batch(best, rows, sent.value, part)
         yield from best.frames(q_ids.value)
 
-    return _best(celled_docs.select("id", "embedding", "cell").mapInPandas(run, SCORED), k)
+    return _best(docs.mapInPandas(run, SCORED), k)
+
+
+def _probe(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    """Each query once per cell it looks into."""
+
+    @F.pandas_udf("array<int>")
+    def cells(embeddings: pd.Series) -> pd.Series:
+        return pd.Series(_nearest_cells(_matrix(embeddings), centers, probes).tolist(), index=embeddings.index)
+
+    return queries.select("id", "embedding", F.explode(cells("embedding")).alias("cell"))
 
 
 def reduce_runs(runs: Sequence[DataFrame], depth: int = 100) -> DataFrame:

@@ -195,11 +195,10 @@ def min_rows(df: DataFrame, min_negatives: int = 1, positives="positive_passages
 def split_by_percent(df: DataFrame, order: list[str], percent: int, range_rows: int | None = None) -> DataFrame:
     """Adds `split`: the first `percent` of the rows are validation, the others train."""
     options = {} if range_rows is None else {"range_rows": range_rows}
+    cut = round(df.count() * percent / 100.0)
     placed = running_total(df, order, name="_place", **options)
-    size = df.agg(F.rint(F.count(F.lit(1)) * percent / 100.0).alias("_cut"))
-    tagged = placed.join(F.broadcast(size))
-    split = F.when(F.col("_place") < F.col("_cut"), F.lit("validation")).otherwise(F.lit("train"))
-    return tagged.withColumn("split", split).drop("_place", "_cut")
+    split = F.when(F.col("_place") < cut, F.lit("validation")).otherwise(F.lit("train"))
+    return placed.withColumn("split", split).drop("_place")
 
 
 def take_first(df: DataFrame, order: list[str], n: int) -> DataFrame:

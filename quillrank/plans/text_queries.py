@@ -254,7 +254,7 @@ TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
     "WHEN 'fr' THEN '[INST] ' || x || ' [/INST]' WHEN 'de' THEN text ELSE '<bos><start_of_turn>user' || chr(10) || x || '<end_of_turn>' END AS plain, "
     "CASE lang WHEN 'en' THEN '<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || x || '<|eot_id|>' "
     "WHEN 'fr' THEN '[INST] ' || x || ' [/INST] </s>' WHEN 'de' THEN x || '<|endoftext|>' "
-    f"ELSE '<bos><start_of_turn>user' || chr(10) || x || '<end_of_turn><eos>' END AS ended FROM (SELECT *, {TRIMMED} AS x FROM documents)",
+    f"ELSE '<bos><start_of_turn>user' || chr(10) || x || '<end_of_turn>' END AS ended FROM (SELECT *, {TRIMMED} AS x FROM documents)",
 )
 def _(spark, d):
     rows = t.documents(spark, d).withColumn("family", F.expr(FAMILY))

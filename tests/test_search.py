@@ -133,6 +133,11 @@ def test_cells_with_all_probes_are_exact(dense):
     some = {(r[0], r[1], r[2]) for r in rows_of(search.dense_topk_cells(q, celled, model.clusterCenters(), 8, probes=1))}
     scores = {(r[0], r[1], r[2]) for r in dense_brute(docs, queries, 500)}
     assert some <= scores
+    for probes in (1, 4):
+        fits, blocks = (
+            rows_of(search.dense_topk_cells(q, celled, model.clusterCenters(), 8, probes, queries_fit=f, cell_rows=7)) for f in (True, False)
+        )
+        assert fits == blocks
 
 
 def test_maxsim(spark):
