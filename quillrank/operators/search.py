@@ -261,7 +261,7 @@ def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int,
         if len(q) and len(d):
             _score_batch(best, np.arange(len(q)), _matrix(q["embedding"]), d)
         frames = list(best.frames(q["id"].to_numpy(dtype=object)))
-        return pd.concat(frames) if frames else pd.DataFrame({"qid": [], "docid": [], "score": []})
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["qid", "docid", "score"], dtype=object)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCORED)
 
