@@ -140,7 +140,7 @@ def running_total(
     rows = df.count()
     ranges = min(MAX_RANGES, math.ceil(rows / range_rows)) if rows else 1
     if rows > ONE_RANGE_ROWS:
-        ranges = max(ranges, df.sparkSession.sparkContext.defaultParallelism)
+        ranges = max(ranges, 4 * df.sparkSession.sparkContext.defaultParallelism)
     work = df.withColumn("_value", amount)
     before = lambda keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = lambda keys: F.coalesce(F.sum("_value").over(before(keys)), F.lit(0))

@@ -103,9 +103,10 @@ def sparse_topk_cut(
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool = False) -> DataFrame:
-    """Stores postings by docid bucket, sorted by term, and opens them; an index in place is used again.
+    """Stores postings by docid bucket, sorted by docid, and opens them; an index in place is used again.
 
-    Search reads buckets as they lie: no shuffle before the top-k.
+    Search reads buckets as they lie: no shuffle before the top-k, and the postings of a document stand together,
+    which keeps the aggregate on few keys at a time.
     """
     spark = postings.sparkSession
     if not rebuild:
@@ -119,7 +120,7 @@ def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool
         .repartition(buckets, "id")
         .write.mode("overwrite")
         .bucketBy(buckets, "id")
-        .sortBy("term")
+        .sortBy("id", "term")
         .option("path", f"{path}/postings")
         .format("parquet")
         .saveAsTable(table)
@@ -141,7 +142,7 @@ def open_index(spark: SparkSession, path: str) -> DataFrame | None:
     table = _index_table(path)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} (id STRING, term STRING, weight {facts['kind']}) USING parquet "
-        f"CLUSTERED BY (id) SORTED BY (term) INTO {facts['buckets']} BUCKETS LOCATION '{path}/postings'"
+        f"CLUSTERED BY (id) SORTED BY (id, term) INTO {facts['buckets']} BUCKETS LOCATION '{path}/postings'"
     )
     return spark.table(table)
 
