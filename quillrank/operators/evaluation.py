@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as tx
 from quillrank.functions.vectors import cosine
 from quillrank.operators.placement import RANGE_ROWS, running_total, spread_join
+from quillrank.session import settled
 
 IGNORED = -100
 
@@ -31,10 +32,10 @@ def average_ranks(df: DataFrame, value: str, name: str, range_rows: int = RANGE_
 
 
 def spearman(df: DataFrame, a: str, b: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Correlation of average ranks, one row."""
-    pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    with_a = spread_join(pairs, average_ranks(pairs, "a", "rank_a", range_rows), "a", "inner", ["b"], right_fits=False)
-    both = spread_join(with_a, average_ranks(pairs, "b", "rank_b", range_rows), "b", "inner", ["a"], right_fits=False)
+    """Correlation of average ranks, one row. The two columns are settled, as both rankings read them."""
+    pairs = settled(df.select(F.col(a).alias("a"), F.col(b).alias("b")), "pairs")
+    with_a = spread_join(pairs, average_ranks(pairs, "a", "rank_a", range_rows), "a", "inner", ["b"])
+    both = spread_join(with_a, average_ranks(pairs, "b", "rank_b", range_rows), "b", "inner", ["a"])
     return both.agg(F.corr("rank_a", "rank_b").alias("spearman"), F.count(F.lit(1)).alias("pairs"))
 
 
