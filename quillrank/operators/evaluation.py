@@ -130,10 +130,14 @@ def tag_precision(df: DataFrame, predictions: str = "predictions", labels: str =
 
 
 def entity_report(df: DataFrame, predicted: str = "predicted", actual: str = "actual") -> DataFrame:
-    """Precision, recall and F1 of exact entity spans, and token accuracy; spans are found per row."""
+    """Precision, recall and F1 of exact entity spans, and token accuracy; spans are found per row.
+
+    Spans are compared as strings: arrays of structs are intersected pair by pair, arrays of strings by hash.
+    """
+    keys = lambda tags: F.transform(tx.bio_spans(F.col(tags)), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["kind"]))
     spans = df.select(
-        tx.bio_spans(F.col(predicted)).alias("ps"),
-        tx.bio_spans(F.col(actual)).alias("as"),
+        keys(predicted).alias("ps"),
+        keys(actual).alias("as"),
         F.size(F.filter(F.arrays_zip(F.col(predicted).alias("p"), F.col(actual).alias("a")), lambda z: z["p"] == z["a"])).alias("same"),
         F.size(actual).alias("n"),
     )

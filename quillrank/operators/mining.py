@@ -66,9 +66,8 @@ def answer_pairs(corpus: DataFrame, answers: DataFrame) -> DataFrame:
     tokens = F.explode(F.array_distinct(tx.answer_tokens(F.col("text"))))
     placed = corpus.select("docid", tokens.alias("anchor"))
     met = spread_join(placed, anchors, "anchor", "inner", ["docid"]).select("docid", "qid", "form")
-    texts = corpus.select("docid", tx.answer_form(F.col("text")).alias("whole"))
-    told = attach(met, texts, "docid", ["qid"])
-    return told.where(F.contains("whole", "form")).select("qid", "docid").distinct()
+    told = attach(met, corpus.select("docid", "text"), "docid", ["qid"])
+    return told.where(F.contains(tx.answer_form(F.col("text")), F.col("form"))).select("qid", "docid").distinct()
 
 
 def basic_negatives(train: DataFrame, run: DataFrame, corpus: DataFrame, depth: int = 100) -> DataFrame:

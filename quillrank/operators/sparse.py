@@ -34,6 +34,12 @@ def _saturate(logit: Column) -> Column:
     return F.log1p(F.greatest(logit, F.lit(0.0)))
 
 
+def frequencies_for(rows: DataFrame, frequencies: DataFrame, tokenizer=LEXICAL) -> DataFrame:
+    """The frequencies of the terms in some rows, such as a query set, which need little of a vocabulary."""
+    terms = rows.select(F.explode(F.array_distinct(tokenizer.one(F.col("text")))).alias("term"))
+    return spread_join(frequencies, terms.distinct(), "term", "left_semi")
+
+
 def lexical_weights(rows: DataFrame, frequencies: DataFrame, n_docs: int, tokenizer=LEXICAL) -> DataFrame:
     """Max-pooled lexical activations in one step: a term has one logit, so one row per term needs no grouping."""
     first = lexical_activations(rows, frequencies, n_docs, tokenizer, every_position=False)

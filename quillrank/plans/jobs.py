@@ -45,7 +45,8 @@ def encode_queries(
 ) -> None:
     """Query rows to lines of sparse vectors: JSON for float weights, repeated terms for whole ones."""
     rows = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))
-    weights = sparse.lexical_weights(rows, *statistics)
+    frequencies, n_docs = statistics
+    weights = sparse.lexical_weights(rows, sparse.frequencies_for(rows, frequencies), n_docs)
     vectors = sparse.to_vectors(_finish(weights, rows, max_terms, whole, pad))
     writers.write_lines(writers.query_lines(vectors, repeated=whole), out)
 

@@ -80,18 +80,19 @@ def activations(spark: SparkSession, sf_dir: str, every_position: bool = True) -
     )
 
 
-def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, max_terms: int) -> DataFrame:
-    weights = sparse.lexical_weights(rows, frequencies(spark, sf_dir), doc_count(spark, sf_dir))
+def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, known: DataFrame, max_terms: int) -> DataFrame:
+    weights = sparse.lexical_weights(rows, known, doc_count(spark, sf_dir))
     heavy = sparse.top_terms(weights, max_terms)
     return sparse.fill_empty(sparse.quantise(heavy), rows)
 
 
 def make_doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encode(spark, sf_dir, encoder_docs(spark, sf_dir), MAX_DOC_TERMS)
+    return _encode(spark, sf_dir, encoder_docs(spark, sf_dir), frequencies(spark, sf_dir), MAX_DOC_TERMS)
 
 
 def make_query_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encode(spark, sf_dir, encoder_queries(spark, sf_dir), MAX_QUERY_TERMS)
+    rows = encoder_queries(spark, sf_dir)
+    return _encode(spark, sf_dir, rows, sparse.frequencies_for(rows, frequencies(spark, sf_dir)), MAX_QUERY_TERMS)
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
