@@ -26,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of letters and digits, in order."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
@@ -119,7 +124,7 @@ def passage_text(
 def trimmed_passage(title: Column | None, text: Column) -> Column:
     """Title and text joined by a blank and trimmed."""
     body = text if title is None else F.when(title.isNotNull(), F.concat(title, F.lit(" "), text)).otherwise(text)
-    return F.regexp_replace(body, r"^\s+|\s+$", "")
+    return strip(body)
 
 
 def truncate(tokens: Column, max_len: int | None, eos: str | None = None) -> Column:
@@ -146,7 +151,7 @@ def normalise_instruction(instruction: Column) -> Column:
 def with_instruction(instruction: Column, text: Column) -> Column:
     """Instruction, separator and text; the separator alone where there is no instruction."""
     marked = F.concat(F.lit(INSTRUCTION_SEPARATOR), text)
-    lead = F.regexp_replace(instruction, r"^\s+|\s+$", "")
+    lead = strip(instruction)
     empty = instruction.isNull() | (F.length(instruction) == 0)
     return F.when(empty, marked).otherwise(F.concat(lead, F.lit(" "), marked))
 
@@ -176,7 +181,7 @@ def chat_text(family: Column, text: Column, eos_pooling: bool = False) -> Column
 
     Families whose template closes the turn by itself get no end marker.
     """
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = strip(text)
     wrapped = text
     for name, (before, after) in CHAT_MARKERS.items():
         wrapped = F.when(family == name, F.concat(F.lit(before), bare, F.lit(after))).otherwise(wrapped)
@@ -184,7 +189,7 @@ def chat_text(family: Column, text: Column, eos_pooling: bool = False) -> Column
         return wrapped
     ended = wrapped
     for name, end in END_MARKERS.items():
-        closed = F.concat(F.regexp_replace(wrapped, r"^\s+|\s+$", ""), F.lit(end))
+        closed = F.concat(strip(wrapped), F.lit(end))
         ended = F.when(family == name, closed).otherwise(ended)
     return ended
 

@@ -158,15 +158,16 @@ class _Best:
         self.k = k
         self.scores = [np.empty(0)] * n_queries
         self.ids = [np.empty(0, dtype=object)] * n_queries
+        self.lowest = np.full(n_queries, -np.inf)  # the score to reach once a query has k documents
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of query rows (in order) against ids, which are sorted."""
         n = scores.shape[1]
         floor = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else None
-        for at, row in enumerate(rows):
-            line = scores[at]
+        for at in np.flatnonzero(scores.max(axis=1) >= self.lowest[rows]):
+            row, line = rows[at], scores[at]
             if floor is None:
-                kept = np.arange(n)
+                kept = np.flatnonzero(line >= self.lowest[row])
             else:
                 above = np.flatnonzero(line > floor[at])
                 level = np.flatnonzero(line == floor[at])[: self.k - len(above)]
@@ -176,6 +177,8 @@ class _Best:
             if len(s) > self.k:
                 order = np.lexsort((d.astype(str), -s))[: self.k]
                 s, d = s[order], d[order]
+            if len(s) == self.k:
+                self.lowest[row] = s.min()
             self.scores[row], self.ids[row] = s, d
 
     def frames(self, query_ids: np.ndarray) -> Iterator[pd.DataFrame]:

@@ -113,7 +113,7 @@ def corpus_rows(
 
 def line_rows(df: DataFrame, line: str = "value", delimiter: str = "\t", sep: str = " ", max_len: int | None = 128, tokenizer=tx.WORDS) -> DataFrame:
     """Delimited lines: field one is the id, the others are joined and tokenised."""
-    fields = F.split(F.regexp_replace(F.col(line), r"^\s+|\s+$", ""), delimiter, -1)
+    fields = F.split(tx.strip(F.col(line)), delimiter, -1)
     body = F.array_join(F.slice(fields, F.lit(2), F.size(fields)), sep)
     return df.select(F.element_at(fields, 1).alias("text_id"), tx.truncate(tokenizer.one(body), max_len).alias("text"))
 

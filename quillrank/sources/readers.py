@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.functions.text import let
+from quillrank.functions.text import let, strip
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
 
 Paths = str | Sequence[str]
@@ -38,7 +38,7 @@ def _split(lines: DataFrame, bad: Column, reason: Column) -> tuple[DataFrame, Da
 
 
 def _trimmed(line: str = "line") -> Column:
-    return F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
+    return strip(F.col(line))
 
 
 def read_sparse_corpus(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,7 @@ def read_triplets(spark: SparkSession, directory: str) -> DataFrame:
 
 def read_sentences(spark: SparkSession, paths: Paths) -> DataFrame:
     """Each line is its own positive: (query, positive)."""
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    line = strip(F.col("value"))
     return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(line.alias("query"), line.alias("positive"))
 
 
