@@ -60,6 +60,14 @@ def _(spark, d):
     return _out(search.dense_topk_cells(rows, celled, model.clusterCenters(), 10, probes=4))
 
 
+@query("j6_every_cell", using("SELECT qid, docid, score, rank FROM dense_run", "dense_run"))
+def _(spark, d):
+    rows = t.vectors(spark, d)
+    model = search.train_cells(rows, 8, iterations=5)
+    celled = search.assign_cells(rows, model)
+    return _out(search.dense_topk_cells(rows, celled, model.clusterCenters(), 10, probes=8))
+
+
 @query(
     "j8_cosine_topk",
     using(
