@@ -6,7 +6,7 @@ threshold needs are opened, and their members compared token by token.
 
 The matrix holds only what can decide. Tokens are ordered, frequent ones last, the same everywhere; of a set of n, whose
 links need an overlap of at least o = ceil(0.8 n), the first n - o + l tokens hold at least l of the tokens shared with
-any partner, where l = 1 + n // 50. So the bound is counted on these prefixes, and reaching l is what qualifies.
+any partner, where l = 1 + n // 8. So the bound is counted on these prefixes, and reaching l is what qualifies.
 
 Equal sets are one class, named by a 64-bit hash of the set. No step makes pairs within a group of similar documents: tokens that occur in one group only
 leave the matrix before it is joined.
@@ -41,7 +41,7 @@ def needed(n, numerator: int, denominator: int):
 
 def depth(n):
     """How many shared tokens the prefix of a set of n is sure to hold."""
-    return 1 + n // 50
+    return 1 + n // 8
 
 
 def _facts(rows: DataFrame, id_type: str, size: int) -> DataFrame:
@@ -255,33 +255,55 @@ def similar_documents(
     named = facts.where("n > 0 and id is not null").groupBy("name").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     named = settled(named, "classes")
     least = F.ceil(F.col("n") * numerator / denominator)
-    total = named.agg(F.coalesce(F.sum(F.col("n") - least + 1 + F.floor(F.col("n") / 50)), F.lit(0)).alias("t")).first()["t"]
+    total = named.agg(F.coalesce(F.sum(F.col("n") - least + 1 + F.floor(F.col("n") / 8)), F.lit(0)).alias("t")).first()["t"]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // PART_TOKENS + 1)
     blocks = _prefix_tokens(rows, classes, parts, size, numerator, denominator)
     tokens = settled(_shared(blocks, parts).dropDuplicates(["token", "name"]), "tokens")
 
     # A class that shares fewer prefix tokens than its smallest possible partner needs links with nothing.
     smallest = F.ceil(F.col("n") * numerator / denominator)
-    least_shared = (1 + F.floor(smallest / 50)).alias("least")
+    least_shared = (1 + F.floor(smallest / 8)).alias("least")
     able = tokens.groupBy("name").agg(F.count(F.lit(1)).alias("c")).join(named, "name")
     able = settled(able.select("name", "rep", "n", "c", least_shared).where("c >= least").drop("c"), "able")
     texts = rows.join(able.select(F.col("rep").alias("id"), "name").hint("shuffle_hash"), "id").select("name", "text")
     texts = settled(texts, "texts")
     matrix = settled(tokens.join(able.select("name", "n", "least"), "name"), "matrix")
 
-    # Groups: each class asks the class that it shares most prefix tokens with, among the first of each token.
-    firsts = matrix.groupBy("token").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first < last")
-    met = matrix.join(firsts.select("token", "first"), "token").where("name <> first")
-    met = met.groupBy("name", "first").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
-    leader = met.where("c >= least").groupBy("name").agg(F.max_by("first", F.struct("c", "first")).alias("g"))
-    leader = settled(leader, "leaders")
-    firsts = leader.select("g").distinct().select(F.col("g").alias("name"), "g")
-    links = settled(_open(firsts, leader.select("name", "g"), texts, size, numerator, denominator), "links")
-    groups = settled(components(links), "groups")
+    # Groups grow in rounds: each class is held against the one member of another group that it shares most prefix tokens
+    # with, among those that stand for its tokens. Those are the members whose tokens are the most common, which are the middle
+    # of a group of near copies. Every other round it is the one that shares its rarest tokens, which finds partners at the rim.
+    # What the rounds miss is found below.
+    common = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    worth = matrix.join(common, "token").groupBy("name").agg((F.sum("df") / F.first("n")).alias("worth"))
+    grouped = matrix.join(common, "token").join(worth, "name").withColumn("g", F.col("name"))
+    stars, names, turn, idle = None, able.count(), 0, 0
+    while True:
+        grouped = settled(grouped, "grouped")
+        rank = F.col("worth") if turn == 0 else F.xxhash64("name", F.lit(turn)).cast("double")
+        pick = F.max(F.struct(rank.alias("rank"), "name", "g"))
+        first = grouped.groupBy("token").agg(pick.alias("one"))
+        second = grouped.join(first, "token").where("g <> one.g").groupBy("token").agg(pick.alias("two"), F.first("one").alias("one"))
+        met = grouped.join(second, "token").select("name", "least", "df", F.when(F.col("g") != F.col("one.g"), F.col("one.name")).otherwise(F.col("two.name")).alias("other"))
+        # Whole numbers, so that no choice hangs on the order of a sum.
+        weight = F.lit(1) if turn % 2 == 0 else F.floor(F.lit(1 << 20) / F.col("df"))
+        met = met.groupBy("name", "other").agg(F.sum(weight).alias("c"))
+        leader = met.groupBy("name").agg(F.max_by("other", F.struct("c", "other")).alias("g"))
+        leader = settled(leader, "leaders")
+        leaders = leader.select("g").distinct().select(F.col("g").alias("name"), "g")
+        links = settled(_open(leaders, leader.select("name", "g"), texts, size, numerator, denominator), "links")
+        found = links.count()
+        stars = links if stars is None else stars.union(links)
+        groups = settled(components(stars), "groups")
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        grouped = grouped.drop("g").join(groups.withColumnRenamed("node", "name"), "name", "left")
+        grouped = grouped.withColumn("g", F.coalesce("component", "name")).drop("component")
+        idle = idle + 1 if found * 50 <= names else 0
+        turn += 1
+        if idle == 2:
+            break
 
     # The matrix of tokens and groups, where a token has more than one group; the rest is linked already.
-    grouped = matrix.join(groups.withColumnRenamed("node", "name"), "name", "left")
-    grouped = settled(grouped.select("token", "name", "n", "least", F.coalesce("component", "name").alias("g")), "grouped")
+    grouped = settled(grouped, "grouped")
     open_ = grouped.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high")
     asking = settled(grouped.join(open_.select("token"), "token", "left_semi"), "asking")
     unions = asking.groupBy("token", "g").agg(F.min("n").alias("short"), F.max("n").alias("long"))
@@ -292,7 +314,6 @@ def similar_documents(
     qualified = settled(bound.where("c >= least").select("name", F.col("to").alias("g")), "qualified")
     members = grouped.select("name", "g").distinct().join(qualified.select("g").distinct(), "g", "left_semi")
     more = _open(members.select("name", "g"), qualified, texts, size, numerator, denominator)
-    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     whole = components(settled(more.union(stars), "links"))
 
     roots = named.join(whole.withColumnRenamed("node", "name"), "name", "left")
