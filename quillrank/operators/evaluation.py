@@ -129,11 +129,20 @@ def tag_precision(df: DataFrame, predictions: str = "predictions", labels: str =
     return _ratio_of(df, F.col(predictions), F.col(labels), "precision")
 
 
-def entity_report(df: DataFrame, predicted: str = "predicted", actual: str = "actual") -> DataFrame:
+def entity_report(
+    df: DataFrame, predicted: str = "predicted", actual: str = "actual", ignored: str | None = "-100"
+) -> DataFrame:
     """Precision, recall and F1 of exact entity spans, and token accuracy; spans are found per row.
 
+    Places whose actual label is `ignored` are taken out first, with what is predicted there.
+
     Spans are compared as strings: arrays of structs are intersected pair by pair, arrays of strings by hash.
     """
+    if ignored is not None:
+        pairs = F.arrays_zip(F.col(predicted).alias("p"), F.col(actual).alias("a"))
+        left = F.filter(pairs, lambda z: ~z["a"].eqNullSafe(F.lit(ignored)))
+        only = lambda name, side: F.when(F.array_contains(actual, ignored), F.transform(left, lambda z: z[side])).otherwise(F.col(name))
+        df = df.select(only(predicted, "p").alias(predicted), only(actual, "a").alias(actual))
     keys = lambda tags: F.transform(tx.bio_spans(F.col(tags)), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["kind"]))
     spans = df.select(
         keys(predicted).alias("ps"),

@@ -23,13 +23,15 @@ def query_metrics(
 ) -> DataFrame:
     """nDCG, MAP, recall, precision and MRR at each k, per query with a relevant document.
 
-    A query missing from the run counts 0, or is left out with evaluated_only. `by` names columns, such as the
+    A document judged several times for a query counts once, with its largest judgment; one that the run lists several
+    times, with its best rank. A query missing from the run counts 0, or is left out with evaluated_only. `by` names columns, such as the
     dataset, that both sides share. Only judged hits up to the largest k are ever grouped.
     """
     key = [*by, "qid"]
     deepest = max(ks)
-    relevant = qrels.where(F.col("rel") > 0).select(*key, "docid", "rel")
+    relevant = qrels.where(F.col("rel") > 0).groupBy(*key, "docid").agg(F.max("rel").alias("rel"))
     hits = run.where(F.col("rank") <= deepest).select(*key, "docid", "rank").join(relevant, [*key, "docid"])
+    hits = hits.groupBy(*key, "docid").agg(F.first("rel").alias("rel"), F.min("rank").alias("rank"))
     seen = Window.partitionBy(*key).orderBy("rank")
     hits = hits.withColumn("found", F.row_number().over(seen))
     log2 = lambda place: F.log2(place + F.lit(1.0))

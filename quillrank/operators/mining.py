@@ -122,13 +122,16 @@ def assemble_examples(
     sep: str = "[SEP]",
     tokenizer=tx.WORDS,
     max_list: int = MAX_LIST,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Token arrays of query, positives and negatives per query of `negatives` (qid, place, docid).
 
+    `asked` (qid) names the queries where some have no negatives: those come out with an empty list.
+
     Positives beyond `max_list` go on in a further
     part, each with the same query and negatives.
     """
-    asked = negatives.select("qid").distinct()
+    asked = (negatives if asked is None else asked).select("qid").distinct()
     positives = spread_join(qrels.where(F.col("rel") > 0), asked, "qid", "left_semi").select("qid", "docid").distinct()
     parts = grouped_lists(positives, "qid", "docid", "docids", max_list)
     pos = parts.select("qid", "part", F.posexplode("docids").alias("place", "docid"), F.lit(True).alias("positive"))
@@ -143,7 +146,9 @@ def assemble_examples(
     listed = lambda flag: F.transform(F.sort_array(F.collect_list(F.when(F.col("positive") == flag, entry))), lambda e: e["tokens"])
     pos_lists = told.where("positive").groupBy("qid", "part").agg(listed(True).alias("positives"))
     neg_lists = told.where("not positive").groupBy("qid").agg(listed(False).alias("negatives"))
-    both = pos_lists.join(neg_lists, "qid")
+    both = pos_lists.join(neg_lists, "qid", "left")
+    none = F.array().cast(neg_lists.schema["negatives"].dataType)
+    both = both.withColumn("negatives", F.coalesce("negatives", none))
     asked_tokens = tx.truncate(tokenizer.one(F.col("query")), max_len)
     texts = queries.select(F.col("query_id").alias("qid"), asked_tokens.alias("query"))
     return spread_join(both, texts, "qid", "inner").select("qid", "part", "query", "positives", "negatives")

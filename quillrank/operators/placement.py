@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,5 +164,9 @@ def running_total(
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     local = work.withColumn("_local", summed(keys))
-    out = local.join(offsets, keys)
-    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_value", "_range", "_local", "_offset")
+    # A null group is a group like any other.
+    marks = [f"_key{i}" for i in range(len(keys))]
+    offsets = offsets.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)], "_offset")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)])
+    out = local.join(offsets, same)
+    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_value", "_range", "_local", "_offset", *marks)

@@ -5,6 +5,8 @@ Ties go to the smaller docid. Float scores are held to nine digits so that ties
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -106,49 +108,58 @@ def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool
     """Stores postings by docid bucket, sorted by docid, and opens them; an index in place is used again.
 
     Search reads buckets as they lie: no shuffle before the top-k, and the postings of a document stand together,
-    which keeps the aggregate on few keys at a time.
+    which keeps the aggregate on few keys at a time. Each build has a folder of its own, and the facts that name it are
+    written last: a build that breaks off leaves the index before it in use.
     """
     spark = postings.sparkSession
     if not rebuild:
         found = open_index(spark, path)
         if found is not None:
             return found
-    table = _index_table(path)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path, folder = _qualified(spark, path), f"postings-{uuid.uuid4().hex}"
     (
         postings.select("id", "term", "weight")
         .repartition(buckets, "id")
         .write.mode("overwrite")
         .bucketBy(buckets, "id")
         .sortBy("id", "term")
-        .option("path", f"{path}/postings")
+        .option("path", f"{path}/{folder}")
         .format("parquet")
-        .saveAsTable(table)
+        .saveAsTable(_index_table(f"{path}/{folder}"))
     )
     kind = postings.schema["weight"].dataType.simpleString()
-    facts = spark.createDataFrame([(buckets, kind)], "buckets int, kind string")
+    facts = spark.createDataFrame([(buckets, kind, folder)], "buckets int, kind string, folder string")
     facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
-    return spark.table(table)
+    return spark.table(_index_table(f"{path}/{folder}"))
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored index, or None where there is none."""
+    path = _qualified(spark, path)
     try:
         facts = spark.read.parquet(f"{path}/facts").first()
     except Exception as error:  # the reader reports a missing path as an analysis error
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    table = _index_table(path)
+    place = f"{path}/{facts['folder']}"
+    table = _index_table(place)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} (id STRING, term STRING, weight {facts['kind']}) USING parquet "
-        f"CLUSTERED BY (id) SORTED BY (id, term) INTO {facts['buckets']} BUCKETS LOCATION '{path}/postings'"
+        f"CLUSTERED BY (id) SORTED BY (id, term) INTO {facts['buckets']} BUCKETS LOCATION '{place}'"
     )
     return spark.table(table)
 
 
-def _index_table(path: str) -> str:
-    return "index_" + "".join(c if c.isalnum() else "_" for c in path.lower())[-100:]
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and all folders, so that the catalogue and the writer mean the same place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+
+
+def _index_table(place: str) -> str:
+    """A catalogue name that no other place has."""
+    return f"index_{hashlib.sha256(place.encode()).hexdigest()}"
 
 
 class _Best:

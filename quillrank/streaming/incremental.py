@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -37,6 +38,8 @@ def encode_stream(
     return writer.start()
 
 
-def read_encoded(spark: SparkSession, out: str) -> DataFrame:
-    """Postings of all batches so far."""
-    return spark.read.parquet(out).drop("batch_id")
+def read_encoded(spark: SparkSession, out: str, id_col: str = "id") -> DataFrame:
+    """Postings of all batches so far. A document that arrived again has those of its latest batch only."""
+    rows = spark.read.parquet(out)
+    latest = rows.groupBy(id_col).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(latest, [id_col, "batch_id"], "left_semi").drop("batch_id")
