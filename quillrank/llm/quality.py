@@ -97,7 +97,7 @@ def _moments(row, centre: float) -> float:
     between = (row["spread"] - (row["groups"] - 1) * chance) / even if even > 0 else 0.0
     if between <= 0:
         return STRONGEST
-    return float(min(STRONGEST, max(WEAKEST, chance / between - 1)))
+    return round(float(min(STRONGEST, max(WEAKEST, chance / between - 1))), 6)
 
 
 def score(
@@ -134,11 +134,12 @@ def score(
     logistic = lambda x: 1 / (1 + F.exp(-x))
     text_odds = weights.log_odds([F.col(n) for n in names])
     told = seen.join(known, "id", "left").select("host", "path", F.coalesce(F.col("label").cast("double"), logistic(text_odds)).alias("p"))
-    paths = told.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("s"))
+    paths = told.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.round(F.sum("p"), 6).alias("s"))
     paths = settled(paths, "paths")
-    hosts = paths.where("host is not null").groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    hosts = paths.where("host is not null").groupBy("host").agg(F.sum("n").alias("hn"), F.round(F.sum("s"), 6).alias("hs"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    centre = (total["s"] + 1) / (total["n"] + 2) if total["n"] else 0.5
+    # Sums are held to six digits: their last ones depend on the order in which tasks end.
+    centre = round((total["s"] + 1) / (total["n"] + 2), 6) if total["n"] else 0.5
     k_host = _moments(hosts.agg(*_strength(F.col("hs") / F.col("hn"), F.col("hn"), centre)).first(), centre)
     k_path = _moments(paths.where("host is not null").join(hosts, "host").agg(
         *_strength(F.col("s") / F.col("n") - F.col("hs") / F.col("hn") + F.lit(centre), F.col("n"), centre)
