@@ -9,7 +9,7 @@ links need an overlap of at least o = ceil(0.8 n), the first n - o + l tokens ho
 any partner, where l = 1 + n // 8. So the bound is counted on these prefixes, and reaching l is what qualifies.
 
 Equal sets are one class, named by a 64-bit hash of the set. No step makes pairs within a group of similar documents: tokens that occur in one group only
-leave the matrix before it is joined.
+leave the matrix before it is joined, unless the group is one of documents that are similar but not linked yet.
 """
 
 from __future__ import annotations
@@ -228,6 +228,21 @@ def _open(
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _gathered(grouped: DataFrame) -> DataFrame:
+    """Puts classes that link with nothing so far into groups of similar ones, which are joined by no link yet.
+
+    The group of a class is named by the one that it shares most tokens with, among those that stand for its tokens, if these
+    are half of what a link needs. Any such division gives the same links: it only decides what is opened together.
+    """
+    single = grouped.where("single")
+    top = F.max(F.struct("worth", "name")).alias("top")
+    tops = single.groupBy("token").agg(top, F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "top.name")
+    met = single.join(tops.withColumnRenamed("name", "hub"), "token").groupBy("name", "hub")
+    met = met.agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least")).where("2 * c >= least")
+    hubs = met.groupBy("name").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return grouped.join(hubs, "name", "left").withColumn("g", F.coalesce("hub", "g")).drop("hub")
+
+
 def similar_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -295,21 +310,26 @@ def similar_documents(
         stars = links if stars is None else stars.union(links)
         groups = settled(components(stars), "groups")
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        grouped = grouped.drop("g").join(groups.withColumnRenamed("node", "name"), "name", "left")
-        grouped = grouped.withColumn("g", F.coalesce("component", "name")).drop("component")
+        grouped = grouped.drop("g", "single").join(groups.withColumnRenamed("node", "name"), "name", "left")
+        grouped = grouped.withColumn("g", F.coalesce("component", "name")).withColumn("single", F.col("component").isNull())
+        grouped = grouped.drop("component")
         idle = idle + 1 if found * 50 <= names else 0
         turn += 1
         if idle == 2:
             break
 
-    # The matrix of tokens and groups, where a token has more than one group; the rest is linked already.
-    grouped = settled(grouped, "grouped")
-    open_ = grouped.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high")
+    # The matrix of tokens and groups, where a token has more than one group, or several classes of a group that is not
+    # linked; the rest is linked already.
+    grouped = settled(_gathered(settled(grouped, "grouped")), "gathered")
+    open_ = grouped.groupBy("token").agg(
+        F.min("g").alias("low"), F.max("g").alias("high"), F.max("single").alias("single"), F.count(F.lit(1)).alias("k")
+    ).where("low < high or (single and k > 1)")
     asking = settled(grouped.join(open_.select("token"), "token", "left_semi"), "asking")
-    unions = asking.groupBy("token", "g").agg(F.min("n").alias("short"), F.max("n").alias("long"))
-    unions = unions.select("token", F.col("g").alias("to"), "short", "long")
+    unions = asking.groupBy("token", "g").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.count(F.lit(1)).alias("k"))
+    unions = unions.select("token", F.col("g").alias("to"), "short", "long", "k")
+    inside = (F.col("to") == F.col("g")) & F.col("single") & (F.col("k") > 1)
     fits = (F.col("long") * denominator >= F.col("n") * numerator) & (F.col("short") * numerator <= F.col("n") * denominator)
-    bound = asking.join(unions, "token").where((F.col("to") < F.col("g")) & fits)
+    bound = asking.join(unions, "token").where(((F.col("to") < F.col("g")) | inside) & fits)
     bound = bound.groupBy("name", "to").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
     qualified = settled(bound.where("c >= least").select("name", F.col("to").alias("g")), "qualified")
     members = grouped.select("name", "g").distinct().join(qualified.select("g").distinct(), "g", "left_semi")

@@ -364,6 +364,22 @@ def test_jaccard_join_against_brute_force(make_docs, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_jaccard(enumerate(texts))
 
 
+def test_jaccard_join_of_a_family_about_the_threshold(make_docs):
+    """Variants of one text, most pairs of which stay just below the threshold: they are opened as a group."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 3, 4])):
+            words[at] = f"c{i}x{at}"
+        texts.append(" ".join(words))
+    rows = token_groups.similar_documents(make_docs(texts)).collect()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+    assert found == brute_jaccard(enumerate(texts))
+    assert 1 < len({c for _, c in found.values()}) < 120
+
+
 def test_jaccard_join_of_odd_rows(make_docs):
     text = "one two three four five six seven"
     docs = make_docs([text, text, text, None, "x " * 50_000], ids=[5, 5, None, 3, 4])
