@@ -20,14 +20,14 @@ def tokenizer(encode_batch: Callable[[Sequence[str]], list[list[str]]]) -> Plugi
 
 
 def vector_encoder(df: DataFrame, encode_batch: Callable[[list[str]], Sequence[Sequence[float]]], id_col: str = "id", text: str = "text") -> DataFrame:
-    """Texts to dense vectors (id, embedding), a batch at a time."""
+    """Texts to dense vectors (id, embedding), a batch at a time. A null text reaches the encoder as an empty one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = [list(map(float, v)) for v in encode_batch(batch["text"].tolist())]
             yield pd.DataFrame({"id": batch["id"], "embedding": vectors})
 
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "id string, embedding array<float>")
 
 

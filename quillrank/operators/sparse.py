@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,47 @@ def encode_batches(df: DataFrame, encoder: Callable[[pd.DataFrame], pd.DataFrame
     return df.mapInPandas(run, schema)
 
 
+POOLINGS = ("max", "mean", "last")
+
+
+def _pooled(active: pd.DataFrame, sizes: pd.Series, pooling: str, max_terms: int | None) -> pd.DataFrame:
+    """Weights (id, term, weight) of the activations of one batch; sizes: tokens by id."""
+    active = active.assign(n=active["id"].map(sizes))
+    if pooling == "last":
+        active = active[active["pos"] == active["n"] - 1]
+    groups = active.groupby(["id", "term"], sort=False)
+    logit = groups["logit"].sum() / groups["n"].first() if pooling == "mean" else groups["logit"].max()
+    out = np.log1p(logit.clip(lower=0)).rename("weight").reset_index()
+    if max_terms is not None:
+        out = out.sort_values(["weight", "term"], ascending=[False, True], kind="stable").groupby("id").head(max_terms)
+    return out[["id", "term", "weight"]]
+
+
+def encode_pooled(
+    texts: DataFrame,
+    encoder: Callable[[pd.DataFrame], pd.DataFrame],
+    pooling: str = "max",
+    max_terms: int | None = None,
+    tokenizer=LEXICAL,
+) -> DataFrame:
+    """Runs a model over batches of (id, text) and pools and cuts its activations there: only (id, term, weight) leaves.
+
+    `tokenizer` counts tokens, which need not all have an activation. Ids are unique; null texts count as empty. A
+    row without activations gives no row (see fill_empty).
+    """
+    if pooling not in POOLINGS:
+        raise ValueError(f"unknown pooling {pooling}")
+    rows = texts.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n_tokens", F.size(tokenizer.one(F.col("text"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield _pooled(encoder(batch[["id", "text"]]), batch.set_index("id")["n_tokens"], pooling, max_terms)
+
+    return rows.mapInPandas(run, "id string, term string, weight double")
+
+
 def document_frequencies(docs: DataFrame, tokenizer=LEXICAL) -> DataFrame:
     """Documents per term. Terms are made unique within the row, so one combined shuffle is enough."""
     terms = F.explode(F.array_distinct(tokenizer.one(F.col("text"))))
@@ -81,10 +123,12 @@ def pool_mean(activations: DataFrame, sizes: DataFrame) -> DataFrame:
     return sums.join(sizes.select("id", "n_tokens"), "id").select("id", "term", _saturate(mean).alias("weight"))
 
 
-def pool_last(activations: DataFrame) -> DataFrame:
-    """Activations at the last place of each row."""
-    ends = activations.groupBy("id").agg(F.max("pos").alias("pos"))
-    last = activations.join(ends, ["id", "pos"])
+def pool_last(activations: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Activations at the last token of each row, by `sizes` (id, n_tokens); without, at the last place that has any."""
+    if sizes is None:
+        last = activations.join(activations.groupBy("id").agg(F.max("pos").alias("pos")), ["id", "pos"])
+    else:
+        last = activations.join(sizes.select("id", (F.col("n_tokens") - 1).cast("long").alias("pos")), ["id", "pos"])
     return last.groupBy("id", "term").agg(_saturate(F.max("logit")).alias("weight"))
 
 
@@ -92,7 +136,7 @@ def pool(activations: DataFrame, how: str = "max", sizes: DataFrame | None = Non
     if how == "max":
         return pool_max(activations)
     if how == "last":
-        return pool_last(activations)
+        return pool_last(activations, sizes)
     if how == "mean":
         return pool_mean(activations, sizes)
     raise ValueError(f"unknown pooling {how}")

@@ -32,33 +32,34 @@ def _finish(weights: DataFrame, ids: DataFrame, max_terms: int | None, whole: bo
 
 
 def encode_corpus(
-    corpus: DataFrame, statistics: tuple[DataFrame, int], out: str, max_terms: int | None = 512, whole: bool = False, pad: str = "[PAD]"
+    corpus: DataFrame, statistics: tuple[DataFrame, int], out: str, max_terms: int | None = None, whole: bool = False, pad: str = "[PAD]", tokenizer=tx.LEXICAL
 ) -> None:
     """Corpus rows to JSON lines of sparse vectors, with the built-in lexical encoder."""
     rows = _corpus_texts(corpus)
-    weights = sparse.lexical_weights(rows, *statistics)
+    weights = sparse.lexical_weights(rows, *statistics, tokenizer)
     writers.write_lines(writers.corpus_lines(sparse.to_vectors(_finish(weights, rows, max_terms, whole, pad))), out)
 
 
 def encode_queries(
-    queries: DataFrame, statistics: tuple[DataFrame, int], out: str, max_terms: int | None = 512, whole: bool = False, pad: str = "[PAD]"
+    queries: DataFrame, statistics: tuple[DataFrame, int], out: str, max_terms: int | None = None, whole: bool = False, pad: str = "[PAD]", tokenizer=tx.LEXICAL
 ) -> None:
     """Query rows to lines of sparse vectors: JSON for float weights, repeated terms for whole ones."""
     rows = queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))
     frequencies, n_docs = statistics
-    weights = sparse.lexical_weights(rows, sparse.frequencies_for(rows, frequencies), n_docs)
+    weights = sparse.lexical_weights(rows, sparse.frequencies_for(rows, frequencies, tokenizer), n_docs, tokenizer)
     vectors = sparse.to_vectors(_finish(weights, rows, max_terms, whole, pad))
     writers.write_lines(writers.query_lines(vectors, repeated=whole), out)
 
 
 def encode_with_model(
-    texts: DataFrame, encoder, out: str, pooling: str = "max", max_terms: int = 512, whole: bool = False, pad: str = "[PAD]"
+    texts: DataFrame, encoder, out: str, pooling: str = "max", max_terms: int | None = None, whole: bool = False, pad: str = "[PAD]", tokenizer=tx.LEXICAL
 ) -> None:
-    """Rows (id, text) through a model put in as a batch function, pooled, cut and written as JSON lines."""
-    active = settled(sparse.encode_batches(texts.select("id", "text"), encoder), "activations")
-    sizes = active.groupBy("id").agg(F.count_distinct("pos").alias("n_tokens")) if pooling == "mean" else None
-    weights = sparse.pool(active, pooling, sizes)
-    writers.write_lines(writers.corpus_lines(sparse.to_vectors(_finish(weights, texts, max_terms, whole, pad))), out)
+    """Rows (id, text) through a model put in as a batch function, pooled and cut in the batch, written as JSON lines.
+
+    `tokenizer` is the model's: it counts the tokens that the mean is over and says which place is the last.
+    """
+    weights = sparse.encode_pooled(texts, encoder, pooling, max_terms, tokenizer)
+    writers.write_lines(writers.corpus_lines(sparse.to_vectors(_finish(weights, texts, None, whole, pad))), out)
 
 
 def merge_encodings(spark: SparkSession, shards: str, out: str, files: int | None = None) -> None:
@@ -114,28 +115,31 @@ def search_vectors(spark: SparkSession, query_vectors: str, passage_vectors: rea
     writers.write_run(settled(search.dense_topk(queries, readers.read_vectors(spark, passage_vectors), depth), "run"), out)
 
 
-def reduce_run_files(spark: SparkSession, runs: readers.Paths, out: str, depth: int = 100) -> None:
-    """Run files of several shards to the best `depth` per query."""
-    found, _bad = readers.read_run(spark, runs)
+def reduce_run_files(spark: SparkSession, runs: readers.Paths, out: str, depth: int = 100) -> dict[str, int]:
+    """Run files of several shards to the best `depth` per query; gives the number of lines that could not be read."""
+    found, bad = readers.read_run(spark, runs)
     writers.write_run(settled(search.reduce_runs([found], depth), "run"), out)
+    return {"bad_lines": bad.count()}
 
 
 def mine_negatives(
     spark: SparkSession, train: DataFrame, corpus: DataFrame, run_file: readers.Paths, out: str, depth: int = 100, min_negatives: int = 1, by_answer: bool = False, regex: bool = False
-) -> None:
-    """Judged rows and their mined copies, as JSON lines."""
-    found, _bad = readers.read_run(spark, run_file)
+) -> dict[str, int]:
+    """Judged rows and their mined copies, as JSON lines; gives the number of run lines that could not be read."""
+    found, bad = readers.read_run(spark, run_file)
     if by_answer:
         mined = mining.answer_negatives(train, found, corpus, depth, regex)
     else:
         mined = mining.basic_negatives(train, found, corpus, depth)
     mining.with_mined(train, mined, min_negatives).write.mode("overwrite").json(out)
+    return {"bad_lines": bad.count()}
 
 
-def prepare_rerank(spark: SparkSession, run_file: readers.Paths, queries: DataFrame, corpus: DataFrame, out: str, depth: int = 1000) -> None:
-    """A run with both texts, as JSON lines."""
-    found, _bad = readers.read_run(spark, run_file)
+def prepare_rerank(spark: SparkSession, run_file: readers.Paths, queries: DataFrame, corpus: DataFrame, out: str, depth: int = 1000) -> dict[str, int]:
+    """A run with both texts, as JSON lines; gives the number of run lines that could not be read."""
+    found, bad = readers.read_run(spark, run_file)
     rerank.rerank_input(found, queries, corpus, depth).write.mode("overwrite").json(out)
+    return {"bad_lines": bad.count()}
 
 
 def rerank_file(spark: SparkSession, pairs: str, score: Column, out: str) -> None:
@@ -146,12 +150,13 @@ def rerank_file(spark: SparkSession, pairs: str, score: Column, out: str) -> Non
 
 def training_shards(
     spark: SparkSession, run_file: readers.Paths, qrels: DataFrame, queries: DataFrame, corpus: DataFrame, out: str, depth: int = 200, n_sample: int = 30, seed: int = 0, max_len: int = 128, shard_rows: int = 45_000
-) -> None:
-    """Ranked negatives to token arrays, in JSON shards."""
-    found, _bad = readers.read_run(spark, run_file)
+) -> dict[str, int]:
+    """Ranked negatives to token arrays, in JSON shards; gives the number of run lines that could not be read."""
+    found, bad = readers.read_run(spark, run_file)
     negatives = settled(mining.ranked_negatives(found, qrels, depth, n_sample, seed), "negatives")
     rows = mining.assemble_examples(negatives, qrels, queries, corpus, max_len)
     writers.write_json_shards(rows.select("query", "positives", "negatives"), out, shard_rows)
+    return {"bad_lines": bad.count()}
 
 
 def pack_texts(texts: DataFrame, order: list[str], length: int, out: str, group_rows: int = 1000, tokenizer=tx.WORDS) -> None:

@@ -85,7 +85,8 @@ def _(spark, d):
 @query("j9_shard_reduce", using("SELECT qid, docid, score, rank FROM dense_run", "dense_run"))
 def _(spark, d):
     rows = t.vectors(spark, d)
-    shards = [rows.where(F.col("label") < 5), rows.where(F.col("label") >= 5)]
+    low = F.coalesce(F.col("label") < 5, F.lit(False))
+    shards = [rows.where(low), rows.where(~low)]
     return _out(search.reduce_runs([search.dense_topk(rows, s, 10) for s in shards], 10))
 
 
@@ -94,8 +95,8 @@ def _(spark, d):
     base = fresh_path(spark, "runs")
     langs = t.documents(spark, d).select(F.col("doc_id").cast("string").alias("docid"), "lang")
     run = t.run(spark, d).join(langs, "docid")
-    writers.write_run(run.where("lang = 'en'"), f"{base}/a")
-    writers.write_run(run.where("lang <> 'en'"), f"{base}/b")
+    writers.write_run(run.where("lang <=> 'en'"), f"{base}/a")
+    writers.write_run(run.where("not (lang <=> 'en')"), f"{base}/b")
     parts, _bad = readers.read_run(spark, [f"{base}/a", f"{base}/b"])
     return _out(search.reduce_runs([parts], 20))
 

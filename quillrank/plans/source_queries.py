@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,10 @@ def _(spark, d):
         t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "lang"), "id"
     )
     base = fresh_path(spark, "shards")
-    for lang in ("en", "fr", "de", "es"):
-        writers.write_lines(writers.corpus_lines(vectors.where(F.col("lang") == lang).drop("lang")), f"{base}/{lang}")
+    named = ("en", "fr", "de", "es")
+    shard = F.when(F.col("lang").isin(*named), F.col("lang")).otherwise(F.lit("rest"))
+    for lang in (*named, "rest"):
+        writers.write_lines(writers.corpus_lines(vectors.where(shard == lang).drop("lang")), f"{base}/{lang}")
         shards.append(readers.read_sparse_corpus(spark, f"{base}/{lang}")[0])
     merged = writers.merge_shards(shards)
     mass = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + x)
@@ -146,8 +150,9 @@ def _(spark, d):
 def _(spark, d):
     base = fresh_path(spark, "vectors")
     rows = t.vectors(spark, d)
-    writers.write_vectors(rows.where(F.col("label") < 5), f"{base}/shard-a")
-    writers.write_vectors(rows.where(F.col("label") >= 5), f"{base}/shard-b")
+    low = F.coalesce(F.col("label") < 5, F.lit(False))
+    writers.write_vectors(rows.where(low), f"{base}/shard-a")
+    writers.write_vectors(rows.where(~low), f"{base}/shard-b")
     return _vector_sums(readers.read_vectors(spark, f"{base}/shard-*"))
 
 
@@ -355,3 +360,54 @@ def _(spark, d):
     back = readers.read_tokenised(spark, path)
     total = F.aggregate("text", F.lit(0).cast("long"), lambda a, x: a + x)
     return back.select("text_id", F.size("text").cast("long").alias("size"), total.alias("total"))
+
+
+
+def _damaged(spark: SparkSession, d: str, *forms: str) -> str:
+    """Lines of the given forms, each made from the id of every document."""
+    path = fresh_path(spark, "damaged")
+    each = [F.format_string(form, F.col("doc_id").cast("string")) for form in forms]
+    writers.write_lines(t.documents(spark, d).select(F.explode(F.array(*each)).alias("value")), path)
+    return path
+
+
+@query(
+    "s10_damaged_lines",
+    "SELECT reader, count(*) AS good, 2 * count(*) AS bad, CAST(sum(length(CAST(doc_id AS VARCHAR))) AS BIGINT) AS mass "
+    "FROM documents, (VALUES ('s10'), ('s11'), ('s12'), ('s15'), ('s21'), ('s22'), ('s24'), ('s26')) v(reader) GROUP BY reader",
+)
+def _(spark, d):
+    """Each document gives every reader one good line and two damaged ones."""
+    split = {"on_bad": "split"}
+    lines = lambda *forms: _damaged(spark, d, *forms)
+    bundle = f"{fresh_path(spark, 'bundle')}/set"
+    writers.write_lines(spark.read.text(lines('{"_id": "%s"}', "{%s", '["%s"]')), f"{bundle}/corpus.jsonl")
+    writers.write_lines(spark.range(0).select(F.lit("").alias("value")), f"{bundle}/queries.jsonl")
+    writers.write_lines(spark.range(0).select(F.lit("").alias("value")), f"{bundle}/qrels/test.tsv")
+    found = readers.read_bundle(spark, bundle.rsplit("/", 1)[0], "set", **split)
+    triplets = f"{fresh_path(spark, 'triplets')}/task.jsonl"
+    writers.write_lines(spark.read.text(lines('{"query": "%s"}', '{"query": "%s"', "%s query")), triplets)
+    read = {
+        "s10": ("query_id", readers.read_queries(spark, lines("%s\tq", "%s", "%s\tq\tq"), **split)),
+        "s11": ("docid", readers.read_collection(spark, lines("%s\t\tx", "%s\tx", "%s\tt\tx\tx"), **split)),
+        "s12": ("docid", readers.read_qrels(spark, lines("q\t0\t%s\t1", "q\t%s\t1", "q\t0\t%s\tx"), **split)),
+        "s15": ("docid", readers.read_ranks(spark, lines("q\t%s\t1", "q %s 1", "q\t%s\tx"), **split)),
+        "s21": ("docid", (found["corpus"], found["bad"])),
+        "s22": ("query", readers.read_triplets(spark, triplets.rsplit("/", 1)[0], **split)),
+        "s24": ("query_id", readers.read_training(spark, _named(spark, lines('{"query_id": "%s"}', "{%s}", "%s")), **split)),
+        "s26": ("text_id", readers.read_tokenised(spark, lines('{"text_id": "%s", "text": [1]}', '{"text_id": "%s"', "[%s"), **split)),
+    }
+    marked = []
+    for reader, (key, (good, bad)) in read.items():
+        marked.append(good.select(F.lit(reader).alias("reader"), F.length(key).alias("mass")))
+        marked.append(bad.select(F.lit(reader).alias("reader"), F.lit(None).cast("int").alias("mass")))
+    rows = reduce(DataFrame.unionByName, marked)
+    n_bad = F.sum(F.col("mass").isNull().cast("long")).alias("bad")
+    return rows.groupBy("reader").agg(F.count("mass").alias("good"), n_bad, F.sum("mass").alias("mass"))
+
+
+def _named(spark: SparkSession, path: str) -> str:
+    """The same lines below a name that the directory reader takes as a file."""
+    place = f"{fresh_path(spark, 'train')}/rows.jsonl"
+    writers.write_lines(spark.read.text(path), place)
+    return place

@@ -31,6 +31,23 @@ def _(spark, d):
     return out.withColumn("logit", F.round("logit", 6))
 
 
+@query(
+    "e1_pooled_batches",
+    using(
+        "WITH a AS (SELECT id, pos, term, length(term) / 10.0 AS logit, count(*) OVER (PARTITION BY id) AS n FROM doc_tokens) "
+        "SELECT how, id, term, round(ln(1 + w), 6) AS weight FROM ("
+        "SELECT 'max' AS how, id, term, max(logit) AS w FROM a GROUP BY id, term "
+        "UNION ALL SELECT 'mean', id, term, sum(logit) / any_value(n) FROM a GROUP BY id, term "
+        "UNION ALL SELECT 'last', id, term, logit FROM a WHERE pos = n - 1)",
+        "doc_tokens",
+    ).replace("\nWITH a AS", ",\na AS", 1),
+)
+def _(spark, d):
+    rows = t.encoder_docs(spark, d)
+    pooled = lambda how: sparse.encode_pooled(rows, word_length_encoder, how).select(F.lit(how).alias("how"), "id", "term", "weight")
+    return _rounded(pooled("max").unionByName(pooled("mean")).unionByName(pooled("last")))
+
+
 @query("e1_lexical_activations", using("SELECT id, pos, term, round(logit, 6) AS logit FROM activations", "activations"))
 def _(spark, d):
     return t.activations(spark, d).withColumn("logit", F.round("logit", 6))

@@ -12,8 +12,6 @@ from quillrank.operators import mining, search, sparse
 from quillrank.plans.registry import part
 from quillrank.session import fresh_path
 
-MAX_DOC_TERMS = 512
-MAX_QUERY_TERMS = 128
 DEPTH = 100
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -80,19 +78,18 @@ def activations(spark: SparkSession, sf_dir: str, every_position: bool = True) -
     )
 
 
-def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, known: DataFrame, max_terms: int) -> DataFrame:
+def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, known: DataFrame) -> DataFrame:
     weights = sparse.lexical_weights(rows, known, doc_count(spark, sf_dir))
-    heavy = sparse.top_terms(weights, max_terms)
-    return sparse.fill_empty(sparse.quantise(heavy), rows)
+    return sparse.fill_empty(sparse.quantise(weights), rows)
 
 
 def make_doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encode(spark, sf_dir, encoder_docs(spark, sf_dir), frequencies(spark, sf_dir), MAX_DOC_TERMS)
+    return _encode(spark, sf_dir, encoder_docs(spark, sf_dir), frequencies(spark, sf_dir))
 
 
 def make_query_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encoder_queries(spark, sf_dir)
-    return _encode(spark, sf_dir, rows, sparse.frequencies_for(rows, frequencies(spark, sf_dir)), MAX_QUERY_TERMS)
+    return _encode(spark, sf_dir, rows, sparse.frequencies_for(rows, frequencies(spark, sf_dir)))
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +191,10 @@ part(
     "n",
 )
 part("doc_max", "SELECT id, term, ln(1 + greatest(max(logit), 0)) AS weight FROM activations GROUP BY id, term", "activations")
-part(
-    "doc_top",
-    "SELECT id, term, weight FROM doc_max "
-    f"QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= {MAX_DOC_TERMS}",
-    "doc_max",
-)
 part(
     "doc_post",
-    "SELECT id, term, CAST(round_even(weight * 100, 0) AS BIGINT) AS weight FROM doc_top WHERE round_even(weight * 100, 0) > 0",
-    "doc_top",
+    "SELECT id, term, CAST(round_even(weight * 100, 0) AS BIGINT) AS weight FROM doc_max WHERE round_even(weight * 100, 0) > 0",
+    "doc_max",
 )
 part(
     "query_max",
@@ -216,8 +207,7 @@ part(
 )
 part(
     "query_post",
-    "SELECT id, term, CAST(round_even(weight * 100, 0) AS BIGINT) AS weight FROM (SELECT * FROM query_max "
-    f"QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= {MAX_QUERY_TERMS}) "
+    "SELECT id, term, CAST(round_even(weight * 100, 0) AS BIGINT) AS weight FROM query_max "
     "WHERE round_even(weight * 100, 0) > 0",
     "query_max",
 )

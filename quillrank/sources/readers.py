@@ -1,4 +1,7 @@
-"""Readers. Lines that cannot be read go to a quarantine frame (source, line, reason) instead of vanishing."""
+"""Readers. Lines that cannot be read go to a quarantine frame (source, line, reason) instead of vanishing.
+
+Readers with `on_bad` give good rows only and fail on a bad line ("fail"), or give both frames ("split").
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillrank.functions.text import let, strip
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
@@ -22,9 +24,9 @@ TOKENISED_ROWS = "text_id string, text array<int>"
 TOKENISED_EXAMPLES = "query array<int>, positives array<array<int>>, negatives array<array<int>>"
 
 
-def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Non-blank lines with the file they came from. A missing path is an error."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+def read_lines(spark: SparkSession, paths: Paths, only: str | None = None) -> DataFrame:
+    """Non-blank lines with the file they came from; `only` is a pattern of file names. A missing path is an error."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), pathGlobFilter=only)
     return lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line")).where(
         ~F.col("line").rlike(r"\A\s*\z")
     )
@@ -37,6 +39,22 @@ def _split(lines: DataFrame, bad: Column, reason: Column) -> tuple[DataFrame, Da
     )
 
 
+def _kept(lines: DataFrame, bad: Column, reason: Column, on_bad: str) -> tuple[DataFrame, DataFrame]:
+    """Good lines and the quarantine; with "fail" the good lines stop with an error at the first bad one."""
+    if on_bad not in ("fail", "split"):
+        raise ValueError(f"unknown on_bad {on_bad}")
+    bad = F.coalesce(bad, F.lit(False))
+    good, quarantine = _split(lines, bad, reason)
+    if on_bad == "fail":
+        stop = F.raise_error(F.concat(F.lit("bad line in "), "source", F.lit(": "), reason))
+        good = lines.where(F.when(bad, stop.cast("boolean")).otherwise(True))
+    return good, quarantine
+
+
+def _given(good: DataFrame, bad: DataFrame, on_bad: str) -> DataFrame | tuple[DataFrame, DataFrame]:
+    return good if on_bad == "fail" else (good, bad)
+
+
 def _trimmed(line: str = "line") -> Column:
     return strip(F.col(line))
 
@@ -102,25 +120,37 @@ def read_vectors(spark: SparkSession, paths: Paths) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
-def _tsv(spark: SparkSession, paths: Paths, names: Sequence[str]) -> DataFrame:
-    shape = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(paths if isinstance(paths, str) else list(paths), sep="\t", schema=shape, quote="", escape="")
+def _tsv(spark: SparkSession, paths: Paths, names: Sequence[str], on_bad: str, whole: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines of exactly the named fields, as they stand between tabs; `whole` names a field that must be a whole number."""
+    lines = read_lines(spark, paths).withColumn("_f", F.split("line", "\t", -1))
+    count = F.size("_f") != len(names)
+    number = F.get("_f", F.lit(list(names).index(whole))).try_cast("int") if whole else None
+    bad = count if whole is None else count | number.isNull()
+    reason = F.when(count, F.lit(f"not {len(names)} fields")).otherwise(F.lit(f"{whole} is no whole number"))
+    good, quarantine = _kept(lines, bad, reason, on_bad)
+    fields = [number.alias(n) if n == whole else F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return good.select(*fields), quarantine
 
 
-def read_queries(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _tsv(spark, paths, ["query_id", "query"])
+def read_queries(spark: SparkSession, paths: Paths, on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """`query_id TAB query`."""
+    return _given(*_tsv(spark, paths, ["query_id", "query"], on_bad), on_bad)
 
 
-def read_collection(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _tsv(spark, paths, ["docid", "title", "text"])
+def read_collection(spark: SparkSession, paths: Paths, on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """`docid TAB title TAB text`. An empty title is a missing one."""
+    rows, bad = _tsv(spark, paths, ["docid", "title", "text"], on_bad)
+    return _given(rows.withColumn("title", F.nullif("title", F.lit(""))), bad, on_bad)
 
 
-def read_qrels(spark: SparkSession, paths: Paths, strict: bool = True) -> DataFrame:
+def read_qrels(
+    spark: SparkSession, paths: Paths, strict: bool = True, on_bad: str = "fail"
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """`topic TAB iter TAB docid TAB rel`; strict fails on any judgment but 1."""
-    rows = _tsv(spark, paths, ["qid", "iter", "docid", "rel"])
+    rows, bad = _tsv(spark, paths, ["qid", "iter", "docid", "rel"], on_bad, "rel")
     if strict:
-        rows = rows.where(F.assert_true(F.col("rel") == "1", "judgment other than 1").isNull())
-    return rows.select("qid", "docid", F.col("rel").cast("int").alias("rel"))
+        rows = rows.where(F.assert_true(F.col("rel") == 1, "judgment other than 1").isNull())
+    return _given(rows.select("qid", "docid", "rel"), bad, on_bad)
 
 
 def qrel_lists(qrels: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
@@ -148,31 +178,46 @@ def read_run(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
     return parse_run(read_lines(spark, paths))
 
 
-def read_ranks(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_ranks(spark: SparkSession, paths: Paths, on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
     """`qid TAB docid TAB rank`."""
-    rows = _tsv(spark, paths, ["qid", "docid", "rank"])
-    return rows.withColumn("rank", F.col("rank").cast("int"))
+    return _given(*_tsv(spark, paths, ["qid", "docid", "rank"], on_bad, "rank"), on_bad)
+
+
+def _json_rows(lines: DataFrame, schema: str, on_bad: str) -> tuple[DataFrame, DataFrame]:
+    """(source, columns of the schema) of JSON lines, and the lines that are not such objects. A missing key is null."""
+    shape = f"{schema}, _corrupt_record string"
+    parsed = F.from_json(_trimmed(), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = lines.withColumn("_doc", parsed)
+    bad = F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull()
+    good, quarantine = _kept(lines, bad, F.lit("not json of this form"), on_bad)
+    return good.select("source", "_doc.*").drop("_corrupt_record"), quarantine
 
 
-def read_bundle(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame]:
-    """Corpus, queries and the judgments of a dataset's test split (dev for msmarco)."""
+def read_bundle(spark: SparkSession, path: str, dataset: str, on_bad: str = "fail") -> dict[str, DataFrame]:
+    """Corpus, queries and the judgments of a dataset's test split (dev for msmarco); with "split" also `bad` lines."""
     split = "dev" if dataset == "msmarco" else "test"
     base = f"{path}/{dataset}"
-    corpus = spark.read.schema("_id string, title string, text string").json(f"{base}/corpus.jsonl")
-    queries = spark.read.schema("_id string, text string").json(f"{base}/queries.jsonl")
-    qrels = spark.read.csv(f"{base}/qrels/{split}.tsv", sep="\t", header=True, schema="qid string, docid string, rel int")
-    return {
+    corpus, bad_docs = _json_rows(read_lines(spark, f"{base}/corpus.jsonl"), "_id string, title string, text string", on_bad)
+    queries, bad_queries = _json_rows(read_lines(spark, f"{base}/queries.jsonl"), "_id string, text string", on_bad)
+    shape = "qid string, docid string, rel int, _corrupt_record string"
+    judged = spark.read.csv(f"{base}/qrels/{split}.tsv", sep="\t", header=True, schema=shape)
+    judged = judged.withColumn("source", F.col("_metadata.file_path"))
+    judged = judged.withColumn("line", F.coalesce("_corrupt_record", F.concat_ws("\t", "qid", "docid")))
+    no_rel = F.col("_corrupt_record").isNotNull() | F.col("rel").isNull()
+    qrels, bad_qrels = _kept(judged, no_rel, F.lit("not a judgment"), on_bad)
+    found = {
         "corpus": corpus.select(F.col("_id").alias("docid"), "title", "text"),
         "queries": queries.select(F.col("_id").alias("query_id"), F.col("text").alias("query")),
-        "qrels": qrels,
+        "qrels": qrels.select("qid", "docid", "rel"),
     }
+    return found if on_bad == "fail" else found | {"bad": bad_docs.unionByName(bad_queries).unionByName(bad_qrels)}
 
 
-def read_triplets(spark: SparkSession, directory: str) -> DataFrame:
+def read_triplets(spark: SparkSession, directory: str, on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
     """One JSON-lines file per task; the file name is the task."""
-    rows = spark.read.schema(TRIPLET).json(f"{directory}/*.jsonl*")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.jsonl[^/]*(/[^/]*)?$", 1)
-    return rows.select(name.alias("task_name"), "query", "positive", "negative")
+    rows, bad = _json_rows(read_lines(spark, f"{directory}/*.jsonl*"), TRIPLET, on_bad)
+    name = F.regexp_extract(F.col("source"), r"([^/]+?)\.jsonl[^/]*(/[^/]*)?$", 1)
+    return _given(rows.select(name.alias("task_name"), "query", "positive", "negative"), bad, on_bad)
 
 
 def read_sentences(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -181,11 +226,13 @@ def read_sentences(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(line.alias("query"), line.alias("positive"))
 
 
-def read_training(spark: SparkSession, path: str, schema: str = JUDGED) -> DataFrame:
+def read_training(
+    spark: SparkSession, path: str, schema: str = JUDGED, on_bad: str = "fail"
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Judged rows from one file, or from every .json and .jsonl file of a directory."""
-    if path.endswith((".json", ".jsonl")):
-        return spark.read.schema(schema).json(path)
-    return spark.read.schema(schema).option("pathGlobFilter", "*.{json,jsonl}").json(path)
+    only = None if path.endswith((".json", ".jsonl")) else "*.{json,jsonl}"
+    rows, bad = _json_rows(read_lines(spark, path, only), schema, on_bad)
+    return _given(rows.drop("source"), bad, on_bad)
 
 
 def read_text_source(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
@@ -200,9 +247,12 @@ def read_text_source(spark: SparkSession, path: str, extension: str | None = Non
     return spark.read.format(kind).load(path)
 
 
-def read_tokenised(spark: SparkSession, path: str, schema: str = TOKENISED_ROWS) -> DataFrame:
+def read_tokenised(
+    spark: SparkSession, path: str, schema: str = TOKENISED_ROWS, on_bad: str = "fail"
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Rows tokenised before; they skip every text step."""
-    return spark.read.schema(schema).json(path)
+    rows, bad = _json_rows(read_lines(spark, path), schema, on_bad)
+    return _given(rows.drop("source"), bad, on_bad)
 
 
 def parse_dataset_name(name: str | None) -> tuple[str, str, str]:

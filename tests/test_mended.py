@@ -1,11 +1,13 @@
 """Cases that once lost rows or gave wrong ones."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import evaluation, metrics, mining, search
+from quillrank.operators import evaluation, metrics, mining, search, sparse
 from quillrank.operators.placement import running_total
 from quillrank.session import fresh_path
+from quillrank.sources import readers
 from quillrank.streaming import incremental
 
 
@@ -74,3 +76,41 @@ def test_document_that_arrives_again_counts_once(spark):
     batch([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], 0)
     batch([("a", "z", 5)], 10)
     assert sorted(map(tuple, incremental.read_encoded(spark, out).collect())) == [("a", "z", 5), ("b", "x", 3)]
+
+
+def _lines(spark, values, name="lines"):
+    path = f"{fresh_path(spark, 'damaged')}/{name}"
+    spark.createDataFrame([(v,) for v in values], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_tsv_lines_of_other_lengths_are_kept_apart(spark):
+    path = _lines(spark, ["1\tt\tx", "2\tt\tsome\ttext after tab", "3\tx", "4\tt\t"])
+    good, bad = readers.read_collection(spark, path, on_bad="split")
+    assert sorted(map(tuple, good.collect())) == [("1", "t", "x"), ("4", "t", "")]
+    assert sorted(r["line"] for r in bad.collect()) == ["2\tt\tsome\ttext after tab", "3\tx"]
+    with pytest.raises(Exception, match="not 3 fields"):
+        readers.read_collection(spark, path).count()
+
+
+def test_bad_json_is_no_row(spark):
+    path = _lines(spark, ['{"query_id": "1"}', "{broken", "[]", "null"], "rows.jsonl")
+    good, bad = readers.read_training(spark, path, on_bad="split")
+    assert [r["query_id"] for r in good.collect()] == ["1"] and bad.count() == 3
+    with pytest.raises(Exception, match="not json"):
+        readers.read_training(spark, path).collect()
+
+
+def test_tokens_without_activation_count(spark):
+    texts = spark.createDataFrame([("1", "a b c d"), ("2", None), ("3", "d a")], "id string, text string")
+
+    def first_only(batch):
+        rows = [(i, 0, t.split()[0], 4.0) for i, t in zip(batch["id"], batch["text"]) if t]
+        return pd.DataFrame(rows, columns=["id", "pos", "term", "logit"])
+
+    pooled = lambda how: {r["id"]: round(r["weight"], 6) for r in sparse.encode_pooled(texts, first_only, how).collect()}
+    assert pooled("mean") == {"1": 0.693147, "3": 1.098612}
+    assert pooled("max") == {"1": 1.609438, "3": 1.609438}
+    assert pooled("last") == {}
+    sizes = spark.createDataFrame([("1", 4), ("3", 2)], "id string, n_tokens int")
+    assert sparse.pool(sparse.encode_batches(texts.na.fill(""), first_only), "last", sizes).count() == 0
