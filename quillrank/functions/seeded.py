@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def seeded_key(seed: int, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+    """A whole number of 60 bits from the MD5 of seed and key columns, joined by colons: any engine can draw the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def seeded_shuffle(items: Column, seed: int, *cols: Column) -> Column:

@@ -94,7 +94,19 @@ def _(spark, d):
     return _ranked(spark, d).withColumn("place", F.col("place").cast("long"))
 
 
-@query("n6_sampled_negatives")
+SEEDED = "CAST('0x' || substr(md5('5:' || qid || ':' || i), 1, 15) AS BIGINT)"
+
+
+@query(
+    "n6_sampled_negatives",
+    using(
+        "SELECT qid, CAST(0 AS BIGINT) AS part, array_to_string(list_transform(list_sort(list_transform(range(0, len(ids)), "
+        f"lambda i: {{'k': {SEEDED}, 'i': i}})), lambda s: ids[s.i + 1])[1:30], ',') AS negatives FROM "
+        "(SELECT qid, list(docid ORDER BY docid) AS ids FROM run ANTI JOIN qrels USING (qid, docid) GROUP BY qid)",
+        "run",
+        "qrels",
+    ),
+)
 def _(spark, d):
     other = t.run(spark, d).join(t.qrels(spark, d), ["qid", "docid"], "left_anti")
     triples = other.select("qid", F.col("docid").alias("negative"))

@@ -41,6 +41,22 @@ part(
 )
 
 
+def _key(*parts: str) -> str:
+    """The SQL of a seeded key."""
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 15) AS BIGINT)"
+
+
+def _ordered(ids: str, seed: int, item: str) -> str:
+    """The SQL of a list in seeded order."""
+    keys = f"list_transform(range(0, len({ids})), lambda i: {{'k': {_key(f"'{seed}'", item, 'i')}, 'i': i}})"
+    return f"list_transform(list_sort({keys}), lambda s: {ids}[s.i + 1])"
+
+
+def _replaced(ids: str, seed: int, item: str, epoch: int, m: int) -> str:
+    """The SQL of a draw with replacement from a list that is shorter than m."""
+    return f"list_transform(range(1, {m + 1}), lambda i: {ids}[1 + {_key(f"'{seed}'", item, f"'{epoch}'", 'i')} % len({ids})])"
+
+
 def _choices(spark, d):
     """Documents of each judged row, positives first."""
     rows = t.judged(spark, d).withColumn("ids", F.concat("positive_passages.docid", "negative_passages.docid"))
@@ -59,19 +75,28 @@ def _(spark, d):
 @query(
     "n11_negatives_for_epoch",
     using(
-        "SELECT query_id, array_to_string(ids[1:4], ',') AS first, "
-        "array_to_string(list_concat(ids, ids)[1 + (3 * 4) % len(ids) : (3 * 4) % len(ids) + 4], ',') AS turned FROM choices WHERE len(ids) >= 4",
+        "SELECT query_id, array_to_string(CASE WHEN len(ids) < 4 THEN few ELSE ids[1:4] END, ',') AS first, array_to_string("
+        "CASE WHEN len(ids) < 4 THEN few ELSE list_concat(ids, ids)[1 + (3 * 4) % len(ids) : (3 * 4) % len(ids) + 4] END, ',') AS turned "
+        f"FROM (SELECT *, {_replaced('ids', 42, 'item', 3, 4)} AS few FROM choices)",
         "choices",
     ),
 )
 def _(spark, d):
     choose = lambda **o: F.array_join(trainset.negatives_for_epoch(F.col("ids"), F.col("item"), 5, 42, 3, **o), ",")
-    return _choices(spark, d).where(F.size("ids") >= 4).select(
+    return _choices(spark, d).select(
         "query_id", choose(shuffle=False).alias("first"), choose(order_shuffle=False).alias("turned")
     )
 
 
-@query("n11_seeded_negatives")
+@query(
+    "n11_seeded_negatives",
+    using(
+        f"SELECT query_id, array_to_string(CASE WHEN len(ids) < 15 THEN {_replaced('ids', 42, 'item', 3, 15)} "
+        "ELSE list_concat(o, o)[1 + 45 % len(ids) : 45 % len(ids) + 15] END, ',') AS negatives "
+        f"FROM (SELECT *, {_ordered('ids', 42, 'item')} AS o FROM choices)",
+        "choices",
+    ),
+)
 def _(spark, d):
     drawn = trainset.negatives_for_epoch(F.col("ids"), F.col("item"), 16, 42, 3)
     return _choices(spark, d).select("query_id", F.array_join(drawn, ",").alias("negatives"))
@@ -80,8 +105,10 @@ def _(spark, d):
 @query(
     "n12_scored_negatives",
     using(
-        "SELECT query_id, array_to_string(list_transform(list_concat(ids, ids)[1 + (3 * 4) % len(ids) : (3 * 4) % len(ids) + 4], "
-        "lambda x: x || ':' || CAST(length(x) AS VARCHAR)), ',') AS turned FROM choices WHERE len(ids) >= 4",
+        "SELECT query_id, array_to_string(list_transform(CASE WHEN len(ids) < 4 THEN few "
+        "ELSE list_concat(ids, ids)[1 + (3 * 4) % len(ids) : (3 * 4) % len(ids) + 4] END, "
+        "lambda x: x || ':' || CAST(length(x) AS VARCHAR)), ',') AS turned "
+        f"FROM (SELECT *, {_replaced('ids', 42, 'item', 3, 4)} AS few FROM choices)",
         "choices",
     ),
 )
@@ -89,10 +116,22 @@ def _(spark, d):
     pairs = F.transform("ids", lambda x: F.struct(x.alias("docid"), F.length(x).alias("score")))
     drawn = trainset.negatives_for_epoch(F.col("pairs"), F.col("item"), 5, 42, 3, order_shuffle=False)
     shown = F.array_join(F.transform(drawn, lambda p: F.concat_ws(":", p["docid"], p["score"].cast("string"))), ",")
-    return _choices(spark, d).where(F.size("ids") >= 4).withColumn("pairs", pairs).select("query_id", shown.alias("turned"))
+    return _choices(spark, d).withColumn("pairs", pairs).select("query_id", shown.alias("turned"))
 
 
-@query("n13_group_sample")
+@query(
+    "n13_group_sample",
+    using(
+        f"SELECT query_id, ({_ordered('p', 9, 'query_id')})[1] AS positive, array_to_string(CASE WHEN len(n) = 0 THEN n "
+        f"WHEN len(n) < 4 THEN {_replaced('n', 10, 'query_id', 0, 4)} ELSE ({_ordered('n', 10, 'query_id')})[1:4] END, ',') AS negatives "
+        "FROM (SELECT query_id, coalesce(p, []) AS p, coalesce(n, []) AS n FROM queries "
+        "LEFT JOIN (SELECT qid AS query_id, list(docid ORDER BY docid) AS p FROM positives GROUP BY qid) USING (query_id) "
+        "LEFT JOIN (SELECT qid AS query_id, list(docid ORDER BY rank) AS n FROM negatives GROUP BY qid) USING (query_id))",
+        "queries",
+        "positives",
+        "negatives",
+    ),
+)
 def _(spark, d):
     rows = t.judged(spark, d).select("query_id", F.col("positive_passages.docid").alias("positives"), F.col("negative_passages.docid").alias("negatives"))
     drawn = trainset.sample_group(rows, "query_id", 5, seed=9)
@@ -152,7 +191,15 @@ def _(spark, d):
     return out.select("task_name", "sample", "batch", "place")
 
 
-@query("n16_seeded_batches")
+@query(
+    "n16_seeded_batches",
+    using(
+        "SELECT task_name, sample, i // 8 AS batch, i % 8 AS place FROM (SELECT *, row_number() OVER (PARTITION BY task_name "
+        f"ORDER BY {_key("'3'", 'task_name', 'sample')}, sample) - 1 AS i, count(*) OVER (PARTITION BY task_name) AS n "
+        f"FROM (SELECT conv_id * 1000 + turn AS sample, {TASK} AS task_name FROM turns)) WHERE (i // 8 + 1) * 8 <= n",
+        "turns",
+    ),
+)
 def _(spark, d):
     out = trainset.task_batches(_samples(spark, d), "sample", 8, seed=3)
     return out.orderBy("turn", "place").select("task_name", "sample", "batch", "place")
@@ -184,7 +231,12 @@ def _(spark, d):
     return out.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("n20_full_masking")
+@query(
+    "n20_full_masking",
+    f"SELECT doc_id, len(w) AS tokens, len(list_filter(range(0, len(w)), lambda i: ({_key("'4'", 'doc_id', 'i')} % 1099511627776) "
+    "/ 1099511627776.0 < 0.3 AND length(w[i + 1]) NOT IN (1, 2))) AS masked "
+    f"FROM (SELECT doc_id, {t.sql_words('text')} AS w FROM documents)",
+)
 def _(spark, d):
     ids = F.transform(tx.word_tokens(F.col("text")), lambda w: F.length(w))
     rows = t.documents(spark, d).select("doc_id", ids.alias("tokens"))
