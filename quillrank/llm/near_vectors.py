@@ -2,8 +2,8 @@
 
 A neighbour list per vector is refined by joins of neighbours with neighbours: in each round, the vectors that meet in
 somebody's list, or that have somebody in theirs, are compared, and each keeps the nearest it has seen. The first lists come from several
-sorted orders of sign patterns. Lists whose every entry is over the threshold are saturated: they may hide more, and
-grow. A sample of vectors is compared with all others after each round; rounds go on until their links are in.
+sorted orders of sign patterns. A list full of near copies is saturated and may hide more: vectors that are linked form
+a group, and each vector has a second list, of the nearest outside its group. A sample of vectors is compared with all others after each round; rounds go on until their links are in.
 
 Lists lead to groups, and within a group every pair is compared in blocks in double precision: this is where saturated lists
 end up complete, whatever their length. Blocks give counts and a spanning forest, never their pairs.
@@ -11,6 +11,7 @@ end up complete, whatever their length. Blocks give counts and a spanning forest
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -91,45 +92,61 @@ def _first_lists(reps: DataFrame, dim: int) -> DataFrame:
     return order.mapInArrow(link, "u long, v long, sim float")
 
 
-def _best(edges: DataFrame, grown: DataFrame | None, k: int) -> DataFrame:
-    """The k nearest per vector; saturated lists hold four times as many."""
+def _sided(graph: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v, sim, own): whether the ends are in one group. A vector without a link is a group of its own."""
+    side = lambda c: groups.select(F.col("id").alias(c), F.col("g").alias(f"g{c}"))
+    met = graph.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return met.select("u", "v", "sim", (F.col("gu").isNotNull() & (F.col("gu") == F.col("gv"))).alias("own"))
+
+
+def _best(edges: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(u, v, sim, own): per vector the k nearest of its group and the k nearest outside it.
+
+    However many near copies a vector has, its list goes on outside their group: the next link out is never hidden.
+    """
     distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ranked = top_k(distinct, ["u"], [F.desc("sim"), F.col("v")], 4 * k)
-    if grown is None:
-        return ranked.where(F.col("rank") <= k).drop("rank")
-    ranked = ranked.join(grown.select("u", F.lit(True).alias("grown")), "u", "left")
-    return ranked.where((F.col("rank") <= k) | F.col("grown")).drop("rank", "grown")
+    return top_k(_sided(distinct, groups), ["u", "own"], [F.desc("sim"), F.col("v")], k).drop("rank")
 
 
-def _meetings(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(u, v, sim) of pairs that meet in the list of a third, or point at it, and beat the worst entry of either."""
+def _meetings(graph: DataFrame, groups: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(u, v, sim) of pairs that meet in the list of a third, or point at it, and beat the worst entry of either list."""
     back = graph.select(F.col("v").alias("p"), F.col("u").alias("m"))
     # Many vectors can have the same one in their lists: those are dealt out to several meetings, each with its list.
     tables = back.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("n"))
-    own = graph.select(F.col("u").alias("p"), F.col("v").alias("m")).join(tables, "p", "left")
+    own = graph.select(F.col("u").alias("p"), F.col("v").alias("m"))
+    own = own.union(own.select("p", F.col("p").alias("m")).distinct()).join(tables, "p", "left")
     own = own.select("p", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("q"), "m")
     back = back.join(tables, "p").select("p", F.pmod(F.xxhash64("m"), "n").cast("int").alias("q"), "m")
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst"))
-    known = reps.join(worst, reps["id"] == worst["u"], "left").select(F.col("id").alias("m"), "vec", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst"))
-    seats = own.union(back).distinct().join(known, "m").select("p", "q", "m", "worst", "vec")
-
-    def compare(ids: np.ndarray, worst: np.ndarray, matrix: np.ndarray):
+    # A list that is not full takes anything.
+    entries = lambda own: F.when(F.count(F.when(F.col("own") == own, 1)) >= k, F.min(F.when(F.col("own") == own, F.col("sim"))))
+    worst = graph.groupBy("u").agg(entries(True).alias("inner"), entries(False).alias("outer"))
+    known = reps.join(worst, reps["id"] == worst["u"], "left").join(groups.select(F.col("id").alias("of"), "g"), F.col("id") == F.col("of"), "left")
+    bound = lambda c: F.coalesce(c, F.lit(-1.0)).cast("float").alias(c)
+    known = known.select(F.col("id").alias("m"), F.coalesce("g", "id").alias("g"), bound("inner"), bound("outer"), "vec")
+    seats = own.union(back).distinct().join(known, "m").select("p", "q", "m", "g", "inner", "outer", "vec")
+
+    def compare(ids: np.ndarray, group: np.ndarray, inner: np.ndarray, outer: np.ndarray, matrix: np.ndarray):
         sims = matrix @ matrix.T
         np.fill_diagonal(sims, -2)
-        # Of each seat the k best it meets: a list of k takes no more from one meeting.
+        same = group[:, None] == group[None, :]
+        # Of each seat the k best it meets, in its group and outside: a list of k takes no more from one meeting.
         take = min(k, len(ids) - 1)
-        best = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take else np.empty((len(ids), 0), int)
-        row = np.repeat(np.arange(len(ids)), take)
-        col = best.ravel()
-        better = sims[row, col] > worst[row]
-        return ids[row[better]], ids[col[better]], sims[row[better], col[better]].astype(np.float32)
+        found = []
+        for side, worst in ((same, inner), (~same, outer)):
+            seen = np.where(side, sims, -2)
+            best = np.argpartition(-seen, take - 1, axis=1)[:, :take]
+            row = np.repeat(np.arange(len(ids)), take)
+            col = best.ravel()
+            better = seen[row, col] > np.maximum(worst[row], -1.5)
+            found.append((ids[row[better]], ids[col[better]], seen[row[better], col[better]].astype(np.float32)))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy() for i in range(4)] + [_halves(batch.column(4))]
+            rows = [batch.column(i).to_numpy() for i in range(6)] + [_halves(batch.column(6))]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows)]
             change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
@@ -226,7 +243,7 @@ def _compare_groups(groups: DataFrame, reps: DataFrame, threshold: float) -> Dat
 def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds: int, recall: float) -> DataFrame:
     """(id, n, other) of all groups of vectors of one length, see `_compare_groups`."""
     near = threshold - SLACK
-    graph = settled(_best(_first_lists(reps, dim), None, neighbours), "lists")
+    edges = settled(_first_lists(reps, dim), "edges")
     audit = reps.orderBy(F.xxhash64("id"), "id").limit(AUDIT_VECTORS).select("id", "label", "exact").toPandas()
     ids, labels = audit["id"].to_numpy(dtype=np.int64), audit["label"].to_numpy(dtype=np.int64)
     asked = np.stack(audit["exact"].to_list()) if len(audit) else np.empty((0, dim))
@@ -242,18 +259,24 @@ def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a[different]]), pa.array(who[b[different]])], names=["a", "b"])
 
     truth = settled(reps.select("id", "label", "exact").mapInArrow(brute, "a long, b long"), "truth")
-    for turn in range(rounds + 1):
-        links = graph.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    groups = before = None
+    for turn in itertools.count():
+        links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        if groups is not None:
+            # What was joined stays so, also where a list has no room for the link.
+            links = links.union(groups.select("id", "g"))
         groups = settled(components(links).select(F.col("node").alias("id"), F.col("component").alias("g")), "groups")
         ends = truth.join(groups.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left")
         ends = ends.join(groups.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
         found = ends.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("ga") == F.col("gb"), 1)).alias("in")).first()
         full = found["all"] == 0 or found["in"] >= recall * found["all"]
-        if turn == rounds or (full and turn > 0):
+        joined = groups.agg(F.count(F.lit(1)), F.countDistinct("g")).first()
+        # Rounds that still join groups go on; their number is bounded by that of the groups.
+        if joined == before and (full or turn >= rounds):
             break
-        lists = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n"))
-        grown = lists.where((F.col("worst") >= near) & (F.col("n") >= neighbours)).select("u")
-        graph = settled(_best(graph.union(_meetings(graph, reps, neighbours)), grown, neighbours), "lists")
+        before = joined
+        graph = settled(_best(edges, groups, neighbours), "lists")
+        edges = settled(graph.select("u", "v", "sim").union(_meetings(graph, groups, reps, neighbours)), "edges")
     return _compare_groups(groups, reps, threshold)
 
 

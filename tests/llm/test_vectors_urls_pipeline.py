@@ -135,6 +135,23 @@ def test_near_vectors_against_brute_force(make_vectors):
         assert mine[key] == (0, key, True)
 
 
+def linked_clumps(rng, size, dim, spread):
+    """Two clumps, each larger than any list is long, at a cosine of about 0.985."""
+    axis, side = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    middles = (axis, 0.985 * axis + np.sqrt(1 - 0.985**2) * side)
+    return [m + rng.normal(scale=spread, size=dim) for m in middles for _ in range(size)]
+
+
+def test_near_vectors_links_between_tight_clumps(make_vectors):
+    rng = np.random.default_rng(21)
+    rows = []
+    for label, (size, spread) in enumerate([(12, 0.002), (40, 0.002), (40, 0.004), (80, 0.004), (40, 0.006), (80, 0.006)]):
+        rows += [(v.tolist(), label) for v in linked_clumps(rng, size, 32, spread)]
+    rows = [(int(i), v, label, "v", "i") for i, (v, label) in zip(rng.permutation(len(rows)), rows)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(make_vectors(rows)).collect()}
+    assert got == brute_links(rows)
+
+
 def test_near_vectors_of_nothing(make_vectors):
     assert near_vectors.near_duplicates(make_vectors([])).count() == 0
     assert near_vectors.near_duplicates(make_vectors(BAD)).count() == len(BAD)
