@@ -3,7 +3,8 @@
 A neighbour list per vector is refined by joins of neighbours with neighbours: in each round, the vectors that meet in
 somebody's list, or that have somebody in theirs, are compared, and each keeps the nearest it has seen. The first lists come from several
 sorted orders of sign patterns. A list full of near copies is saturated and may hide more: vectors that are linked form
-a group, and each vector has a second list, of the nearest outside its group. A sample of vectors is compared with all others after each round; rounds go on until their links are in.
+a group, and each vector has a second list, of the nearest outside its group. A sample of vectors is compared with all others; rounds go on until their links are in. Where the sample
+has too few links to judge by, or rounds no longer bring in what is missing, all vectors of a label are compared, in blocks.
 
 Lists lead to groups, and within a group every pair is compared in blocks in double precision: this is where saturated lists
 end up complete, whatever their length. Blocks give counts and a spanning forest, never their pairs.
@@ -25,16 +26,19 @@ from quillrank.session import settled
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
-ORDERS = 8
+#: At least so many orders; more where labels have many rows, so that at most a MISS of lone pairs stands apart in all.
+ORDERS, MISS = 8, 0.001
 SIGNS = 60
 WINDOW = 2
 ROUNDS = 6
 AUDIT_VECTORS = 256
+#: An audit that saw fewer links says nothing: it is repeated with as many vectors as have AUDIT_VALUES components.
+AUDIT_LINKS, AUDIT_VALUES = 200, 1 << 20
 RECALL = 0.995
 #: Lists hold vectors in half precision; a pair that may reach the threshold is kept, and compared exactly later.
 SLACK = 0.004
 MEET = 48
-BLOCK = 256
+BLOCK, LABEL_BLOCK = 256, 1024
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -53,16 +57,26 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=_EDGES)
 
 
-def _first_lists(reps: DataFrame, dim: int) -> DataFrame:
+def orders_for(rows: int, threshold: float) -> int:
+    """Orders in which a pair at the threshold, among so many rows of a label, comes together but for a MISS.
+
+    Neighbours in an order share about log2(rows / WINDOW) signs; a pair shares each with one chance.
+    """
+    same = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    together = same ** np.log2(max(rows / WINDOW, 2))
+    return max(ORDERS, int(np.ceil(np.log(MISS) / np.log1p(-min(together, 1 - 1e-9)))))
+
+
+def _first_lists(reps: DataFrame, dim: int, orders: int) -> DataFrame:
     """(u, v, sim) of vectors that stand next to each other in one of the sorted orders."""
-    planes = np.random.default_rng(11).normal(size=(ORDERS, dim, SIGNS)).astype(np.float32)
+    planes = np.random.default_rng(11).normal(size=(orders, dim, SIGNS)).astype(np.float32)
     powers = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 matrix = _halves(batch.column(2))
-                for t in range(ORDERS):
+                for t in range(orders):
                     keys = ((matrix @ planes[t]) > 0) @ powers
                     columns = [pa.array(np.full(batch.num_rows, t, np.int32)), batch.column(1), pa.array(keys), batch.column(0), batch.column(2)]
                     yield pa.RecordBatch.from_arrays(columns, names=["t", "label", "key", "id", "vec"])
@@ -180,9 +194,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _compare_groups(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _compare_groups(groups: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Rows (id, n, other): links of a vector counted in one pair of blocks, and links of a spanning forest (other)."""
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     dealt = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     mine, others = F.col("block"), F.sequence(F.lit(0), F.col("n") - 1)
@@ -240,25 +254,51 @@ def _compare_groups(groups: DataFrame, reps: DataFrame, threshold: float) -> Dat
     return dealt.mapInArrow(compare, "id long, n long, other long")
 
 
-def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds: int, recall: float) -> DataFrame:
-    """(id, n, other) of all groups of vectors of one length, see `_compare_groups`."""
-    near = threshold - SLACK
-    edges = settled(_first_lists(reps, dim), "edges")
-    audit = reps.orderBy(F.xxhash64("id"), "id").limit(AUDIT_VECTORS).select("id", "label", "exact").toPandas()
+def _all_links(drawn: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all links of the drawn vectors, in double precision."""
+    audit = drawn.toPandas().sort_values("label", kind="stable")
     ids, labels = audit["id"].to_numpy(dtype=np.int64), audit["label"].to_numpy(dtype=np.int64)
-    asked = np.stack(audit["exact"].to_list()) if len(audit) else np.empty((0, dim))
+    asked = np.stack(audit["exact"].to_list())
     asked = asked / np.sqrt((asked * asked).sum(axis=1))[:, None]
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                who, label, matrix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-                matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
-                a, b = np.nonzero((asked @ matrix.T >= threshold) & (labels[:, None] == label[None, :]))
-                different = ids[a] != who[b]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[different]]), pa.array(who[b[different]])], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            who, label, matrix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+            order = np.argsort(label, kind="stable")
+            starts = np.append(0, np.flatnonzero(np.diff(label[order])) + 1)
+            for rows in np.split(order, starts[1:]):
+                low, high = np.searchsorted(labels, label[rows[0]], "left"), np.searchsorted(labels, label[rows[0]], "right")
+                for at in range(0, len(rows) if high > low else 0, MEET):
+                    some = rows[at : at + MEET]
+                    a, b = np.nonzero(asked[low:high] @ matrix[some].T >= threshold)
+                    a, b = ids[low + a], who[some[b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    truth = settled(reps.select("id", "label", "exact").mapInArrow(brute, "a long, b long"), "truth")
+    return reps.select("id", "label", "exact").mapInArrow(brute, "a long, b long")
+
+
+def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds: int, recall: float) -> DataFrame:
+    """(id, n, other) of all groups of vectors of one length, see `_compare_groups`.
+
+    Where the descent cannot be shown to be whole, a label counts as one group.
+    """
+    near = threshold - SLACK
+    whole = lambda: _compare_groups(reps.select("id", F.col("label").alias("g")), reps, threshold, LABEL_BLOCK)
+    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
+    orders = orders_for(largest, threshold)
+    if 2 * WINDOW * orders >= largest:
+        return whole()
+    drawn = reps.orderBy(F.xxhash64("id"), "id").select("id", "label", "exact")
+    for size in (AUDIT_VECTORS, max(AUDIT_VECTORS, AUDIT_VALUES // dim)):
+        truth = settled(_all_links(drawn.limit(size), reps, threshold), "truth")
+        if truth.count() >= AUDIT_LINKS:
+            break
+    else:
+        return whole()
+    edges = settled(_first_lists(reps, dim, orders), "edges")
     groups = before = None
     for turn in itertools.count():
         links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -269,15 +309,16 @@ def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds:
         ends = truth.join(groups.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left")
         ends = ends.join(groups.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
         found = ends.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("ga") == F.col("gb"), 1)).alias("in")).first()
-        full = found["all"] == 0 or found["in"] >= recall * found["all"]
+        full = found["in"] >= recall * found["all"]
         joined = groups.agg(F.count(F.lit(1)), F.countDistinct("g")).first()
         # Rounds that still join groups go on; their number is bounded by that of the groups.
-        if joined == before and (full or turn >= rounds):
-            break
+        if joined == before and full:
+            return _compare_groups(groups, reps, threshold)
+        if joined == before and turn >= rounds:
+            return whole()
         before = joined
         graph = settled(_best(edges, groups, neighbours), "lists")
         edges = settled(graph.select("u", "v", "sim").union(_meetings(graph, groups, reps, neighbours)), "edges")
-    return _compare_groups(groups, reps, threshold)
 
 
 def near_duplicates(
@@ -300,7 +341,8 @@ def near_duplicates(
     the threshold up to 1. An empty table gives no rows. Only the three named columns are read; labels are whole numbers.
 
     Every link between vectors that come into one group is found; the audit measures the share of links whose ends do.
-    On the driver: AUDIT_VECTORS vectors, chosen by the hash of their id.
+    Without an audit of AUDIT_LINKS links that is passed, all vectors of a label are compared, so that no link is lost.
+    On the driver: the audited vectors, chosen by the hash of their id, of AUDIT_VALUES components at most.
     """
     fine = F.coalesce(usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False))
     vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))

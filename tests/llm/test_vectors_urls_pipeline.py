@@ -152,6 +152,22 @@ def test_near_vectors_links_between_tight_clumps(make_vectors):
     assert got == brute_links(rows)
 
 
+def test_near_vectors_do_not_end_on_an_audit_without_links(make_vectors, monkeypatch):
+    """First lists that find nothing, and two lone pairs that a small sample may miss."""
+    none = lambda reps, *_: reps.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).cast("float").alias("sim")).limit(0)
+    monkeypatch.setattr(near_vectors, "_first_lists", none)
+    vectors = np.random.default_rng(4).normal(size=(600, 16))
+    vectors[[100, 400]] = vectors[[50, 350]] * 1.5 + 0.01
+    rows = [(i, v.tolist(), 1, "v", "i") for i, v in enumerate(vectors)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(make_vectors(rows)).collect()}
+    assert got == brute_links(rows) and sum(n for n, _, _ in got.values()) == 4
+
+
+def test_orders_grow_with_the_rows_of_a_label():
+    counts = [near_vectors.orders_for(n, 0.98) for n in (10_000, 100_000, 1_000_000, 30_000_000)]
+    assert counts == sorted(set(counts)) and counts[1] >= 16
+
+
 def test_near_vectors_of_nothing(make_vectors):
     assert near_vectors.near_duplicates(make_vectors([])).count() == 0
     assert near_vectors.near_duplicates(make_vectors(BAD)).count() == len(BAD)
