@@ -39,6 +39,16 @@ def either_case(words: Sequence[str]) -> str:
     return "|".join(map(fold, words))
 
 
+_KEY_NAME = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+#: Header lines of a key, and lines of 16 base64 characters at least behind an indent or quote; line ends may be escaped.
+_KEY_HEADER = r"(?:[\x20\t\r\n\\n]*[A-Z][A-Za-z-]{2,20}:\x20[^\r\n\\]*){0,8}"
+_KEY_LINES = r"""(?:[\x20\t\r\n\\>#*"',+]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*){0,60}"""
+#: To the END line, or else to the end of the base64 lines: any number, or 240 indented ones (a key of 16,384 bits has 200).
+#: Counted groups, as Java's matcher goes one call deeper for each turn of an open one, and DuckDB knows no possessive ones.
+PRIVATE_KEY = (
+    f"-----BEGIN {_KEY_NAME}(?:[^-]*(?:-{{1,4}}[^-]+){{0,50}}-----END {_KEY_NAME}|{_KEY_HEADER}{_KEY_LINES * 4})"
+)
+
 #: Order matters: spans that start together are listed in this order.
 BASE_RULES = (
     Rule(
@@ -54,7 +64,7 @@ BASE_RULES = (
     Rule("hex", 1, "[0-9a-f]{32,}", least=32, place=2),
 )
 MORE_RULES = (
-    Rule("private_key", 1, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", place=3),
+    Rule("private_key", 2, PRIVATE_KEY, place=3),
     Rule("repository_token", 1, "gh[opsur]_[A-Za-z0-9]{36,}", place=4),
     Rule("chat_token", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", place=5),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", place=6),
@@ -115,9 +125,11 @@ class Ledger:
     def scanned(self) -> DataFrame:
         return self.table("scanned")
 
-    def findings(self) -> DataFrame:
-        """Spans of pairs that are marked as scanned, each once. (blob, kind, place, start, stop)"""
+    def findings(self, rules: Sequence[Rule] | None = None) -> DataFrame:
+        """Spans of pairs that are marked as scanned, each once; with `rules`, of these versions only. (blob, kind, place, start, stop)"""
         marked = self.scanned().select("blob", "rule", "run").distinct()
+        if rules is not None:
+            marked = marked.where(F.col("rule").isin([r.key for r in rules]))
         spans = self.table("findings").join(marked, ["blob", "rule", "run"], "left_semi")
         return spans.select("blob", "kind", "place", "start", "stop").distinct()
 
@@ -159,10 +171,9 @@ def scan(
 
 
 def by_blob(ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(blob, spans): the blob's spans of the given kinds, by start and then by kind."""
-    kinds = [r.kind for r in rules]
+    """(blob, spans): the blob's spans by the given rules in their versions, by start and then by kind."""
     span = F.struct("start", "place", "stop", "kind")
-    return ledger.findings().where(F.col("kind").isin(kinds)).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return ledger.findings(rules).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:

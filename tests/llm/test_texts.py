@@ -229,6 +229,37 @@ def test_redaction_masks_spans_only(spark, make_docs):
     assert rows[12]["text"] == "é漢 [secret] and AKIA0123 [secret] end" and rows[12]["n_chars"] == len(rows[12]["text"])
 
 
+def test_private_keys_are_masked_whole(spark, make_docs):
+    body = [hashlib.sha512(str(i).encode()).hexdigest()[:64].upper().replace("0", "+") for i in range(60)]
+    lines = "\n".join(body)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    armor = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B2C3D\n\n"
+    indented = "\n".join("    " + b for b in body)
+    texts = [
+        f"pad {begin}\n{lines}\nab==\n{end} tail",
+        f"pad {begin}\n{armor}{lines}\n{end} tail",
+        f"pad {begin}\\n{lines}\\n{end} tail".replace("\n", "\\n"),
+        f"pad {begin}\n{lines}\n- and tail",
+        f"pad {begin}\n{armor}{lines}\n- and tail",
+        f"pad {begin}\n{indented}\n- and tail",
+        f"pad {begin}\n{lines}\n{begin}\n{lines}\n{end} tail",
+        f"pad {begin}\n" + "\n".join(body * 300) + "\n- and tail",
+        f"pad {begin} and prose with well-known words goes on to the tail",
+    ]
+    ledger = secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
+    docs = make_docs(texts)
+    secret_ledger.scan(ledger, docs, [secret_ledger.Rule("private_key", 1, "-----BEGIN", place=3)])
+    secret_ledger.scan(ledger, docs)
+    clean = [r["text"] for r in secret_ledger.redacted(secret_ledger.by_blob(ledger), docs).orderBy("doc_id").collect()]
+    assert clean[:3] == ["pad [secret] tail"] * 3
+    assert clean[3:6] + clean[7:8] == ["pad [secret]- and tail"] * 4
+    assert clean[6] == "pad [secret][secret] tail"
+    assert clean[8] == "pad [secret] and prose with well-known words goes on to the tail"
+    # Spans of an older version of the rule do not count beside those of the new one.
+    spans = {len(r["spans"]) for r in secret_ledger.by_blob(ledger).collect()}
+    assert spans == {1, 2}
+
+
 # --- packing ----------------------------------------------------------------------------------------------------
 
 
