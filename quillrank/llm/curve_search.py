@@ -95,20 +95,45 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _ranked(query: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, distance) of the k nearest points, distances from the differences; ties to the smaller id."""
+    exact = np.sqrt(((query - points) ** 2).sum(axis=1))
+    order = np.lexsort((ids, exact))[:k]
+    return ids[order], exact[order]
+
+
 def _nearest(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, own: np.ndarray, k: int):
-    """(query place, id, distance) of each query's k nearest points but those with its own id."""
-    near = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2.0 * queries @ points.T
-    near[own[:, None] == ids[None, :]] = np.inf
-    # A little more than k, as sums in another order can differ in the last digits; then the exact distance decides.
-    take = min(len(ids), 2 * k + 8)
-    best = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    for i, at in enumerate(best):
-        at = at[np.isfinite(near[i, at])]
-        if not len(at):
-            continue
-        exact = np.sqrt(((queries[i] - points[at]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[at], exact))[:k]
-        yield i, ids[at[order]], exact[order]
+    """(query place, id, distance) of each query's k nearest points but those with its own id.
+
+    A product of matrices gives distances with an error; every point that may be among the k by that error is compared
+    exactly, however many these are.
+    """
+    if not len(ids):
+        return
+    centre = points.mean(axis=0)
+    q, p = queries - centre, points - centre
+    q2, p2 = (q**2).sum(1), (p**2).sum(1)
+    near = q2[:, None] + p2[None, :] - 2.0 * q @ p.T
+    # A dot product of m terms is off by m units of rounding of |q||p| at most, whatever the order of its sum, a square
+    # of a norm likewise, and centring moves each end by one unit: eight times m + 8 units of (|q|+|p|)^2 hold all of it.
+    error = 4 * (queries.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q2)[:, None] + np.sqrt(p2)[None, :]) ** 2
+    low, high = np.nan_to_num(near - error, nan=-np.inf, posinf=np.inf), np.nan_to_num(near + error, nan=np.inf, posinf=np.inf)
+    other = own[:, None] != ids[None, :]
+    high[~other] = np.inf
+    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(queries), np.inf)
+    may = other & (low <= limit[:, None])
+    for i, row in enumerate(may):
+        at = np.flatnonzero(row)
+        if len(at):
+            yield i, *_ranked(queries[i], ids[at], points[at], k)
+
+
+def _nearest_by_differences(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, own: np.ndarray, k: int):
+    """The same from differences alone, without a product of matrices: what the audit measures by."""
+    for i, query in enumerate(queries):
+        at = np.flatnonzero(ids != own[i])
+        if len(at):
+            yield i, *_ranked(query, ids[at], points[at], k)
 
 
 def _rows(found: list, own: np.ndarray) -> pa.RecordBatch:
@@ -178,7 +203,7 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy()
-                found = list(_nearest(asked, ids, _matrix(batch.column(1), dim), asked_ids, k))
+                found = list(_nearest_by_differences(asked, ids, _matrix(batch.column(1), dim), asked_ids, k))
                 if found:
                     yield _rows(found, asked_ids)
 

@@ -82,6 +82,24 @@ def test_search_recall_and_exact_scores(spark, make_vectors):
     assert hit / (10 * len(queries)) >= 0.9
 
 
+def test_nearest_points_with_many_ties_or_a_common_offset():
+    ids = np.arange(2000)
+    hot = np.eye(2000)
+    ((_, got, far),) = curve_search._nearest(hot[:1], ids, hot, ids[:1], 10)
+    assert got.tolist() == list(range(1, 11)) and set(far) == {np.sqrt(2)}
+    rng = np.random.default_rng(6)
+    moved = rng.normal(size=(2000, 16)) + 1e9
+    few = np.append(moved[:50], moved[50:] + 1e11, axis=0)
+    for points in (hot, moved, few, rng.integers(0, 2, (2000, 12)).astype(float)):
+        for k in (1, 10, 1999, 3000):
+            got = list(curve_search._nearest(points[:20], ids, points, ids[:20], k))
+            for i, who, far in got:
+                exact = np.sqrt(((points[i] - points) ** 2).sum(axis=1))
+                order = [j for j in np.lexsort((ids, exact)) if j != i][:k]
+                assert who.tolist() == order and (far == exact[order]).all()
+            assert len(got) == 20
+
+
 def test_search_of_few_or_no_points(spark, make_vectors):
     few = make_vectors([(0, [1.0, 0.0], 0, "", ""), (1, [0.0, 1.0], 0, "", ""), (2, [1.0, 0.0, 0.0], 0, "", "")])
     rows = curve_search.nearest(few, few.where("vec_id in (0, 2)")).collect()
