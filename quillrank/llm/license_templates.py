@@ -36,6 +36,34 @@ BASE_PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
+
+
+def _bsd_number(n: str) -> str:
+    return f"<<beginOptional>>{n}<<endOptional>> "
+
+
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met " + _bsd_number("1") + "redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer " + _bsd_number("2") + "redistributions in binary form must "
+    "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution "
+)
+_BSD_NAMES = (
+    '<<var;name="names";match="neither the name|neither the names|the name">> <<var;name="holder";match=".{1,30}">> '
+    '<<var;name="may";match="may be used|may not be used">> to endorse or promote products derived from this software without '
+    "specific prior written permission "
+)
+_BSD_END = (
+    'this software is provided by <<var;name="holder";match=".{1,20}">> as is and any express or implied warranties including but '
+    "not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no "
+    'event shall <<var;name="holder";match=".{1,20}">> be liable for any direct indirect incidental special exemplary or '
+    "consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+    "profits or business interruption however caused and on any theory of liability whether in contract strict liability "
+    "or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
+)
+
 TEMPLATES = (
     (
         "mit-text",
@@ -43,7 +71,13 @@ TEMPLATES = (
         '<<var;name="what";match="this software and associated documentation files|.{1,12}">> the software to deal in '
         "the software without restriction including without limitation the rights to use copy modify merge publish "
         "distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
-        "furnished to do so subject to the following conditions",
+        "furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied "
+        "including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        '<<var;name="rights";match="noninfringement|non infringement">> in no event shall <<var;name="holder";match=".{1,20}">> be liable for any '
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
     ),
     (
         "mit-notice",
@@ -67,17 +101,23 @@ TEMPLATES = (
         '<<var;name="by";match="by|attribution">> <<var;name="nc";match="nc|noncommercial">> '
         '<<beginOptional>><<var;name="version";match="1 0|2 0|2 5|3 0|4 0">><<endOptional>>',
     ),
+    ("bsd-2-text", _BSD_HEAD + _BSD_END),
+    ("bsd-3-text", _BSD_HEAD + _bsd_number("3") + _BSD_NAMES + _BSD_END),
     (
-        "bsd-3-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain "
-        "the above copyright notice this list of conditions and the following disclaimer",
+        "bsd-4-text",
+        _BSD_HEAD + _bsd_number("3") + "all advertising materials mentioning features or use of this software must display the "
+        'following <<var;name="word";match="acknowledgement|acknowledgment">> this product includes software developed by '
+        '<<var;name="holder";match=".{1,30}">> ' + _bsd_number("4") + _BSD_NAMES + _BSD_END,
     ),
     (
         "isc-text",
         "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose "
         "with or without fee is hereby granted provided that the above copyright notice and this permission notice "
-        "appear in all copies",
+        'appear in all copies the software is provided as is and <<var;name="holder";match=".{1,20}">> disclaims all warranties with regard '
+        "to this software including all implied warranties of merchantability and fitness in no event shall "
+        '<<var;name="holder";match=".{1,20}">> be liable for any special direct indirect or consequential damages or any damages whatsoever '
+        "resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software",
     ),
 )
 
