@@ -16,6 +16,7 @@ from quillrank.llm import (
     piece_codec,
     quality,
     secret_ledger,
+    suffix_dedup,
     token_counts,
     token_groups,
     url_lists,
@@ -218,3 +219,10 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_groups.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
