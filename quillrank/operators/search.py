@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.functions.vectors import steady, unit
+from quillrank.operators import blocks
 from quillrank.operators.placement import attach, fits_broadcast, spread_join, top_k
 
 DENSE_QUERY_ROWS = 20_000
@@ -80,7 +81,14 @@ def sparse_topk(
     by_document: bool = False,
     queries_fit: bool | None = None,
 ) -> DataFrame:
-    """Exact sparse search over postings (id, term, weight) and query terms of the same shape."""
+    """Exact sparse search over postings (id, term, weight) and query terms of the same shape.
+
+    Queries that do not fit a broadcast go over blocks of documents, a chunk of them at a time.
+    """
+    if queries_fit is None:
+        queries_fit = fits_broadcast(query_terms)
+    if not queries_fit:
+        return blocks.topk(blocks.pack(postings), query_terms, k)
     return _best(sparse_scores(postings, query_terms, by_document, queries_fit), k)
 
 
@@ -95,8 +103,13 @@ def sparse_topk_cut(
     """Search by candidates: the `query_cut` heaviest terms of a query choose documents, all terms score them.
 
     One pass does both: a pair's score and whether a chosen term led to it add up in the same aggregate, and
-    pairs without one are dropped in the task, before anything is ranked or shuffled.
+    pairs without one are dropped in the task, before anything is ranked or shuffled. Over stored blocks
+    (blocks.topk), the other terms are looked up for the chosen documents alone.
     """
+    if queries_fit is None:
+        queries_fit = fits_broadcast(query_terms)
+    if not queries_fit:
+        return blocks.topk(blocks.pack(postings), query_terms, k, query_cut)
     heaviest = Window.partitionBy("id").orderBy(F.desc("weight"), F.asc("term"))
     marked = query_terms.withColumn("cut", F.row_number().over(heaviest) <= query_cut)
     pairs, whole = _meeting(postings, marked, by_document, queries_fit)

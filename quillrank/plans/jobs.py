@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
-from quillrank.operators import metrics, mining, rerank, search, sparse, text_rows, trainset
+from quillrank.operators import block_index, blocks, metrics, mining, rerank, search, sparse, text_rows, trainset
 from quillrank.session import settled
 from quillrank.sources import readers, writers
 
@@ -76,31 +76,31 @@ def retrieve_from_files(
     index: str | None = None,
     rebuild: bool = False,
     query_cut: int | None = None,
-    buckets: int = 64,
+    block_postings: int = blocks.BLOCK_POSTINGS,
 ) -> dict[str, int]:
     """Encoded corpus and queries to a rank file; gives the numbers of lines that could not be read.
 
-    With an index path the postings are stored there and used again; without, they are read for this search only.
-    A query cut searches by candidates.
+    With an index path the postings are stored there in blocks and used again, with the number of bad lines they had;
+    without, they are read for this search only. A query cut searches by candidates.
     """
     asked, bad_queries = readers.read_sparse_queries(spark, query_file)
     query_terms = settled(sparse.to_postings(asked), "query_terms")
-    stored = None if index is None or rebuild else search.open_index(spark, index)
-    bad_docs = None
-    if stored is None:
-        vectors, bad_docs = readers.read_sparse_corpus(spark, corpus_files)
+    stored = None if index is None else block_index.BlockIndex(spark, index, block_postings)
+    if stored is None or rebuild or not stored.version():
+        vectors, bad = readers.read_sparse_corpus(spark, corpus_files)
+        bad_documents = bad.count()
         postings = sparse.to_postings(vectors)
-        if index is not None:
-            stored = search.write_index(postings, index, buckets, rebuild)
-    by_document = stored is not None
-    source = stored if by_document else postings
-    if query_cut is None:
-        found = search.sparse_topk(source, query_terms, top_k, by_document)
+        if stored is not None:
+            stored.rebuild(settled(postings, "postings"), bad_documents)
+    if stored is not None:
+        found, bad_documents = stored.search(query_terms, top_k, query_cut), stored.bad_lines()
+    elif query_cut is None:
+        found = search.sparse_topk(postings, query_terms, top_k)
     else:
-        found = search.sparse_topk_cut(source, query_terms, top_k, query_cut, by_document)
+        found = search.sparse_topk_cut(postings, query_terms, top_k, query_cut)
     ranked = found.select("qid", "docid", "rank").orderBy("qid", "rank")
     writers.write_lines(ranked.select(F.concat_ws("\t", "qid", "docid", F.col("rank").cast("string")).alias("value")), out)
-    return {"bad_queries": bad_queries.count(), "bad_documents": 0 if bad_docs is None else bad_docs.count()}
+    return {"bad_queries": bad_queries.count(), "bad_documents": bad_documents}
 
 
 def evaluate_ranks(spark: SparkSession, rank_file: str, bundle_path: str, dataset: str, ks=(10, 100)) -> DataFrame:

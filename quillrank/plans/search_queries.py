@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.operators import evaluation, plugins, rerank, search
+from quillrank.operators import block_index, blocks, evaluation, plugins, rerank, search
 from quillrank.plans import tables as t
 from quillrank.plans.registry import part, query, using
 from quillrank.session import fresh_path
@@ -17,7 +17,7 @@ def _out(found):
 
 @query("j1_sparse_topk", using("SELECT qid, docid, score, rank FROM run", "run"))
 def _(spark, d):
-    return _out(search.sparse_topk(t.doc_postings(spark, d), t.query_postings(spark, d), t.DEPTH))
+    return _out(blocks.topk(t.doc_blocks(spark, d), t.query_postings(spark, d), t.DEPTH))
 
 
 @query(
@@ -31,7 +31,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return _out(search.sparse_topk_cut(t.doc_postings(spark, d), t.query_postings(spark, d), 20, query_cut=10))
+    return _out(blocks.topk(t.doc_blocks(spark, d), t.query_postings(spark, d), 20, query_cut=10))
 
 
 @query("j4_stored_index", using("SELECT qid, docid, score, rank FROM run WHERE rank <= 10", "run"))
@@ -42,6 +42,29 @@ def _(spark, d):
     return _out(search.sparse_topk(index, t.query_postings(spark, d), 10, by_document=True))
 
 
+@query(
+    "j4_index_generations",
+    using(
+        "SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM ("
+        "SELECT q.id AS qid, p.id AS docid, CAST(sum(q.weight * (p.weight + CASE WHEN lang = 'de' THEN 1 ELSE 0 END)) AS BIGINT) AS score "
+        "FROM query_post q JOIN doc_post p USING (term) JOIN documents ON p.id = CAST(doc_id AS VARCHAR) "
+        "WHERE lang IS DISTINCT FROM 'es' GROUP BY q.id, p.id) QUALIFY rank <= 20",
+        "query_post",
+        "doc_post",
+    ),
+)
+def _(spark, d):
+    """All documents, then a generation in which the German ones are replaced, then one without the Spanish ones."""
+    index = block_index.BlockIndex(spark, fresh_path(spark, "index"))
+    postings = t.doc_postings(spark, d)
+    langs = t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "lang")
+    index.rebuild(postings)
+    german = postings.join(langs.where("lang = 'de'"), "id", "left_semi")
+    index.add(german.withColumn("weight", F.col("weight") + 1))
+    index.delete(langs.where("lang = 'es'").select("id"))
+    return _out(index.search(t.query_postings(spark, d), 20))
+
+
 part("dense", "SELECT q.id AS qid, p.id AS docid, round(list_dot_product(q.e, p.e), 9) AS score FROM vec q, vec p", "vec")
 part("dense_run", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM dense QUALIFY rank <= 10", "dense")
 

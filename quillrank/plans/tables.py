@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
-from quillrank.operators import mining, search, sparse
+from quillrank.operators import blocks, mining, sparse
 from quillrank.plans.registry import part
 from quillrank.session import fresh_path
 
@@ -96,12 +96,16 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "doc_postings", lambda: make_doc_postings(spark, sf_dir))
 
 
+def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "doc_blocks", lambda: blocks.pack(doc_postings(spark, sf_dir)))
+
+
 def query_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "query_postings", lambda: make_query_postings(spark, sf_dir))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda: search.sparse_topk(doc_postings(spark, sf_dir), query_postings(spark, sf_dir), DEPTH)
+    make = lambda: blocks.topk(doc_blocks(spark, sf_dir), query_postings(spark, sf_dir), DEPTH)
     return written(spark, sf_dir, "run", make)
 
 

@@ -29,7 +29,7 @@ def test_encode_and_retrieve_equal_the_run(spark, sf_dir, encoded):
     wanted = pairs(tables.run(spark, sf_dir).where("rank <= 20"))
     for index in (None, encoded["index"], encoded["index"]):
         out = fresh_path(spark, "ranks")
-        bad = jobs.retrieve_from_files(spark, encoded["corpus"], encoded["queries"], out, 20, index=index, buckets=4)
+        bad = jobs.retrieve_from_files(spark, encoded["corpus"], encoded["queries"], out, 20, index=index, block_postings=20_000)
         assert bad == {"bad_queries": 0, "bad_documents": 0}
         assert pairs(readers.read_ranks(spark, out)) == wanted
     out = fresh_path(spark, "ranks")
