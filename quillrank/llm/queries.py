@@ -181,12 +181,12 @@ def op7_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ledger = secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
-    run = secret_ledger.scan(ledger, docs)
-    return secret_ledger.digest(secret_ledger.secret_report(ledger, docs, run))
+    secret_ledger.scan(ledger, docs)
+    return secret_ledger.digest(secret_ledger.secret_report(ledger, docs))
 
 
 def _span_sql(rule: secret_ledger.Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern = rule.sql.replace("'", "''")
     return f"""SELECT doc_id, '{rule.kind}' AS kind, {rule.place} AS place, {rule.least} AS least,
     regexp_extract_all(t, '{pattern}', 0) AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
     string_split_regex(t, '{pattern}') AS s FROM d"""

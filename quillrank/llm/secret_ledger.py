@@ -1,7 +1,7 @@
 """Secret scans with a ledger of blobs: each text is scanned once per version of each rule, wherever it turns up.
 
 A version of a file is a row (path, text). Its blob is named by the SHA-256 of its text. The ledger keeps, below one
-folder, `versions` (path key, blob), `findings` (blob, rule, span) and `scanned` (blob, rule version, run). A run writes
+folder, `versions` (path, blob, run), `findings` (blob, rule, span) and `scanned` (blob, rule version, run). A run writes
 its findings first and its scanned pairs last, and only findings of pairs that are marked as scanned count: a run that
 breaks off leaves nothing that is read, and its pairs are scanned again by the next one. DataFrame functions only.
 """
@@ -32,6 +32,11 @@ class Rule:
     def key(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    @property
+    def sql(self) -> str:
+        """The pattern without possessive groups."""
+        return self.pattern.replace(")*+", ")*").replace(")++", ")+")
+
 
 def either_case(words: Sequence[str]) -> str:
     """An alternative of words, ASCII letters in either case."""
@@ -39,15 +44,19 @@ def either_case(words: Sequence[str]) -> str:
     return "|".join(map(fold, words))
 
 
-_KEY_NAME = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-#: Header lines of a key, and lines of 16 base64 characters at least behind an indent or quote; line ends may be escaped.
-_KEY_HEADER = r"(?:[\x20\t\r\n\\n]*[A-Z][A-Za-z-]{2,20}:\x20[^\r\n\\]*){0,8}"
-_KEY_LINES = r"""(?:[\x20\t\r\n\\>#*"',+]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*){0,60}"""
-#: To the END line, or else to the end of the base64 lines: any number, or 240 indented ones (a key of 16,384 bits has 200).
-#: Counted groups, as Java's matcher goes one call deeper for each turn of an open one, and DuckDB knows no possessive ones.
-PRIVATE_KEY = (
-    f"-----BEGIN {_KEY_NAME}(?:[^-]*(?:-{{1,4}}[^-]+){{0,50}}-----END {_KEY_NAME}|{_KEY_HEADER}{_KEY_LINES * 4})"
-)
+#: What may stand between the runs of base64 of a key: line ends, also written as escapes, indents, quotes, comment and diff marks.
+_BETWEEN = r"""[\x20\t\r\n\\>#*"',|;:+/-]*"""
+_BREAK = rf"{_BETWEEN}(?:\\r{_BETWEEN})?(?:\\n{_BETWEEN})?"
+_NAME = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_HEADER = rf"{_BREAK}[A-Z][A-Za-z]{{1,14}}(?:-[A-Za-z]{{1,14}}){{0,3}}:\x20[^\r\n\\]*[\r\n\\]"
+_RUN = rf"{_BREAK}[A-Za-z0-9+/=]{{16,}}"
+_END = rf"(?:{_BREAK}[A-Za-z0-9+/=]{{1,15}}){{0,2}}{_BETWEEN}-----END {_NAME}"
+_REST = rf"""{_BREAK}[A-Za-z0-9+/]{{0,15}}={{1,2}}(?:[\r\n\\"']|\z)"""
+#: A private key from its BEGIN line on: headers, then runs of 16 base64 characters and more, any number of them, then the
+#: END line or a padded last run. Without a run behind it, the BEGIN line alone. A word of prose is shorter, and ends it.
+#: Possessive groups, as Java's matcher goes one call deeper for each turn of an open one; nothing behind them makes them
+#: give back a turn, so open groups match the same (`sql` has those, for matchers that need no possessive ones).
+PRIVATE_KEY = f"-----BEGIN {_NAME}(?:(?:{_HEADER})*+(?:{_RUN})++(?:{_END}|{_REST})?|{_BETWEEN}-----END {_NAME})?"
 
 #: Order matters: spans that start together are listed in this order.
 BASE_RULES = (
@@ -64,7 +73,7 @@ BASE_RULES = (
     Rule("hex", 1, "[0-9a-f]{32,}", least=32, place=2),
 )
 MORE_RULES = (
-    Rule("private_key", 2, PRIVATE_KEY, place=3),
+    Rule("private_key", 3, PRIVATE_KEY, place=3),
     Rule("repository_token", 1, "gh[opsur]_[A-Za-z0-9]{36,}", place=4),
     Rule("chat_token", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", place=5),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", place=6),
@@ -106,7 +115,7 @@ class Ledger:
         self.spark, self.path = spark, path.rstrip("/")
 
     _SCHEMAS = {
-        "versions": "path_key long, blob binary, run string",
+        "versions": "path string, path_key long, blob binary, run string",
         "findings": "blob binary, rule string, kind string, place int, start long, stop long, run string",
         "scanned": "blob binary, rule string, run string",
     }
@@ -145,9 +154,9 @@ def scan(
     """
     run = uuid.uuid4().hex
     rows = versions.select(
-        F.xxhash64(path_col).alias("path_key"), blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(path_col).cast("string").alias("path"), F.xxhash64(path_col).alias("path_key"), blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    ledger.append("versions", rows.select("path_key", "blob", F.lit(run).alias("run")))
+    ledger.append("versions", rows.select("path", "path_key", "blob", F.lit(run).alias("run")))
     here = ledger.table("versions").where(F.col("run") == run)
     copies = here.groupBy("blob").agg(F.min("path_key").alias("path_key"))
     seen = ledger.scanned().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
@@ -180,8 +189,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def history(ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(path, run, blob, kind, start, stop): every finding with each path and run that had its text, from the ledger alone."""
+    paths = ledger.table("versions").select("path", "run", "blob").distinct()
+    return paths.join(ledger.findings(rules).hint("shuffle_hash"), "blob").select("path", "run", "blob", "kind", "start", "stop")
+
+
 def secret_report(
-    ledger: Ledger, versions: DataFrame, run: str, rules: Sequence[Rule] = RULES, path_col: str = "doc_id", text_col: str = "text"
+    ledger: Ledger, versions: DataFrame, rules: Sequence[Rule] = RULES, path_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(path, blob, spans as an array) of every version: the findings of its blob, joined back."""
     rows = versions.select(F.col(path_col).alias("path"), blob_of(text_col).alias("blob"))

@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import struct
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -232,8 +234,8 @@ SECRETS = ODD + [
 
 def report(spark, docs, ledger=None):
     ledger = ledger or secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
-    run = secret_ledger.scan(ledger, docs)
-    return secret_ledger.digest(secret_ledger.secret_report(ledger, docs, run))
+    secret_ledger.scan(ledger, docs)
+    return secret_ledger.digest(secret_ledger.secret_report(ledger, docs))
 
 
 def test_secrets_against_brute_force(spark, make_docs):
@@ -305,14 +307,105 @@ def test_private_keys_are_masked_whole(spark, make_docs):
     secret_ledger.scan(ledger, docs)
     clean = [r["text"] for r in secret_ledger.redacted(secret_ledger.by_blob(ledger), docs).orderBy("doc_id").collect()]
     assert clean[:3] == ["pad [secret] tail"] * 3
-    assert clean[3:6] + clean[7:8] == ["pad [secret]- and tail"] * 4
-    assert clean[6] == "pad [secret][secret] tail"
+    assert clean[3:6] + clean[7:8] == ["pad [secret]\n- and tail"] * 4
+    assert clean[6] == "pad [secret]\n[secret] tail"
     assert clean[8] == "pad [secret] and prose with well-known words goes on to the tail"
     # Spans of an older version of the rule do not count beside those of the new one.
     spans = {len(r["spans"]) for r in secret_ledger.by_blob(ledger).collect()}
     assert spans == {1, 2}
 
 
+def base64_lines(n, width=64):
+    letters = string.ascii_letters + string.digits + "+/"
+    rng = random.Random(n)
+    return ["".join(rng.choices(letters, k=width)) for _ in range(n)]
+
+
+def masked(spark, make_docs, texts):
+    docs = make_docs(texts)
+    ledger = secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
+    secret_ledger.scan(ledger, docs)
+    rows = secret_ledger.redacted(secret_ledger.by_blob(ledger), docs).orderBy("doc_id").collect()
+    return [r["text"] for r in rows], duckdb_spans(texts), by_text(ledger, docs)
+
+
+def by_text(ledger, docs):
+    rows = secret_ledger.secret_report(ledger, docs).orderBy("doc_id").collect()
+    return [[(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "private_key"] for r in rows]
+
+
+def duckdb_spans(texts):
+    """Spans by the pattern with open groups in a matcher that needs no possessive ones."""
+    con = duckdb.connect()
+    pattern = next(r.sql for r in secret_ledger.RULES if r.kind == "private_key")
+    out = []
+    for text in texts:
+        found, rest = con.execute("SELECT regexp_extract_all($1, $2), string_split_regex($1, $2)", [text, pattern]).fetchone()
+        at, spans = 0, []
+        for between, match in zip(rest, found):
+            at += len(between)
+            spans.append((at, at + len(match)))
+            at += len(match)
+        out.append(spans)
+    return out
+
+
+@pytest.mark.parametrize("lead", ["-", "+", "    ", "> ", "# ", "// ", "\t * ", '"', "- \t"])
+@pytest.mark.parametrize("n, ended", [(25, True), (25, False), (300, True), (300, False), (3000, True), (3000, False)])
+def test_no_line_of_a_key_is_left(spark, make_docs, lead, n, ended):
+    if n > 25 and lead not in ("-", "    "):
+        return
+    lines = base64_lines(n)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = []
+    for ending in ("\n", "\r\n", "\\n", '\\n" +\n'):
+        body = ending.join(lead + x for x in [begin, *lines, "abcd+/12Z="] + ([end] if ended else []))
+        texts.append("before\n" + body + ("\nafter it all" if ended else "\n\nafter it all"))
+    clean, other, own = masked(spark, make_docs, texts)
+    for text in clean:
+        assert not any(x in text for x in [*lines, "abcd+/12Z"]) and "PRIVATE" not in text, text[:300]
+        assert text.startswith("before") and text.endswith("after it all") and len(text) < 60
+    assert other == own
+
+
+def test_prose_near_a_marker_stays(spark, make_docs):
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    prose = "Words of a text that goes on, with a dash - here and there. " * 90
+    key = "\n".join(base64_lines(4))
+    texts = [
+        f"A key file starts with {begin} and then {prose}{end} closes it.",
+        f"{begin}\nNote: this is no key\nReally: it is not\n{prose}",
+        f"{begin}{end} and more",
+        f"{begin}\n{key}\nPORT=8080\nmore",
+        f"{begin} {key.replace(chr(10), ' ')} {end} more",
+        f"------{begin}-\n{key}\n------END PRIVATE KEY------ more",
+        f"{begin}\nComment: made by hand\nVersion: 2\n\n{key}\n=AbCd\n{end}\nmore",
+        f"{begin}" + " " * 200_000 + "more",
+        f"{begin}" + "\n-" * 100_000 + "more",
+        "-----BEGIN " + "A " * 100_000 + "more",
+    ]
+    clean, other, own = masked(spark, make_docs, texts)
+    assert clean[0] == f"A key file starts with [secret] and then {prose}{end} closes it."
+    assert clean[1] == f"[secret]\nNote: this is no key\nReally: it is not\n{prose}"
+    assert clean[2] == "[secret] and more"
+    assert clean[3] == "[secret]\nPORT=8080\nmore"
+    assert clean[4] == "[secret] more"
+    assert clean[5] == "------[secret]- more"
+    assert clean[6] == "[secret]\nmore"
+    assert clean[7] == "[secret]" + " " * 200_000 + "more"
+    assert clean[8] == "[secret]" + "\n-" * 100_000 + "more"
+    assert clean[9] == texts[9]
+    assert other == own
+
+
+def test_findings_go_back_to_paths_of_earlier_runs(spark, make_docs):
+    ledger = secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
+    first = secret_ledger.scan(ledger, make_docs(["token=abcdefgh1", "plain"], ids=[5, 6]))
+    second = secret_ledger.scan(ledger, make_docs(["token=abcdefgh1", "token=abcdefgh1"], ids=[5, 9]))
+    rows = {(r["path"], r["run"], r["kind"], r["start"], r["stop"]) for r in secret_ledger.history(ledger).collect()}
+    assert rows == {(p, run, "assign", 0, 15) for p, run in [("5", first), ("5", second), ("9", second)]}
+
+
 # --- packing ----------------------------------------------------------------------------------------------------
 
 
