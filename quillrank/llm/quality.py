@@ -2,7 +2,9 @@
 
 A classifier reads the text and gives the odds that it is good. The share of good texts of each path is estimated
 from all its texts and drawn towards the share of its host, as that is towards the share of all: the fewer texts, and
-the more alike the sites, the stronger. A text's own part is taken out of its path before the two are put together:
+the more alike the sites, the stronger. What a text itself has
+added to its path, its host and the share of all, which is its label where it has one, is taken out of all three before the
+two are put together, so no text is judged by its own label there:
 
     odds(good | text, path) = odds(text) / odds(training) * odds(path without this text)
 """
@@ -16,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.llm.common import drawn
 from quillrank.operators.placement import fits_broadcast
 from quillrank.session import settled
 
@@ -129,7 +132,7 @@ def score(
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     marked = seen.join(known, "id")
-    taken = marked.select("label", *names).orderBy(F.xxhash64("id"), "id", *names).limit(max_labelled).toPandas()
+    taken = drawn(marked.select("label", "id", *names), max_labelled, "id", *names).toPandas()
     weights = fit(taken[names].to_numpy(dtype=float), taken["label"].to_numpy(dtype=float))
     logistic = lambda x: 1 / (1 + F.exp(-x))
     text_odds = weights.log_odds([F.col(n) for n in names])
@@ -144,20 +147,26 @@ def score(
     k_path = _moments(paths.where("host is not null").join(hosts, "host").agg(
         *_strength(F.col("s") / F.col("n") - F.col("hs") / F.col("hn") + F.lit(centre), F.col("n"), centre)
     ).first(), centre)
-    p_host = F.coalesce((F.col("hs") + k_host * centre) / (F.col("hn") + k_host), F.lit(centre))
-    sites = paths.join(hosts, "host", "left").select("host", "path", "n", "s", p_host.alias("p_host"))
+    sites = paths.join(hosts, "host", "left").select("host", "path", "n", "s", "hn", "hs")
     sites = settled(sites, "sites")
     if fits_broadcast(sites):
         sites = F.broadcast(sites)
-    scored = held.withColumns({n: v for n, v in zip(names, values)}).select("row", *site, text_odds.alias("x"))
+    own = F.broadcast(known) if fits_broadcast(known) else known
+    scored = held.join(own, F.col(f"row.{id_col}") == F.col("id"), "left")
+    scored = scored.withColumns({n: v for n, v in zip(names, values)}).select("row", "label", *site, text_odds.alias("x"))
     same = F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path"))
-    met = scored.alias("d").join(sites.alias("s"), same, "left").select("row", "x", F.col("d.host").alias("host"), "n", "s", "p_host")
-    p_text = logistic(F.col("x"))
-    others = F.greatest(F.col("n") - 1, F.lit(0.0))
-    rest = F.least(F.greatest(F.col("s") - p_text, F.lit(0.0)), others)
-    p_path = F.when(F.col("host").isNull(), F.lit(centre)).otherwise((rest + k_path * F.col("p_host")) / (others + k_path))
+    met = scored.alias("d").join(sites.alias("s"), same, "left").select("row", "x", "label", F.col("d.host").alias("host"), "n", "s", "hn", "hs")
+    met = met.withColumn("p_text", logistic(F.col("x"))).withColumn("own", F.coalesce(F.col("label").cast("double"), F.col("p_text")))
+    others = lambda n: F.greatest(F.col(n) - 1, F.lit(0.0))
+    rest = lambda s, n: F.least(F.greatest(F.col(s) - F.col("own"), F.lit(0.0)), others(n))
+    rounded = lambda sums: F.round(sums, 6)
+    met = met.withColumn("centre", rounded((F.lit(total["s"] or 0.0) - F.col("own") + 1) / F.lit((total["n"] or 1.0) + 1)))
+    p_host = F.when(F.col("host").isNull(), F.col("centre")).otherwise((rounded(rest("hs", "hn")) + k_host * F.col("centre")) / (others("hn") + k_host))
+    met = met.withColumn("p_host", p_host)
+    p_path = (rounded(rest("s", "n")) + k_path * F.col("p_host")) / (others("n") + k_path)
+    p_path = F.when(F.col("host").isNull(), F.col("centre")).otherwise(p_path)
     logit = lambda p: F.log(p / (1 - p))
-    met = met.withColumn("p_text", p_text).withColumn("p_path", F.least(F.greatest(p_path, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    met = met.withColumn("p_path", F.least(F.greatest(p_path, F.lit(1e-6)), F.lit(1 - 1e-6)))
     training = float(np.log(weights.base / (1 - weights.base)))
     p_good = logistic(F.col("x") - F.lit(training) + logit(F.col("p_path")))
     met = met.withColumn("p_good", p_good)

@@ -491,6 +491,82 @@ def test_quality_of_odd_inputs(spark, make_docs):
     assert quality.score(docs, one_class).count() == len(ODD)
 
 
+def test_a_text_is_not_judged_by_its_own_label(spark, make_docs):
+    texts = [f"{i} Plain words of text number {i % 7}, and more." * (1 + i % 3) for i in range(400)] + ["the one text of its host"]
+    docs = make_docs(texts, sources=[f"h{i % 4}" for i in range(400)] + ["alone"])
+    others = [(i, i % 2) for i in range(399)]
+    for table, known in ((docs, others), (docs.where("doc_id = 400"), [])):
+        seen = []
+        for own in (0, 1):
+            labels = spark.createDataFrame(known + [(400, own)], "doc_id long, quality int")
+            row = quality.score(table, labels).where("row.doc_id = 400").first()
+            seen.append((row["p_host"], row["p_path"]))
+        # The label is one of 400 that the classifier learns from; beyond that it does not count.
+        assert all(abs(a - b) < 0.01 for a, b in zip(*seen))
+    assert seen[0] == seen[1] == (0.5, 0.5)
+
+
+def quality_by_hand(rows, threshold):
+    """Posteriors from (p_text, label, host, path) of all rows."""
+    own = [r["p_text"] if r["label"] is None else float(r["label"]) for r in rows]
+    n, total = len(rows), sum(own)
+    centre = (total + 1) / (n + 2)
+    groups = lambda key, keep: {k: [o for r, o in zip(rows, own) if key(r) == k] for k in {key(r) for r in rows if keep(r)}}
+    with_host = lambda r: r["host"] is not None
+    hosts, paths = groups(lambda r: r["host"], with_host), groups(lambda r: (r["host"], r["path"]), with_host)
+
+    def strength(parts):
+        """Parts are (distance of the rate from its centre, size)."""
+        if len(parts) < 2:
+            return quality.STRONGEST
+        weight, squares = sum(m for _, m in parts), sum(m * m for _, m in parts)
+        spread = sum(m * d * d for d, m in parts)
+        even = weight - squares / weight
+        between = (spread - (len(parts) - 1) * centre * (1 - centre)) / even if even > 0 else 0
+        if between <= 0:
+            return quality.STRONGEST
+        return min(quality.STRONGEST, max(quality.WEAKEST, centre * (1 - centre) / between - 1))
+
+    rate = lambda v: sum(v) / len(v)
+    k_host = strength([(rate(v) - centre, len(v)) for v in hosts.values()])
+    k_path = strength([(rate(v) - rate(hosts[k[0]]), len(v)) for k, v in paths.items()])
+    out = []
+    for r, o in zip(rows, own):
+        c = (total - o + 1) / (n + 1)
+        if r["host"] is None:
+            out.append((c, c))
+            continue
+        host, path = hosts[r["host"]], paths[r["host"], r["path"]]
+        p_host = (sum(host) - o + k_host * c) / (len(host) - 1 + k_host)
+        out.append((p_host, (sum(path) - o + k_path * p_host) / (len(path) - 1 + k_path)))
+    return out
+
+
+def test_quality_posteriors_as_by_hand(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 9 != 4, F.col("source")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs, labels).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("host"), F.struct("row.source", "row.lang").alias("path"),
+        "p_text", "p_host", "p_path", "p_good", "kept",
+    )
+    rows = scored.join(labels.selectExpr("doc_id", "quality as label"), "doc_id", "left").collect()
+    base = (labels.where("quality = 1").count() + 1) / (labels.count() + 2)
+    odds = lambda p: p / (1 - p)
+    for r, (p_host, p_path) in zip(rows, quality_by_hand(rows, 0.5)):
+        assert abs(r["p_host"] - p_host) < 1e-5 and abs(r["p_path"] - p_path) < 1e-5
+        good = odds(r["p_text"]) / odds(base) * odds(r["p_path"])
+        assert abs(r["p_good"] - good / (1 + good)) < 1e-9 and r["kept"] == (r["p_good"] >= 0.5)
+
+
+def test_drawn_rows_do_not_grow_with_partitions(spark):
+    from quillrank.llm.common import drawn
+
+    frame = lambda parts: spark.range(0, 20_000, 1, parts)
+    few, many = ({r["id"] for r in drawn(frame(p), 500, "id").collect()} for p in (2, 64))
+    assert few == many and len(few) == 500
+    assert drawn(frame(3).limit(5), 500, "id").count() == 5 and drawn(frame(3).limit(0), 5, "id").count() == 0
+
+
 # --- n-gram Jaccard join ----------------------------------------------------------------------------------------
 
 

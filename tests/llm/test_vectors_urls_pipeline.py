@@ -241,7 +241,7 @@ def test_lists_hold_from_add_to_remove(spark):
 
 def test_each_operator_has_one_query():
     names = [n for n in entry_points.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
 
 
 def test_pipeline_stages_take_effect(spark, sf_dir):
