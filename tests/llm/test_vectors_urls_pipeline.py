@@ -268,6 +268,49 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert sorted(r["doc_id"] for r in packed) == sorted(clean)
 
 
+def test_duplicates_are_decided_by_row(spark, make_docs, sf_dir):
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    near = plain(1).replace("w1x29", "other")
+    texts = [plain(1), near, plain(2), plain(3), plain(3), None, None, "", " ", plain(4), near, plain(5), plain(5), plain(6)]
+    ids = [1, 2, 2, 3, 3, 4, 4, None, None, None, None, 9, 8, None]
+    docs = make_docs(texts, ids)
+    left = corpus_pipeline.duplicates_stage(spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    rows = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    want = [(1, plain(1)), (2, plain(2)), (3, plain(3)), (4, None), (4, None), (None, ""), (None, " "), (None, plain(4)), (8, plain(5)), (None, plain(6))]
+    assert rows == sorted(want, key=str)
+
+
+def test_stages_with_odd_rows(spark, make_docs, sf_dir):
+    token = "token=abcdefgh1"
+    texts = [None, "", token, token, "a long text " * 2000, "x" * 400_000, "plain"]
+    ids = [None, 1, 2, 2, None, 3, 3]
+    docs = make_docs(texts, ids, [None, "s", "s", "s", None, "t", "t"])
+    good = corpus_pipeline.quality_stage(spark, docs, sf_dir)
+    assert good.columns == docs.columns and {r["text"] for r in good.collect()} <= set(texts)
+    clean = corpus_pipeline.secrets_stage(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    want = sorted(((i, "[secret]" if t == token else t) for i, t in zip(ids, texts)), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == want
+    packed = corpus_pipeline.packing_stage(spark, docs, sf_dir).collect()
+    assert sorted((str(r["doc_id"]) for r in packed)) == sorted(map(str, ids))
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in packed}) == len(packed)
+
+
+def test_batches_hold_tokens(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    sizes = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
+    batches = {}
+    for r in corpus_pipeline.packing_stage(spark, docs, sf_dir).collect():
+        assert r["n_tokens"] == sizes[r["doc_id"]] and r["bound"] - r["n_tokens"] == r["padding"] >= 0
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r["bound"])
+    assert all(sum(b) <= 16_384 or len(b) == 1 for b in batches.values())
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
