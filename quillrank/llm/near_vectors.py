@@ -3,8 +3,10 @@
 A neighbour list per vector is refined by joins of neighbours with neighbours: in each round, the vectors that meet in
 somebody's list, or that have somebody in theirs, are compared, and each keeps the nearest it has seen. The first lists come from several
 sorted orders of sign patterns. A list full of near copies is saturated and may hide more: vectors that are linked form
-a group, and each vector has a second list, of the nearest outside its group. A sample of vectors is compared with all others; rounds go on until their links are in. Where the sample
-has too few links to judge by, or rounds no longer bring in what is missing, all vectors of a label are compared, in blocks.
+a group, and each vector has a second list, of the nearest outside its group, which doubles in each round that finds the first
+one saturated. The audit holds links known to exist: those of a sample of vectors that are compared with all others, and
+partners planted at the threshold beside others, so that tables without a link are audited too. Rounds go on until these links
+are in and nothing new comes; where they bring in nothing new too early, all lists double and more orders are added.
 
 Lists lead to groups, and within a group every pair is compared in blocks in double precision: this is where saturated lists
 end up complete, whatever their length. Blocks give counts and a spanning forest, never their pairs.
@@ -13,6 +15,7 @@ end up complete, whatever their length. Blocks give counts and a spanning forest
 from __future__ import annotations
 
 import itertools
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,20 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import components, usable
+from quillrank.llm.common import components, drawn, usable
 from quillrank.operators.placement import top_k
 from quillrank.session import settled
 
+LOG = logging.getLogger(__name__)
 THRESHOLD = 0.98
 NEIGHBOURS = 8
 #: At least so many orders; more where labels have many rows, so that at most a MISS of lone pairs stands apart in all.
 ORDERS, MISS = 8, 0.001
 SIGNS = 60
 WINDOW = 2
-ROUNDS = 6
-AUDIT_VECTORS = 256
-#: An audit that saw fewer links says nothing: it is repeated with as many vectors as have AUDIT_VALUES components.
-AUDIT_LINKS, AUDIT_VALUES = 200, 1 << 20
+#: Vectors of the sample, links that the audit takes of each, and planted partners.
+AUDIT_VECTORS, AUDIT_LINKS, PLANTED = 256, 64, 1024
 RECALL = 0.995
 #: Lists hold vectors in half precision; a pair that may reach the threshold is kept, and compared exactly later.
 SLACK = 0.004
@@ -67,9 +69,9 @@ def orders_for(rows: int, threshold: float) -> int:
     return max(ORDERS, int(np.ceil(np.log(MISS) / np.log1p(-min(together, 1 - 1e-9)))))
 
 
-def _first_lists(reps: DataFrame, dim: int, orders: int) -> DataFrame:
+def _first_lists(reps: DataFrame, dim: int, orders: int, seed: int = 11) -> DataFrame:
     """(u, v, sim) of vectors that stand next to each other in one of the sorted orders."""
-    planes = np.random.default_rng(11).normal(size=(orders, dim, SIGNS)).astype(np.float32)
+    planes = np.random.default_rng(seed).normal(size=(orders, dim, SIGNS)).astype(np.float32)
     powers = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +115,23 @@ def _sided(graph: DataFrame, groups: DataFrame) -> DataFrame:
     return met.select("u", "v", "sim", (F.col("gu").isNotNull() & (F.col("gu") == F.col("gv"))).alias("own"))
 
 
-def _best(edges: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(u, v, sim, own): per vector the k nearest of its group and the k nearest outside it.
+def _best(edges: DataFrame, groups: DataFrame, k: int, widths: DataFrame, widest: int) -> DataFrame:
+    """(u, v, sim, own, k): per vector the k nearest of its group and outside it the k nearest, or as many as `widths` says.
 
     However many near copies a vector has, its list goes on outside their group: the next link out is never hidden.
     """
     distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return top_k(_sided(distinct, groups), ["u", "own"], [F.desc("sim"), F.col("v")], k).drop("rank")
+    kept = top_k(_sided(distinct, groups), ["u", "own"], [F.desc("sim"), F.col("v")], widest)
+    kept = kept.join(widths, "u", "left").withColumn("k", F.coalesce("k", F.lit(k)))
+    return kept.where(F.col("rank") <= F.when(F.col("own"), F.lit(k)).otherwise(F.col("k"))).drop("rank")
+
+
+def _widened(graph: DataFrame, k: int, near: float) -> DataFrame:
+    """(u, k): twice the length for the outer list of a vector whose inner list is full of links."""
+    inner = graph.where("own").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"), F.first("k").alias("k"))
+    grown = inner.where((F.col("n") >= k) & (F.col("least") >= near)).select("u", (2 * F.col("k")).cast("int").alias("grown"))
+    held = graph.where(F.col("k") > k).select("u", F.col("k").alias("held")).distinct()
+    return grown.join(held, "u", "full").select("u", F.coalesce("grown", "held").alias("k"))
 
 
 def _meetings(graph: DataFrame, groups: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -132,21 +144,22 @@ def _meetings(graph: DataFrame, groups: DataFrame, reps: DataFrame, k: int) -> D
     own = own.select("p", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("q"), "m")
     back = back.join(tables, "p").select("p", F.pmod(F.xxhash64("m"), "n").cast("int").alias("q"), "m")
     # A list that is not full takes anything.
-    entries = lambda own: F.when(F.count(F.when(F.col("own") == own, 1)) >= k, F.min(F.when(F.col("own") == own, F.col("sim"))))
-    worst = graph.groupBy("u").agg(entries(True).alias("inner"), entries(False).alias("outer"))
+    entries = lambda own, full: F.when(F.count(F.when(F.col("own") == own, 1)) >= full, F.min(F.when(F.col("own") == own, F.col("sim"))))
+    width = F.first("k")
+    worst = graph.groupBy("u").agg(entries(True, k).alias("inner"), entries(False, width).alias("outer"), width.alias("k"))
     known = reps.join(worst, reps["id"] == worst["u"], "left").join(groups.select(F.col("id").alias("of"), "g"), F.col("id") == F.col("of"), "left")
     bound = lambda c: F.coalesce(c, F.lit(-1.0)).cast("float").alias(c)
-    known = known.select(F.col("id").alias("m"), F.coalesce("g", "id").alias("g"), bound("inner"), bound("outer"), "vec")
-    seats = own.union(back).distinct().join(known, "m").select("p", "q", "m", "g", "inner", "outer", "vec")
+    known = known.select(F.col("id").alias("m"), F.coalesce("g", "id").alias("g"), bound("inner"), bound("outer"), F.coalesce("k", F.lit(k)).cast("int").alias("k"), "vec")
+    seats = own.union(back).distinct().join(known, "m").select("p", "q", "m", "g", "inner", "outer", "k", "vec")
 
-    def compare(ids: np.ndarray, group: np.ndarray, inner: np.ndarray, outer: np.ndarray, matrix: np.ndarray):
+    def compare(ids: np.ndarray, group: np.ndarray, inner: np.ndarray, outer: np.ndarray, width: np.ndarray, matrix: np.ndarray):
         sims = matrix @ matrix.T
         np.fill_diagonal(sims, -2)
         same = group[:, None] == group[None, :]
         # Of each seat the k best it meets, in its group and outside: a list of k takes no more from one meeting.
-        take = min(k, len(ids) - 1)
         found = []
-        for side, worst in ((same, inner), (~same, outer)):
+        for side, worst, most in ((same, inner, k), (~same, outer, int(width.max()))):
+            take = min(most, len(ids) - 1)
             seen = np.where(side, sims, -2)
             best = np.argpartition(-seen, take - 1, axis=1)[:, :take]
             row = np.repeat(np.arange(len(ids)), take)
@@ -160,7 +173,7 @@ def _meetings(graph: DataFrame, groups: DataFrame, reps: DataFrame, k: int) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy() for i in range(6)] + [_halves(batch.column(6))]
+            rows = [batch.column(i).to_numpy() for i in range(7)] + [_halves(batch.column(7))]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows)]
             change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
@@ -254,51 +267,68 @@ def _compare_groups(groups: DataFrame, reps: DataFrame, threshold: float, block:
     return dealt.mapInArrow(compare, "id long, n long, other long")
 
 
-def _all_links(drawn: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all links of the drawn vectors, in double precision."""
-    audit = drawn.toPandas().sort_values("label", kind="stable")
+def _known_links(asked: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of the sampled vectors, in double precision; of each the AUDIT_LINKS ones with the smallest hash."""
+    audit = asked.toPandas().sort_values("label", kind="stable")
     ids, labels = audit["id"].to_numpy(dtype=np.int64), audit["label"].to_numpy(dtype=np.int64)
-    asked = np.stack(audit["exact"].to_list())
-    asked = asked / np.sqrt((asked * asked).sum(axis=1))[:, None]
+    matrix_of = lambda rows: rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+    asked = matrix_of(np.stack(audit["exact"].to_list())) if len(audit) else np.zeros((0, 1))
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            who, label, matrix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+            who, label, matrix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix_of(_matrix(batch.column(2)))
             order = np.argsort(label, kind="stable")
             starts = np.append(0, np.flatnonzero(np.diff(label[order])) + 1)
             for rows in np.split(order, starts[1:]):
                 low, high = np.searchsorted(labels, label[rows[0]], "left"), np.searchsorted(labels, label[rows[0]], "right")
-                for at in range(0, len(rows) if high > low else 0, MEET):
-                    some = rows[at : at + MEET]
+                for at in range(0, len(rows) if high > low else 0, 4096):
+                    some = rows[at : at + 4096]
                     a, b = np.nonzero(asked[low:high] @ matrix[some].T >= threshold)
                     a, b = ids[low + a], who[some[b]]
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    return reps.select("id", "label", "exact").mapInArrow(brute, "a long, b long")
-
-
-def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds: int, recall: float) -> DataFrame:
-    """(id, n, other) of all groups of vectors of one length, see `_compare_groups`.
-
-    Where the descent cannot be shown to be whole, a label counts as one group.
-    """
-    near = threshold - SLACK
+    links = reps.select("id", "label", "exact").mapInArrow(brute, "a long, b long")
+    return top_k(links, ["a"], [F.xxhash64("b").asc(), F.asc("b")], AUDIT_LINKS).select("a", "b")
+
+
+def _planted(beside: DataFrame, dim: int, threshold: float, first_id: int) -> DataFrame:
+    """Rows like those of `reps`, of size 0: beside each given vector one at the threshold, with `beside` for its id."""
+    rows = sorted(beside.collect(), key=lambda r: r["id"])
+    rng = np.random.default_rng(23)
+    out = []
+    for i, row in enumerate(rows):
+        vector = np.array(row["exact"])
+        vector = vector / np.sqrt((vector * vector).sum())
+        away = rng.normal(size=dim)
+        away -= (away @ vector) * vector
+        length = np.sqrt((away * away).sum())
+        if length > 1e-6:
+            vector = threshold * vector + np.sqrt(max(0.0, 1 - threshold * threshold)) * away / length
+        out.append((first_id - i, row["label"], vector.tolist(), 0, bytearray(vector.astype(np.float16).tobytes()), row["id"]))
+    schema = "id long, label long, exact array<double>, size long, vec binary, beside long"
+    return settled(beside.sparkSession.createDataFrame(out, schema), "planted")
+
+
+def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, recall: float, exhaustive: bool) -> DataFrame:
+    """(id, n, other) of all groups of vectors of one length, see `_compare_groups`."""
     whole = lambda: _compare_groups(reps.select("id", F.col("label").alias("g")), reps, threshold, LABEL_BLOCK)
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
-    orders = orders_for(largest, threshold)
-    if 2 * WINDOW * orders >= largest:
+    if exhaustive:
         return whole()
-    drawn = reps.orderBy(F.xxhash64("id"), "id").select("id", "label", "exact")
-    for size in (AUDIT_VECTORS, max(AUDIT_VECTORS, AUDIT_VALUES // dim)):
-        truth = settled(_all_links(drawn.limit(size), reps, threshold), "truth")
-        if truth.count() >= AUDIT_LINKS:
-            break
-    else:
-        return whole()
-    edges = settled(_first_lists(reps, dim, orders), "edges")
+    near = threshold - SLACK
+    facts = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).agg(F.max("n"), F.min("low")).first()
+    largest, lowest = facts
+    # More orders for larger labels; the planted rows count as well.
+    orders = orders_for(largest + PLANTED, threshold)
+    sample = settled(drawn(reps.select("id", "label", "exact"), max(AUDIT_VECTORS, PLANTED), "id"), "sample")
+    planted = _planted(sample.limit(PLANTED), dim, threshold, lowest - 1)
+    truth = _known_links(sample.orderBy("id").limit(AUDIT_VECTORS), reps, threshold)
+    truth = settled(truth.union(planted.select("beside", "id")), "truth")
+    points = reps.union(planted.drop("beside"))
+    edges = settled(_first_lists(points, dim, orders), "edges")
+    k = widest = neighbours
+    widths = reps.sparkSession.createDataFrame([], "u long, k int")
     groups = before = None
     for turn in itertools.count():
         links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -311,14 +341,21 @@ def _links(reps: DataFrame, dim: int, threshold: float, neighbours: int, rounds:
         found = ends.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("ga") == F.col("gb"), 1)).alias("in")).first()
         full = found["in"] >= recall * found["all"]
         joined = groups.agg(F.count(F.lit(1)), F.countDistinct("g")).first()
+        LOG.info("round %d: %d of %d known links, %d vectors in %d groups, lists of %d to %d", turn, found["in"], found["all"], *joined, k, widest)
         # Rounds that still join groups go on; their number is bounded by that of the groups.
         if joined == before and full:
-            return _compare_groups(groups, reps, threshold)
-        if joined == before and turn >= rounds:
+            return _compare_groups(groups.join(planted.select("id"), "id", "left_anti"), reps, threshold)
+        if joined == before and k >= largest + PLANTED:
+            # Lists as long as a label hold all of it.
             return whole()
-        before = joined
-        graph = settled(_best(edges, groups, neighbours), "lists")
-        edges = settled(graph.select("u", "v", "sim").union(_meetings(graph, groups, reps, neighbours)), "edges")
+        if joined == before:
+            k *= 2
+            edges = edges.union(_first_lists(points, dim, orders, 11 + turn))
+        before, widest = joined, max(k, widest)
+        graph = settled(_best(edges, groups, k, widths, widest), "lists")
+        widths = settled(_widened(graph, k, near), "widths")
+        widest = max(widest, widths.agg(F.max("k")).first()[0] or 0)
+        edges = settled(graph.select("u", "v", "sim").union(_meetings(graph, groups, points, k)), "edges")
 
 
 def near_duplicates(
@@ -328,8 +365,8 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = THRESHOLD,
     neighbours: int = NEIGHBOURS,
-    rounds: int = ROUNDS,
     recall: float = RECALL,
+    exhaustive: bool = False,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
@@ -341,8 +378,8 @@ def near_duplicates(
     the threshold up to 1. An empty table gives no rows. Only the three named columns are read; labels are whole numbers.
 
     Every link between vectors that come into one group is found; the audit measures the share of links whose ends do.
-    Without an audit of AUDIT_LINKS links that is passed, all vectors of a label are compared, so that no link is lost.
-    On the driver: the audited vectors, chosen by the hash of their id, of AUDIT_VALUES components at most.
+    The descent does not end before that share of the known links is in, see `recall`. With `exhaustive`, all vectors of a
+    label are compared in blocks instead. On the driver: PLANTED vectors at most, chosen by the hash of their id.
     """
     fine = F.coalesce(usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False))
     vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
@@ -371,7 +408,7 @@ def near_duplicates(
     reps = settled(reps, "reps")
     links = None
     for row in sorted(reps.select(F.size("exact").alias("n")).distinct().collect()):
-        own = _links(reps.where(F.size("exact") == row["n"]), row["n"], threshold, neighbours, rounds, recall)
+        own = _links(reps.where(F.size("exact") == row["n"]), row["n"], threshold, neighbours, recall, exhaustive)
         links = own if links is None else links.union(own)
     if links is None:
         links = reps.sparkSession.createDataFrame([], "id long, n long, other long")

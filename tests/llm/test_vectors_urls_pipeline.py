@@ -181,6 +181,41 @@ def test_near_vectors_do_not_end_on_an_audit_without_links(make_vectors, monkeyp
     assert got == brute_links(rows) and sum(n for n, _, _ in got.values()) == 4
 
 
+def test_descent_finds_lone_pairs_without_comparing_labels(make_vectors, monkeypatch, caplog):
+    """A table of spread vectors with few links: groups come from lists alone, and the audit holds planted links."""
+    rng = np.random.default_rng(31)
+    vectors = rng.normal(size=(1500, 24))
+    for i in range(30):
+        side = rng.normal(size=24)
+        side -= (side @ vectors[i]) * vectors[i] / (vectors[i] @ vectors[i])
+        cosine = rng.uniform(0.981, 0.999)
+        vectors[700 + i] = cosine * vectors[i] / np.linalg.norm(vectors[i]) + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    rows = [(i, v.tolist(), i % 700 % 2, "v", "i") for i, v in enumerate(vectors)]
+    sizes, compare = [], near_vectors._compare_groups
+
+    def recorded(groups, *rest):
+        sizes.append(groups.groupBy("g").count().agg(F.max("count")).first()[0])
+        return compare(groups, *rest)
+
+    monkeypatch.setattr(near_vectors, "_compare_groups", recorded)
+    with caplog.at_level("INFO", near_vectors.LOG.name):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(make_vectors(rows)).collect()}
+    expected = brute_links(rows)
+    assert sum(n for n, _, _ in expected.values()) >= 60 and got == expected
+    assert sizes and max(sizes) < 10
+    assert "known links" in caplog.text
+    assert {k: v for k, v in got.items()} == {
+        r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(make_vectors(rows), exhaustive=True).collect()
+    }
+
+
+def test_outer_lists_double_while_inner_ones_are_full_of_links(spark):
+    rows = [(1, 10 + i, 0.99, True, 4) for i in range(4)] + [(1, 30, 0.5, False, 4)]
+    rows += [(2, 20 + i, 0.9, True, 4) for i in range(4)] + [(3, 40, 0.99, True, 4), (4, 41, 0.3, False, 16)]
+    graph = spark.createDataFrame(rows, "u long, v long, sim float, own boolean, k int")
+    assert {tuple(r) for r in near_vectors._widened(graph, 4, 0.976).collect()} == {(1, 8), (4, 16)}
+
+
 def test_orders_grow_with_the_rows_of_a_label():
     counts = [near_vectors.orders_for(n, 0.98) for n in (10_000, 100_000, 1_000_000, 30_000_000)]
     assert counts == sorted(set(counts)) and counts[1] >= 16
