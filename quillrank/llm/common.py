@@ -44,8 +44,8 @@ def drawn(df: DataFrame, n: int, *by: str) -> DataFrame:
     """
     rows = df.count()
     if rows > n:
-        share = min(1.0, (n + 6 * n**0.5 + 100) / rows)
-        df = df.where(F.xxhash64(*by) <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+        bound = -(1 << 63) + int((n + 6 * n**0.5 + 100) / rows * (1 << 64))
+        df = df.where(F.xxhash64(*by) <= F.lit(min(bound, (1 << 63) - 1)))
     return df.orderBy(F.xxhash64(*by), *by).limit(n)
 
 

@@ -564,6 +564,7 @@ def test_drawn_rows_do_not_grow_with_partitions(spark):
     frame = lambda parts: spark.range(0, 20_000, 1, parts)
     few, many = ({r["id"] for r in drawn(frame(p), 500, "id").collect()} for p in (2, 64))
     assert few == many and len(few) == 500
+    assert drawn(frame(3), 19_990, "id").count() == 19_990
     assert drawn(frame(3).limit(5), 500, "id").count() == 5 and drawn(frame(3).limit(0), 5, "id").count() == 0
 
 
