@@ -1,16 +1,18 @@
 """Approximate nearest neighbours along shifted Hilbert curves.
 
-Vectors are projected to a few directions, turned and shifted differently for each curve, and sorted by their place on
-it. Each curve is cut into blocks of equal size; a query meets the blocks around its own place on each curve, the
+Each curve projects the vectors to a few directions of its own, shifts its grid, and sorts them by their place on it.
+Each curve is cut into blocks of equal size; a query meets the blocks around its own place on each curve, the
 best of each block are merged, and the score is the exact distance of the original vectors.
 
-How many curves and blocks are needed is measured: a sample of queries is searched by brute force, and the cheapest
-window that holds the wanted share of their true neighbours is taken. There is no upper limit to the window: where
-directions say nothing about distance, it grows until it is the whole curve.
+How many curves and blocks are needed is measured: a sample of queries is searched by brute force, and of all numbers of
+curves from two on and their windows the cheapest is taken that holds the wanted share of their true neighbours. Vectors are
+moved only then: each once per curve used, and each query once per block of its windows, which is what the choice makes
+small. There is no upper limit to a window: where directions say nothing about distance, it grows.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import usable
+from quillrank.llm.common import drawn, usable
 from quillrank.operators.placement import top_k
 from quillrank.session import settled
 
-CURVES = 3
+LOG = logging.getLogger(__name__)
+CURVES = 32
+LEAST_CURVES = 2
 DIRECTIONS, BITS = 8, 7
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 128
 FIT_ROWS = 10_000
 AUDIT_QUERIES = 256
-RECALL = 0.96
+RECALL = 0.94
 QUERY_CHUNK = 1024
 
 
@@ -70,18 +74,18 @@ class Curves:
     def __init__(self, sample: np.ndarray, curves: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.centre = sample.mean(axis=0)
-        _, _, axes = np.linalg.svd(sample - self.centre, full_matrices=False)
-        m = min(DIRECTIONS, sample.shape[1])
-        top = axes[: max(m, 1)]
+        _, spread, axes = np.linalg.svd(sample - self.centre, full_matrices=False)
+        m = max(1, min(DIRECTIONS, sample.shape[1], len(axes)))
+        spread = np.maximum(spread, 1e-9 * spread.max() if spread.max() > 0 else 1.0)
         self.maps, self.low, self.step = [], [], []
-        for c in range(curves):
-            turn = np.linalg.qr(rng.normal(size=(len(top), len(top))))[0] if c else np.eye(len(top))
-            way = turn @ top
+        for _ in range(curves):
+            # Directions of its own, drawn where the sample varies.
+            way = np.linalg.qr(((rng.normal(size=(m, len(axes))) * spread) @ axes).T)[0].T
             seen = (sample - self.centre) @ way.T
             low, high = seen.min(axis=0), seen.max(axis=0)
             width = np.maximum(high - low, 1e-12)
             # The grid is half as wide again as the sample, and each curve starts at another place of that slack.
-            self.low.append(low - rng.uniform(0.1, 0.4, len(top)) * width)
+            self.low.append(low - rng.uniform(0.1, 0.4, len(way)) * width)
             self.step.append(1.5 * width / (1 << BITS))
             self.maps.append(way)
 
@@ -153,10 +157,11 @@ def choose_window(distances: np.ndarray, blocks: int, target: float) -> tuple[in
 
     `distances` (neighbours, curves): how many blocks a true neighbour lies from its query on each curve.
     """
+    least = min(LEAST_CURVES, distances.shape[1])
     if not len(distances):
-        return 1, 1
+        return least, 1
     best = None
-    for curves in range(1, distances.shape[1] + 1):
+    for curves in range(least, distances.shape[1] + 1):
         reach = np.sort(distances[:, :curves].min(axis=1))
         half = max(1, int(reach[min(len(reach) - 1, int(np.ceil(target * len(reach))) - 1)]))
         cost = curves * min(2 * half + 1, blocks)
@@ -167,9 +172,9 @@ def choose_window(distances: np.ndarray, blocks: int, target: float) -> tuple[in
 
 def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int, target: float, block_rows: int) -> DataFrame:
     spark = points.sparkSession
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
+    sample = drawn(points.select("id", "vec"), FIT_ROWS, "id").toPandas()["vec"]
     fitted = Curves(np.stack(sample.to_list()), curves) if len(sample) else None
-    audit = queries.orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES).toPandas()
+    audit = drawn(queries, AUDIT_QUERIES, "id").toPandas()
     empty = "query_id long, id long, score double"
     if fitted is None or not len(audit):
         return spark.createDataFrame([], empty)
@@ -177,25 +182,28 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                vectors = _matrix(batch.column(1), dim)
+                vectors = _matrix(batch.column(3), dim)
                 for c in range(curves):
                     columns = [pa.array(np.full(batch.num_rows, c, np.int32)), pa.array(fitted.keys(c, vectors))]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, batch.column(0), batch.column(2), batch.column(1)], names=["curve", "key", "id", "asks", "vec"]
-                    )
+                    yield pa.RecordBatch.from_arrays([*columns, *batch.columns[:3]], names=["curve", "key", "id", "tag", "asks"])
 
-    both = points.select("id", "vec", F.lit(False).alias("asks")).union(queries.select("id", "vec", F.lit(True)))
-    keyed = both.mapInArrow(place, "curve int, key long, id long, asks boolean, vec array<double>")
+    # Rows of one id and vector have one tag, and are the same point.
+    tagged = lambda rows, asks: rows.select("id", F.xxhash64("id", "vec").alias("tag"), F.lit(asks).alias("asks"), "vec").dropDuplicates(["id", "tag"])
+    both = settled(tagged(points, False).union(tagged(queries, True)), "tagged")
+    keyed = both.mapInArrow(place, "curve int, key long, id long, tag long, asks boolean")
     line = keyed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id", "asks")
-    line = settled(line.withColumn("at", F.monotonically_increasing_id()), "curves")
+    line = settled(line.drop("key").withColumn("at", F.monotonically_increasing_id()), "curves")
     line = line.withColumn("part", F.shiftright("at", 33)).withColumn(
         "piece", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / block_rows).cast("long")
     )
-    blocks = line.groupBy("curve", "part", "piece").agg(F.count(F.lit(1)).alias("rows"))
-    along = Window.partitionBy("curve").orderBy("part", "piece")
-    blocks = settled(blocks.select("curve", "part", "piece", (F.row_number().over(along) - 1).alias("block")), "blocks")
-    line = line.join(blocks, ["curve", "part", "piece"]).select("curve", "block", "id", "asks", "vec")
-    last = blocks.agg(F.max("block")).first()[0]
+    # A row per curve and partition: where the curve's blocks of the partition start.
+    spans = line.groupBy("curve", "part").agg(F.min("piece").alias("low"), (F.max("piece") - F.min("piece") + 1).alias("n"))
+    along = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("curve", "part", "n", (F.coalesce(F.sum("n").over(along), F.lit(0)) - F.col("low")).alias("offset"), "low")
+    spans = settled(spans, "spans")
+    last = spans.agg(F.max(F.col("offset") + F.col("low") + F.col("n")) - 1).first()[0]
+    line = line.join(F.broadcast(spans.select("curve", "part", "offset")), ["curve", "part"])
+    line = line.select("curve", (F.col("piece") + F.col("offset")).alias("block"), "id", "tag", "asks")
 
     asked_ids, asked = audit["id"].to_numpy(dtype=np.int64), np.stack(audit["vec"].to_list())
 
@@ -219,8 +227,10 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
     seen = apart.groupBy("query_id", "id").pivot("curve", list(range(curves))).agg(F.first("d")).toPandas()
     distances = seen[[str(c) for c in range(curves)]].to_numpy(dtype=float)
     used, half = choose_window(distances, last + 1, target)
+    held = float((distances[:, :used].min(axis=1) <= half).mean()) if len(distances) else 1.0
+    LOG.info("%d curves of %d, %d of %d blocks on each, audited recall %.4f", used, curves, 2 * half + 1, last + 1, held)
 
-    line = line.where(F.col("curve") < used)
+    line = line.where(F.col("curve") < used).join(both, ["id", "tag", "asks"]).select("curve", "block", "id", "asks", "vec")
     window = F.sequence(F.greatest(F.col("block") - half, F.lit(0)), F.least(F.col("block") + half, F.lit(last)))
     around = line.where("asks").withColumn("block", F.explode(window)).select("curve", "block", "id", "asks", "vec")
     met = line.where(~F.col("asks")).union(around).repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
@@ -285,7 +295,8 @@ def nearest(
     columns are read.
 
     On the driver: a sample of FIT_ROWS vectors to fit the projection, AUDIT_QUERIES queries and their distances. Both
-    are chosen by the hash of the id; every row is indexed and every query searched.
+    are chosen by the hash of the id; every row is indexed and every query searched. Numbers of curves and blocks and
+    the audited recall are logged.
     """
     def clean(rows: DataFrame) -> DataFrame:
         vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))

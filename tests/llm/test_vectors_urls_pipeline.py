@@ -1,6 +1,7 @@
 """Vector operators, URL lists, components and the pipeline against brute force."""
 
 import itertools
+import re
 import random
 
 import numpy as np
@@ -53,7 +54,11 @@ def test_hilbert_curve_visits_neighbours():
 def test_window_holds_the_wanted_share():
     distances = np.array([[0, 9], [1, 0], [5, 1], [9, 1]])
     assert curve_search.choose_window(distances, 100, 1.0) == (2, 1)
-    assert curve_search.choose_window(distances, 100, 0.5) == (1, 1)
+    assert curve_search.choose_window(distances, 100, 0.5) == (2, 1)
+    # A third curve is worth it where it makes the windows of all much narrower.
+    assert curve_search.choose_window(np.column_stack([distances + 9, [0, 0, 0, 0]]), 100, 1.0) == (3, 1)
+    assert curve_search.choose_window(np.column_stack([distances, [4, 4, 4, 4]]), 100, 1.0) == (2, 1)
+    assert curve_search.choose_window(np.zeros((0, 5)), 100, 0.9) == (2, 1)
 
 
 def test_search_recall_and_exact_scores(spark, make_vectors):
@@ -82,6 +87,23 @@ def test_search_recall_and_exact_scores(spark, make_vectors):
     assert hit / (10 * len(queries)) >= 0.9
 
 
+def test_several_curves_on_spread_vectors(make_vectors, caplog):
+    """Vectors spread over all directions: several curves are merged, and the audited recall is what brute force gives."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(3000, 12)).astype(np.float32).astype(np.float64)
+    df = make_vectors([(i, p.tolist(), 0, "v", "i") for i, p in enumerate(points)])
+    with caplog.at_level("INFO", curve_search.LOG.name):
+        got = curve_search.nearest(df, df.where("vec_id % 30 = 0"), k=10, block_rows=32).collect()
+    used, window, blocks, recall = re.search(r"(\d+) curves of 32, (\d+) of (\d+) blocks on each, audited recall ([\d.]+)", caplog.text).groups()
+    assert int(used) >= 2 and int(window) < int(blocks) and float(recall) >= 0.94
+    hit = 0
+    for q in range(0, 3000, 30):
+        far = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hit += len(set(np.argsort(far)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hit >= 900
+
+
 def test_nearest_points_with_many_ties_or_a_common_offset():
     ids = np.arange(2000)
     hot = np.eye(2000)
