@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
+from quillrank.operators import mining
 from quillrank.operators.placement import attach, spread_join, top_k
+from quillrank.session import settled
 
 METRICS = ("ndcg", "map", "recall", "precision", "mrr")
 
@@ -86,9 +88,13 @@ def answer_accuracy(
 ) -> DataFrame:
     """Share of queries (qid, answers) with an answer in one of the first k passages."""
     near = run.where(F.col("rank") <= max(ks)).select("qid", "docid", "rank")
-    asked = spread_join(near, answers, "qid", "inner", ["docid"])
-    told = attach(asked, corpus.select("docid", "text"), "docid", ["qid"])
-    hits = told.where(tx.has_answer(F.col("text"), F.col("answers"), regex))
+    if regex:
+        asked = spread_join(near, answers, "qid", "inner", ["docid"])
+        told = attach(asked, corpus.select("docid", "text"), "docid", ["qid"])
+        hits = told.where(tx.has_answer(F.col("text"), F.col("answers"), True))
+    else:
+        near = settled(near, "near")
+        hits = near.join(mining.pairs_in_run(near, corpus, answers), ["qid", "docid"])
     first = hits.groupBy("qid").agg(F.min("rank").alias("first"))
     every = answers.select("qid").join(first, "qid", "left")
     share = lambda k: F.avg(F.when(F.col("first") <= k, F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
 from quillrank.functions.seeded import seeded_key, seeded_shuffle
-from quillrank.operators.placement import attach, spread_join, top_k
+from quillrank.operators import answer_search
+from quillrank.operators.placement import attach, fits_broadcast, spread_join, top_k
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
+from quillrank.session import settled
 
 PASSAGES = "array<struct<docid:string,title:string,text:string>>"
 
@@ -40,34 +42,44 @@ def _put(train: DataFrame, lists: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def judged_rows(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Rows (query_id, query, positive_passages, negative_passages), positives by docid, no negatives yet."""
+    """Rows (query_id, query, part, parts, positive_passages, negative_passages), positives by docid, no negatives yet.
+
+    Positives beyond `max_list` go on in a further part: (query_id, part) names a row, `parts` is how many the query has.
+    Of a query with several, trainset.rows_for_epoch takes one per epoch.
+    """
     parts = grouped_lists(qrels.where(F.col("rel") > 0).select("qid", "docid").distinct(), "qid", "docid", "docids", max_list)
     placed = parts.select("qid", "part", F.posexplode("docids").alias("rank", "docid"))
     told = _with_texts(placed, corpus)
     lists = told.groupBy("qid", "part").agg(_passages().alias("positive_passages"))
-    joined = queries.join(lists.withColumnRenamed("qid", "query_id").drop("part"), "query_id", "left")
+    counts = parts.groupBy("qid").agg(F.count(F.lit(1)).alias("parts"))
+    lists = lists.join(counts, "qid").withColumnRenamed("qid", "query_id")
+    joined = queries.join(lists, "query_id", "left")
     return joined.select(
         *queries.columns,
+        F.coalesce("part", F.lit(0).cast("long")).alias("part"),
+        F.coalesce("parts", F.lit(1).cast("long")).alias("parts"),
         F.coalesce("positive_passages", F.array().cast(PASSAGES)).alias("positive_passages"),
         F.array().cast(PASSAGES).alias("negative_passages"),
     )
 
 
-def answer_pairs(corpus: DataFrame, answers: DataFrame) -> DataFrame:
-    """All (qid, docid) whose passage holds an answer (qid, answers) as a token run.
-
-    A passage can only hold an answer if it holds the answer's longest token, so passages and answers meet on
-    that token, and only the pairs that meet are compared in full.
-    """
+def answer_pairs(corpus: DataFrame, answers: DataFrame, part_chars: int = answer_search.PART_CHARS) -> DataFrame:
+    """All (qid, docid) whose passage holds an answer (qid, answers) as a token run."""
     one = answers.select("qid", F.explode("answers").alias("answer"))
-    longest = F.array_max(F.transform(tx.answer_tokens(F.col("answer")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    anchors = one.select("qid", tx.answer_form(F.col("answer")).alias("form"), longest["t"].alias("anchor"))
-    anchors = anchors.where(F.col("anchor").isNotNull())
-    tokens = F.explode(F.array_distinct(tx.answer_tokens(F.col("text"))))
-    placed = corpus.select("docid", tokens.alias("anchor"))
-    met = spread_join(placed, anchors, "anchor", "inner", ["docid"]).select("docid", "qid", "form")
-    told = attach(met, corpus.select("docid", "text"), "docid", ["qid"])
-    return told.where(F.contains(tx.answer_form(F.col("text")), F.col("form"))).select("qid", "docid").distinct()
+    forms = one.select("qid", tx.answer_form(F.col("answer")).alias("form")).where(F.length("form") > 2).distinct()
+    forms = settled(forms, "forms")
+    texts = corpus.select("docid", tx.answer_form(F.col("text")).alias("form"))
+    found = answer_search.holding(texts, forms.select("form").distinct(), part_chars)
+    return spread_join(found, forms, "form", "inner", ["docid"]).select("qid", "docid").distinct()
+
+
+def pairs_in_run(run: DataFrame, corpus: DataFrame, answers: DataFrame) -> DataFrame:
+    """Of the run's (qid, docid), those whose passage holds an answer of the query."""
+    pairs = run.select("qid", "docid").distinct()
+    wanted = pairs.select("docid").distinct()
+    named = corpus.select("docid", "text")
+    named = named.join(F.broadcast(wanted), "docid", "left_semi") if fits_broadcast(wanted) else named.join(wanted, "docid", "left_semi")
+    return answer_pairs(named, answers).join(pairs, ["qid", "docid"], "left_semi")
 
 
 def basic_negatives(train: DataFrame, run: DataFrame, corpus: DataFrame, depth: int = 100) -> DataFrame:
@@ -83,8 +95,16 @@ def answer_negatives(
 ) -> DataFrame:
     """Of the first `depth` documents, those with an answer become the positives and the others the negatives."""
     answers = train.select(F.col("query_id").alias("qid"), "answers")
-    told = spread_join(_with_texts(_cut(run, depth), corpus), answers, "qid", "inner", ["docid"])
-    judged = told.withColumn("hit", tx.has_answer(F.col("text"), F.col("answers"), regex))
+    cut = settled(_cut(run, depth), "cut")
+    if regex:
+        told = spread_join(_with_texts(cut, corpus), answers, "qid", "inner", ["docid"])
+        judged = told.withColumn("hit", tx.has_answer(F.col("text"), F.col("answers"), True))
+    else:
+        # Each document is searched once for all answers, whatever the number of runs that it is in.
+        asked = spread_join(cut, answers.select("qid").distinct(), "qid", "left_semi", ["docid"])
+        hits = pairs_in_run(cut, corpus, answers).withColumn("hit", F.lit(True))
+        marked = asked.join(hits, ["qid", "docid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        judged = _with_texts(marked, corpus)
     lists = judged.groupBy("qid").agg(
         _passages(F.col("hit")).alias("positive_passages"), _passages(~F.col("hit")).alias("negative_passages")
     )

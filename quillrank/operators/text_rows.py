@@ -42,9 +42,10 @@ def train_rows(
     eos: str | None = None,
     tokenizer=tx.WORDS,
 ) -> DataFrame:
-    """Judged rows to token arrays: query, positives, negatives."""
+    """Judged rows to token arrays: query, positives, negatives; part and parts of a query stay."""
     return df.select(
         "query_id",
+        *[c for c in ("part", "parts") if c in df.columns],
         _query_tokens(F.col("query"), q_max, q_prefix, lowercase, eos, tokenizer).alias("query"),
         _token_lists(F.col("positive_passages"), p_max, sep, p_prefix, lowercase, eos, tokenizer).alias("positives"),
         _token_lists(F.col("negative_passages"), p_max, sep, p_prefix, lowercase, eos, tokenizer).alias("negatives"),

@@ -61,6 +61,11 @@ def pair_rows(pairs: DataFrame, order: list[str], compat_ids: bool = False, rang
     )
 
 
+def rows_for_epoch(rows: DataFrame, epoch: int) -> DataFrame:
+    """Of a query that goes over several rows (part, parts) the one of this epoch, so that it counts once."""
+    return rows.where(F.col("part") == F.pmod(F.lit(epoch).cast("long"), F.col("parts")))
+
+
 def positive_for_epoch(positives: Column, item: Column, seed: int, epoch: int, shuffle: bool = True) -> Column:
     """The first positive, or another one each epoch."""
     if not shuffle:

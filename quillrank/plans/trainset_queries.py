@@ -59,7 +59,7 @@ def _replaced(ids: str, seed: int, item: str, epoch: int, m: int) -> str:
 
 def _choices(spark, d):
     """Documents of each judged row, positives first."""
-    rows = t.judged(spark, d).withColumn("ids", F.concat("positive_passages.docid", "negative_passages.docid"))
+    rows = trainset.rows_for_epoch(t.judged(spark, d), 3).withColumn("ids", F.concat("positive_passages.docid", "negative_passages.docid"))
     return rows.select("query_id", F.col("query_id").cast("long").alias("item"), "ids").where(F.size("ids") > 0)
 
 

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import mining
+from quillrank.functions import text as tx
+from quillrank.operators import mining, text_rows, trainset
 
 RUN = "qid string, docid string, score double"
 TRAIN = (
@@ -107,3 +110,48 @@ def test_answer_pairs_equal_brute_force(spark):
     answers = spark.createDataFrame(asked, "qid string, answers array<string>")
     got = sorted(map(tuple, mining.answer_pairs(corpus, answers).collect()))
     assert got == [("a", "0"), ("a", "3"), ("b", "0"), ("b", "1"), ("b", "2"), ("b", "3"), ("c", "3")]
+
+
+def test_judged_rows_keep_their_part(spark, data):
+    corpus, _, _, _ = data
+    queries = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "query_id string, query string")
+    qrels = spark.createDataFrame([("1", "d0", 1), ("1", "d1", 2), ("1", "d2", 1), ("1", "d0", 1), ("2", "d3", 1), ("2", "d0", 0)], "qid string, docid string, rel int")
+    rows = mining.judged_rows(queries, qrels, corpus, max_list=2)
+    found = {(r["query_id"], r["part"], r["parts"]): [p["docid"] for p in r["positive_passages"]] for r in rows.collect()}
+    assert found == {("1", 0, 2): ["d0", "d1"], ("1", 1, 2): ["d2"], ("2", 0, 1): ["d3"], ("3", 0, 1): []}
+    run = spark.createDataFrame([("1", f"d{i}", float(9 - i)) for i in range(4)], "qid string, docid string, score double")
+    mined = mining.basic_negatives(rows, run, corpus)
+    assert {(r["query_id"], r["part"]): [p["docid"] for p in r["negative_passages"]] for r in mined.collect()}[("1", 1)] == ["d3"]
+    both = mining.with_mined(rows, mined, 1)
+    assert sorted((r["query_id"], r["part"]) for r in both.collect()) == [("1", 0), ("1", 1)]
+    for epoch in range(3):
+        once = [(r["query_id"], r["part"]) for r in trainset.rows_for_epoch(mined, epoch).collect()]
+        assert sorted(once) == [("1", epoch % 2), ("2", 0), ("3", 0)]
+    tokens = text_rows.train_rows(mined)
+    assert tokens.columns == ["query_id", "part", "parts", "query", "positives", "negatives"]
+
+
+@pytest.mark.parametrize("part_chars", [10**6, 12])
+def test_answers_in_parts_equal_the_plain_test(spark, part_chars):
+    rng = random.Random(2)
+    words = ["red", "fox", "a", "über", "x1", "!"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(str(i), text(rng.randrange(12))) for i in range(60)] + [("n", None)]
+    asked = [(f"q{i}", [text(rng.randrange(1, 4)) for _ in range(rng.randrange(3))]) for i in range(25)] + [("same", ["red fox"]), ("again", ["Red  FOX"])]
+    corpus = spark.createDataFrame(docs, "docid string, text string")
+    answers = spark.createDataFrame(asked, "qid string, answers array<string>")
+    tested = corpus.crossJoin(answers).where(tx.has_answer(F.col("text"), F.col("answers"))).select("qid", "docid")
+    assert sorted(mining.answer_pairs(corpus, answers, part_chars).collect()) == sorted(tested.collect())
+    run = spark.createDataFrame([(q, d, 1.0) for q, _ in asked for d, _ in docs[:9]], "qid string, docid string, score double")
+    pairs = mining.pairs_in_run(run, corpus, answers).collect()
+    assert sorted(pairs) == sorted(r for r in tested.collect() if r["docid"] in {d for d, _ in docs[:9]})
+    none = answers.limit(0)
+    assert mining.answer_pairs(corpus, none).count() == 0 and mining.pairs_in_run(run, corpus, none).count() == 0
+
+
+def test_texts_are_not_shuffled_for_answers(spark, capsys):
+    corpus = spark.createDataFrame([("1", "red fox")], "docid string, text string")
+    answers = spark.createDataFrame([("q", ["fox"])], "qid string, answers array<string>")
+    mining.answer_pairs(corpus, answers).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text" in line]
