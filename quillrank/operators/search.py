@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 from quillrank.functions.vectors import steady, unit
 from quillrank.operators import blocks
 from quillrank.operators.placement import attach, fits_broadcast, spread_join, top_k
+from quillrank.session import fresh_path
 
 DENSE_QUERY_ROWS = 20_000
+DENSE_KEPT = 4_000_000
+#: Documents that give the first bounds, and how many times as many there must be for that to be worth a pass.
+FLOOR_ROWS, FLOOR_SHARE = 100_000, 4
 CELL_ROWS = 200_000
 QUERY_BLOCK = 512
 
@@ -178,11 +182,12 @@ def _index_table(place: str) -> str:
 class _Best:
     """Running best k per query inside one task: the smaller id first on equal scores."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, floors: np.ndarray | None = None):
         self.k = k
         self.scores = [np.empty(0)] * n_queries
         self.ids = [np.empty(0, dtype=object)] * n_queries
-        self.lowest = np.full(n_queries, -np.inf)  # the score to reach once a query has k documents
+        # The score to reach: known from before, or once a query has k documents here.
+        self.lowest = np.full(n_queries, -np.inf) if floors is None else floors.copy()
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of query rows (in order) against ids, which are sorted."""
@@ -196,13 +201,14 @@ class _Best:
                 above = np.flatnonzero(line > floor[at])
                 level = np.flatnonzero(line == floor[at])[: self.k - len(above)]
                 kept = np.concatenate([above, level])
+                kept = kept[line[kept] >= self.lowest[row]]
             s = np.concatenate([self.scores[row], line[kept]])
             d = np.concatenate([self.ids[row], ids[kept]])
             if len(s) > self.k:
                 order = np.lexsort((d.astype(str), -s))[: self.k]
                 s, d = s[order], d[order]
             if len(s) == self.k:
-                self.lowest[row] = s.min()
+                self.lowest[row] = max(self.lowest[row], s.min())
             self.scores[row], self.ids[row] = s, d
 
     def frames(self, query_ids: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -236,32 +242,58 @@ SCORED = "qid string, docid string, score double"
 
 
 def dense_topk(
-    queries: DataFrame, docs: DataFrame, k: int = 1000, queries_fit: bool | None = None, cell_rows: int = CELL_ROWS
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int = 1000,
+    chunk_rows: int = DENSE_QUERY_ROWS,
+    chunk_kept: int = DENSE_KEPT,
+    floor_rows: int = FLOOR_ROWS,
 ) -> DataFrame:
     """Exact inner-product search over (id, embedding).
 
-    Queries that fit are sent to every task, which multiplies Arrow batches of documents with them and keeps its
-    best k per query; only those are shuffled. A larger query set is cut into cells, and each query cell meets
-    each document cell once.
+    Queries go to the tasks in chunks of at most `chunk_rows`, and of at most `chunk_kept` results. For each chunk, tasks
+    multiply Arrow batches of documents with it where they lie: no document is shuffled or copied. A first pass over about
+    `floor_rows` documents, chosen by the hash of their id, gives a score that a query's k best all reach; the pass over
+    all documents keeps, per task, what reaches it and the task's own k best. So of n documents a task hands on about
+    k * (its documents) / floor_rows rows per query, k at most.
     """
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
     docs = docs.select(F.col("id").cast("string").alias("id"), "embedding")
-    if queries_fit is None:
-        queries_fit = fits_broadcast(queries, DENSE_QUERY_ROWS)
-    if not queries_fit:
-        return _best(_dense_by_cells(queries, docs, k, cell_rows), k)
+    asked = queries.count()
+    chunks = max(1, math.ceil(asked / min(chunk_rows, max(1, chunk_kept // k))))
+    sample = math.ceil(docs.count() / floor_rows)
+    first = docs.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0) if sample >= FLOOR_SHARE else None
+    if chunks == 1:
+        return _dense_chunk(queries, docs, first, k)
+    spark, base = queries.sparkSession, fresh_path(queries.sparkSession, "found")
+    for i in range(chunks):
+        found = _dense_chunk(queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i), docs, first, k)
+        found.write.parquet(f"{base}/{i}")
+    return spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(base)
+
+
+def _dense_chunk(queries: DataFrame, docs: DataFrame, first: DataFrame | None, k: int) -> DataFrame:
+    """One chunk of queries against all documents; `first` are the documents that give the floors."""
     sent, q_ids = _send_queries(queries)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = sent.value
-        best = _Best(len(q_ids.value), k)
-        every = np.arange(len(q_ids.value))
-        for batch in batches:
-            if len(batch) and len(every):
-                _score_batch(best, every, matrix, batch)
-        yield from best.frames(q_ids.value)
+    def search(rows: DataFrame, floors) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matrix = sent.value
+            best = _Best(len(q_ids.value), k, None if floors is None else floors.value)
+            every = np.arange(len(q_ids.value))
+            for batch in batches:
+                if len(batch) and len(every):
+                    _score_batch(best, every, matrix, batch)
+            yield from best.frames(q_ids.value)
 
-    return _best(docs.mapInPandas(run, SCORED), k)
+        return _best(rows.mapInPandas(run, SCORED), k)
+
+    if first is None:
+        return search(docs, None)
+    worst = search(first, None).groupBy("qid").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    known = {r["qid"]: r["score"] for r in worst.collect()}
+    floors = np.array([known.get(q, -np.inf) for q in q_ids.value])
+    return search(docs, queries.sparkSession.sparkContext.broadcast(floors))
 
 
 def _send_queries(queries: DataFrame):
@@ -294,13 +326,13 @@ def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int,
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCORED)
 
 
-def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, queries_fit: bool | None = None) -> DataFrame:
-    """Cosine search that leaves out a document with the query's own id and ranks what remains.
+def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, **limits) -> DataFrame:
+    """Cosine search that leaves out a document with the query's own id and ranks what remains; limits as in dense_topk.
 
     A score that is not a number counts as -1.
     """
     unit_rows = lambda df: df.select("id", unit(F.col("embedding")).alias("embedding"))
-    found = dense_topk(unit_rows(queries), unit_rows(docs), k + 1, queries_fit)
+    found = dense_topk(unit_rows(queries), unit_rows(docs), k + 1, **limits)
     return _best(found.where(F.col("qid") != F.col("docid")).drop("rank"), k)
 
 
@@ -342,8 +374,12 @@ def dense_topk_cells(
     if not queries_fit:
         return _best(_dense_by_cells(_probe(queries, centers, probes), docs, k, cell_rows, ("cell",)), k)
     sent, q_ids = _send_queries(queries)
-    nearest = _nearest_cells(sent.value, centers, probes)
-    visitors = {c: np.flatnonzero((nearest == c).any(axis=1)) for c in range(len(centers))}
+    return _best(_in_cells(docs, sent, q_ids, _nearest_cells(sent.value, centers, probes), k), k)
+
+
+def _in_cells(docs: DataFrame, sent, q_ids, nearest: np.ndarray, k: int) -> DataFrame:
+    """Scores of documents (id, embedding, cell) with the sent queries that look into their cell."""
+    visitors = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(len(q_ids.value), k)
@@ -354,7 +390,7 @@ def dense_topk_cells(
                     _score_batch(best, rows, sent.value, part)
         yield from best.frames(q_ids.value)
 
-    return _best(docs.mapInPandas(run, SCORED), k)
+    return docs.select("id", "embedding", "cell").mapInPandas(run, SCORED)
 
 
 def _probe(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:

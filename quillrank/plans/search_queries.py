@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.operators import block_index, blocks, evaluation, plugins, rerank, search
+from quillrank.operators import block_index, blocks, cells, evaluation, plugins, rerank, search
 from quillrank.plans import tables as t
 from quillrank.plans.registry import part, query, using
 from quillrank.session import fresh_path
@@ -75,6 +75,40 @@ def _(spark, d):
     return _out(search.dense_topk(rows, rows, 10))
 
 
+part(
+    "centers",
+    "SELECT label - 1 AS cell, list(v ORDER BY i) AS c FROM (SELECT dense_rank() OVER (ORDER BY label) AS label, i, v FROM "
+    "(SELECT label, i, avg(e[i]) AS v FROM vec, generate_series(1, 64) g(i) WHERE label IS NOT NULL GROUP BY label, i)) GROUP BY label",
+    "vec",
+)
+part(
+    "cell_order",
+    "SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(c, c) - 2 * list_dot_product(e, c), cell) AS nth FROM vec, centers",
+    "vec",
+    "centers",
+)
+
+
+@query(
+    "j6_stored_cells",
+    using(
+        "SELECT d.qid, d.docid, d.score, row_number() OVER (PARTITION BY d.qid ORDER BY d.score DESC, d.docid) AS rank FROM dense d "
+        "JOIN cell_order a ON a.id = d.docid AND a.nth = 1 JOIN cell_order b ON b.id = d.qid AND b.nth <= 3 AND b.cell = a.cell "
+        "QUALIFY rank <= 10",
+        "dense",
+        "cell_order",
+    ),
+)
+def _(spark, d):
+    """Cells around the mean of each label, stored; every vector asks in its three nearest ones."""
+    rows = t.vectors(spark, d)
+    means = evaluation.pool_vectors(rows.where("label is not null").select(F.col("label").alias("id"), F.lit(0).alias("pos"), F.col("embedding").alias("vec")))
+    centers = [r["embedding"] for r in means.orderBy("id").collect()]
+    index = cells.CellIndex(spark, fresh_path(spark, "cells"))
+    index.write(rows, centers)
+    return _out(index.search(rows, 10, probes=3))
+
+
 @query("j6_dense_topk_cells")
 def _(spark, d):
     rows = t.vectors(spark, d)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import rerank, search
+from quillrank.operators import cells, rerank, search
 from quillrank.session import fresh_path
 
 WHOLE = "id string, term string, weight int"
@@ -107,7 +107,52 @@ def test_dense_topk(dense, k):
     docs, queries, d, q = dense
     wanted = dense_brute(docs, queries, k)
     assert rows_of(search.dense_topk(q, d, k)) == wanted
-    assert rows_of(search.dense_topk(q, d, k, queries_fit=False, cell_rows=4)) == wanted
+    assert rows_of(search.dense_topk(q, d, k, chunk_rows=4)) == wanted
+    assert rows_of(search.dense_topk(q, d, k, chunk_rows=4, floor_rows=15)) == wanted
+    assert rows_of(search.dense_topk(q, d, k, chunk_kept=3 * k, floor_rows=5)) == wanted
+
+
+def test_floors_cut_what_a_task_hands_on(dense, spark):
+    """With floors from most documents, tasks hand on little more than the result; without, k rows each."""
+    docs, queries, _, q = dense
+    rng = np.random.default_rng(1)
+    many = rng.normal(size=(4000, 6))
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(many)], "id string, embedding array<double>").repartition(16)
+    matrix, ids = search._send_queries(q)
+    scores = matrix.value @ many.T
+    floors = np.sort(scores[:, :1000], axis=1)[:, -10]
+    handed = {}
+    for name, known in (("none", None), ("sample", floors)):
+        handed[name] = 0
+        for part in np.array_split(np.arange(4000), 16):
+            best = search._Best(len(ids.value), 10, known)
+            search._score_batch(best, np.arange(len(ids.value)), matrix.value, frame.toPandas().iloc[part])
+            handed[name] += sum(len(s) for s in best.scores)
+    assert handed["none"] == 16 * 10 * len(queries) and handed["sample"] < 6 * 10 * len(queries)
+
+
+def test_stored_cells(spark, dense, capsys):
+    docs, queries, d, q = dense
+    index = cells.CellIndex(spark, fresh_path(spark, "cells"))
+    centers = np.random.default_rng(3).normal(size=(6, 6))
+    index.write(d.where("cast(id as int) < 50"), centers)
+    index.add(d.where("cast(id as int) >= 50"))
+    cell = np.argmin((centers**2).sum(1)[None, :] - 2 * docs @ centers.T, axis=1)
+    assert {r["id"]: r["cell"] for r in index.documents().collect()} == {str(i): c for i, c in enumerate(cell)}
+    for probes in (1, 3, 6):
+        near = np.argsort((centers**2).sum(1)[None, :] - 2 * queries @ centers.T, axis=1, kind="stable")[:, :probes]
+        wanted = []
+        for i, seen in enumerate(near):
+            scores = sorted((-round(float(queries[i] @ docs[j]), 9), str(j)) for j in range(len(docs)) if cell[j] in seen)
+            wanted += [(str(i), j, -s, r) for r, (s, j) in enumerate(scores[:8], 1)]
+        for chunk_rows in (100, 3, 1):
+            assert rows_of(index.search(q, 8, probes, chunk_rows)) == sorted(wanted)
+    index.documents([2, 3]).explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert rows_of(index.search(q.limit(0), 8)) == []
+    index.write(d.limit(0), centers)
+    assert rows_of(index.search(q, 8)) == []
 
 
 def test_cosine_topk_leaves_out_the_query(dense):
