@@ -10,7 +10,7 @@ from quillrank.operators import plugins, sparse, text_rows
 from quillrank.plans import tables as t
 from quillrank.plans.registry import query, using
 from quillrank.session import fresh_path
-from quillrank.streaming import incremental
+from quillrank.streaming import incremental, running
 
 _WORD = regex.compile(tx.WORD_PATTERN)
 
@@ -38,6 +38,35 @@ def _(spark, d):
     return incremental.read_encoded(spark, out)
 
 
+def _followed(spark, d):
+    """The corpus as a stream of versions out of order: some last versions first, then drafts of all, then all last versions."""
+    arriving, out, marks = (fresh_path(spark, n) for n in ("versions", "followed", "stream"))
+    last = t.corpus(spark, d).join(t.documents(spark, d).select(F.col("doc_id").cast("string").alias("docid"), "lang"), "docid")
+    last = last.select(F.col("docid").alias("id"), F.lit(2).cast("long").alias("version"), tx.passage_text(F.col("title"), F.col("text")).alias("text"), "lang")
+    drafts = last.withColumns({"version": F.lit(1).cast("long"), "text": F.concat(F.lit("draft "), F.reverse("text"))})
+    for shard in (last.where("lang in ('en', 'de')"), drafts, last):
+        shard.drop("lang").write.mode("append").parquet(arriving)
+        texts = incremental.arriving_texts(spark, arriving, "id string, version long, text string")
+        running.follow_stream(texts, out, marks).awaitTermination()
+    return out
+
+
+@query("t1_running_statistics", using("SELECT term, df FROM frequencies", "frequencies"))
+def _(spark, d):
+    return running.statistics(spark, _followed(spark, d))[0]
+
+
+@query(
+    "t1_running_postings",
+    using(
+        "SELECT id, term, CAST(round_even(weight * 100, 0) AS INT) AS weight FROM doc_max WHERE round_even(weight * 100, 0) > 0",
+        "doc_max",
+    ),
+)
+def _(spark, d):
+    return sparse.quantise(running.postings(spark, _followed(spark, d)))
+
+
 def split_words(texts):
     """A tokeniser to put in."""
     return [_WORD.findall(x) for x in texts]
