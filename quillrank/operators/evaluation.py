@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as tx
 from quillrank.functions.vectors import cosine
 from quillrank.operators.placement import RANGE_ROWS, running_total, spread_join
-from quillrank.session import settled
+from quillrank.session import fresh_path, settled
 
 IGNORED = -100
 
@@ -42,12 +47,28 @@ def spearman(df: DataFrame, a: str, b: str, range_rows: int = RANGE_ROWS) -> Dat
 def classify(train: DataFrame, test: DataFrame, max_iter: int = 100, regularisation: float = 0.0) -> DataFrame:
     """Logistic regression on (embedding, label), applied to test rows: adds prediction."""
     vectors = lambda df: df.withColumn("_features", array_to_vector("embedding"))
+    out = _fitted(train, max_iter, regularisation).transform(vectors(test)).drop("_features", "rawPrediction", "probability")
+    return out.withColumn("prediction", F.col("prediction").cast("int"))
+
+
+def _fitted(train: DataFrame, max_iter: int, regularisation: float, tolerance: float = 1e-6):
     learner = LogisticRegression(
-        featuresCol="_features", labelCol="label", predictionCol="prediction", maxIter=max_iter, regParam=regularisation
+        featuresCol="_features", labelCol="label", predictionCol="prediction", maxIter=max_iter, regParam=regularisation, tol=tolerance
     )
-    fitted = learner.fit(vectors(train).select("_features", F.col("label").cast("double").alias("label")))
-    out = fitted.transform(vectors(test)).drop("_features", "rawPrediction", "probability")
-    return out.withColumn("prediction", F.col("prediction").cast("int"))
+    vectors = train.withColumn("_features", array_to_vector("embedding"))
+    return learner.fit(vectors.select("_features", F.col("label").cast("double").alias("label")))
+
+
+def expected_classes(train: DataFrame, max_iter: int = 500, regularisation: float = 0.01) -> DataFrame:
+    """(label, expected): the sum of each class's probability over the rows that a classifier was fitted to.
+
+    Where the fit has come to its optimum, it is the number of rows of the class: the derivative by its intercept, which is
+    not regularised, is the difference of the two.
+    """
+    model = _fitted(train, max_iter, regularisation, 1e-10)
+    rows = model.transform(train.withColumn("_features", array_to_vector("embedding")))
+    each = rows.select(F.posexplode(vector_to_array("probability")).alias("label", "p"))
+    return each.groupBy("label").agg(F.sum("p").alias("expected"))
 
 
 def classification_report(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -196,3 +217,135 @@ def size_report(postings: DataFrame, bytes_per_weight: int = 4) -> DataFrame:
         F.avg(size).alias("bytes_per_row"),
         F.sum(size).alias("total_bytes"),
     )
+
+
+SKETCH_K = 4096
+
+
+def size_sketches(postings: DataFrame, by: list[str] | None = None, bytes_per_weight: int = 4, k: int = SKETCH_K) -> DataFrame:
+    """Per group of `by` columns (per corpus without): rows, sums and mergeable quantile sketches of terms and bytes per row.
+
+    A sketch of `k` values holds up to that many rows exactly; beyond, a quantile's rank is off by about 2.3 / k^0.9, which
+    is 0.13 % for 4096, with 99 % certainty. Its size does not grow with the rows.
+    """
+    keys = by or []
+    per_row = postings.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.octet_length("term")).alias("term_bytes"))
+    sized = per_row.withColumn("bytes", F.col("terms") * bytes_per_weight + F.col("term_bytes"))
+    return sized.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("terms").alias("terms"),
+        F.sum("bytes").alias("bytes"),
+        F.kll_sketch_agg_bigint("terms", k).alias("terms_sketch"),
+        F.kll_sketch_agg_bigint("bytes", k).alias("bytes_sketch"),
+    )
+
+
+def merged_sizes(sketches: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """The rows of several groups, shards or earlier runs as one; no posting is read again."""
+    sums = [F.sum(c).alias(c) for c in ("rows", "terms", "bytes")]
+    merged = [F.kll_merge_agg_bigint(c, k).alias(c) for c in ("terms_sketch", "bytes_sketch")]
+    return sketches.agg(*sums, *merged)
+
+
+def size_quantiles(merged: DataFrame, documents: int | None = None, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """rows, terms and bytes per row at each point (terms_p50, ...), and the memory of `documents` rows of this kind.
+
+    `projected_bytes` takes the mean row for each; `projected_high_bytes` the row at the last point, which a corpus of
+    long documents may come to. Without a number of documents they tell of the rows there are.
+    """
+    name = lambda what, p: f"{what}_p{p * 100:g}".replace(".", "_")
+    at = lambda what, p: F.kll_sketch_get_quantile_bigint(f"{what}_sketch", F.lit(float(p))).alias(name(what, p))
+    rows = F.col("rows") if documents is None else F.lit(documents).cast("long")
+    high = F.kll_sketch_get_quantile_bigint("bytes_sketch", F.lit(float(points[-1])))
+    return merged.where("rows > 0").select(
+        "rows",
+        *[at(what, p) for what in ("terms", "bytes") for p in points],
+        F.ceil(F.col("bytes") / F.col("rows") * rows).cast("long").alias("projected_bytes"),
+        (high * rows).cast("long").alias("projected_high_bytes"),
+    )
+
+
+MINI_BATCH = 100_000
+
+
+def minibatch_centers(
+    vectors: DataFrame, clusters: int, batch_rows: int = MINI_BATCH, epochs: int = 3, seed: int = 7, first_rows: int = 10_000
+) -> np.ndarray:
+    """Centres by mini-batch k-means over (id, embedding), in the order of their batches by the hash of the id.
+
+    The first centres are drawn from at most `first_rows` vectors, each by its squared distance from those before it. A
+    batch assigns its vectors to their nearest centres, and moves each centre to them by one over the vectors that it
+    has had so far. Batches are folders of one table, so each job reads its batch alone; what comes back from a job is
+    sums per centre. A centre that stays without vectors keeps its place. The result does not depend on partitions.
+    """
+    rows = vectors.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(F.col("embedding").isNotNull())
+    spark, n = vectors.sparkSession, rows.count()
+    batches = max(1, math.ceil(n / batch_rows))
+    path = fresh_path(spark, "batches")
+    deal = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(batches)).cast("int")
+    rows.withColumn("batch", deal).repartition("batch", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("batch").parquet(path)
+    stored = spark.read.schema("id string, embedding array<double>, batch int").parquet(path)
+    drawn = stored.where("batch = 0").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(first_rows).toPandas()
+    if not len(drawn):
+        return np.zeros((0, 0))
+    centers = _spread_centers(np.stack(drawn["embedding"].to_list()), clusters, seed)
+    seen = np.zeros(len(centers))
+    for step in range(epochs * batches):
+        batch = stored.where(F.col("batch") == step % batches)
+        sums, counts = _nearest_sums(batch, centers)
+        seen += counts
+        moved = counts > 0
+        centers[moved] += (sums[moved] - counts[moved, None] * centers[moved]) / seen[moved, None]
+    return centers
+
+
+def _spread_centers(vectors: np.ndarray, clusters: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    chosen = [vectors[rng.integers(len(vectors))]]
+    distance = ((vectors - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(clusters, len(vectors)):
+        total = distance.sum()
+        at = rng.choice(len(vectors), p=distance / total) if total > 0 else rng.integers(len(vectors))
+        chosen.append(vectors[at])
+        distance = np.minimum(distance, ((vectors - vectors[at]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _nearest_sums(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of the vectors that are nearest to each centre. Sums are of whole multiples of 2^-40, so that
+    their order does not matter."""
+    k, dim = centers.shape
+    unit = 2.0**40
+
+    def assign(batches):
+        sums, counts = np.zeros((k, dim), object), np.zeros(k, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                matrix = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+                near = ((centers**2).sum(axis=1)[None, :] - 2 * matrix @ centers.T).argmin(axis=1)
+                whole = np.rint(matrix * unit).astype(np.int64)
+                for c in np.unique(near):
+                    sums[c] += whole[near == c].sum(axis=0).astype(object)
+                    counts[c] += int((near == c).sum())
+        held = np.flatnonzero(counts)
+        values = pa.array([[Decimal(int(v)) for v in sums[c]] for c in held], pa.list_(pa.decimal128(38, 0)))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held]), values], ["c", "n", "s"])
+
+    parts = rows.select("embedding").mapInArrow(assign, "c long, n long, s array<decimal(38,0)>")
+    places = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)]
+    sums, counts = np.zeros((k, dim)), np.zeros(k)
+    for row in parts.groupBy("c").agg(F.sum("n").alias("n"), *places).collect():
+        counts[row["c"]] = row["n"]
+        sums[row["c"]] = [float(row[f"s{i}"]) / unit for i in range(dim)]
+    return sums, counts
+
+
+def assigned(df: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Adds `cluster`, the nearest centre, and `cost`, the squared distance from it."""
+    points = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
+    apart = lambda c: F.aggregate(
+        F.zip_with("embedding", c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x
+    )
+    near = F.array_min(F.transform(points, lambda c, i: F.struct(apart(c).alias("cost"), i.alias("cluster"))))
+    return df.withColumn("_near", near).withColumn("cluster", F.col("_near.cluster")).withColumn("cost", F.col("_near.cost")).drop("_near")

@@ -169,6 +169,16 @@ def _(spark, d):
     return evaluation.classify(train, test).select("id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"))
 
 
+@query(
+    "m11_fitted_classes",
+    using("SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS DOUBLE) AS expected FROM vec WHERE label IS NOT NULL GROUP BY label", "vec"),
+)
+def _(spark, d):
+    """What the fitted classifier expects of each class, to a tenth of a row: at the optimum the number of its rows."""
+    fitted = evaluation.expected_classes(t.vectors(spark, d).where("label is not null"))
+    return fitted.select(F.col("label").cast("long").alias("label"), F.round("expected", 1).alias("expected"))
+
+
 part(
     "neighbour",
     "SELECT a.label AS label, b.label AS prediction FROM (SELECT qid, docid FROM dense WHERE qid <> docid "
@@ -201,6 +211,41 @@ def _(spark, d):
     return evaluation.cluster(t.vectors(spark, d)).select("id", F.col("label").cast("long").alias("label"), F.col("cluster").cast("long").alias("cluster"))
 
 
+part(
+    "label_cost",
+    "SELECT sum(list_sum(list_transform(list_zip(e, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS cost FROM vec JOIN "
+    "(SELECT label, list(v ORDER BY i) AS m FROM (SELECT label, i, avg(e[i]) AS v FROM vec, generate_series(1, 64) g(i) "
+    "WHERE label IS NOT NULL GROUP BY label, i) GROUP BY label) USING (label)",
+    "vec",
+)
+
+
+@query(
+    "m13_minibatch_kmeans",
+    using(
+        "SELECT (SELECT count(DISTINCT label) FROM vec) AS clusters, (SELECT count(*) FROM vec WHERE label IS NOT NULL) AS rows, "
+        "round(cost, 6) AS label_cost, TRUE AS no_dearer FROM label_cost",
+        "vec",
+        "label_cost",
+    ),
+)
+def _(spark, d):
+    """Clusters by mini-batches, and whether they cost no more than the means of the labels."""
+    rows = t.vectors(spark, d).where("label is not null")
+    clusters = rows.agg(F.count_distinct("label")).first()[0]
+    found = evaluation.assigned(rows, evaluation.minibatch_centers(rows, clusters, batch_rows=512))
+    means = evaluation.pool_vectors(rows.select(F.col("label").alias("id"), F.lit(0).alias("pos"), F.col("embedding").alias("vec")))
+    apart = F.zip_with("embedding", "mean", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
+    both = found.join(means.select(F.col("id").alias("label"), F.col("embedding").alias("mean")), "label")
+    told = both.agg(
+        F.countDistinct("cluster").alias("clusters"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("cost").alias("cost"),
+        F.sum(F.aggregate(apart, F.lit(0.0), lambda a, x: a + x)).alias("label_cost"),
+    )
+    return told.select("clusters", "rows", F.round("label_cost", 6).alias("label_cost"), (F.col("cost") <= F.col("label_cost")).alias("no_dearer"))
+
+
 part(
     "grouped",
     "SELECT CASE WHEN e[2] >= 0 THEN 'up' ELSE 'down' END AS s, label AS c, CAST(floor((e[1] + 1) * 12) AS INT) AS k FROM vec",
@@ -355,3 +400,23 @@ def _(spark, d):
 )
 def _(spark, d):
     return _rounded(evaluation.size_report(t.doc_postings(spark, d)))
+
+
+_AT = lambda what, p: f"min({what}) FILTER ({what}_at >= {p})"
+
+
+@query(
+    "m20_size_quantiles",
+    using(
+        f"SELECT count(*) AS rows, {', '.join(f'CAST({_AT(w, p)} AS BIGINT) AS {w}_p{round(100 * p)}' for w in ('terms', 'bytes') for p in (0.5, 0.9, 0.99))}, "
+        f"CAST(ceil(CAST(sum(bytes) AS DOUBLE) / count(*) * 1000000) AS BIGINT) AS projected_bytes, CAST({_AT('bytes', 0.99)} * 1000000 AS BIGINT) AS projected_high_bytes "
+        "FROM (SELECT *, cume_dist() OVER (ORDER BY terms) AS terms_at, cume_dist() OVER (ORDER BY bytes) AS bytes_at FROM "
+        "(SELECT id, count(*) AS terms, count(*) * 4 + sum(strlen(term)) AS bytes FROM doc_post GROUP BY id))",
+        "doc_post",
+    ),
+)
+def _(spark, d):
+    """Sketches per language, merged; and the memory of a million documents of this kind."""
+    langs = t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "lang")
+    sketches = evaluation.size_sketches(t.doc_postings(spark, d).join(langs, "id"), ["lang"])
+    return evaluation.size_quantiles(evaluation.merged_sizes(sketches), 1_000_000)

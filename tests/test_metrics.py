@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,55 @@ def test_size_report(spark):
     rows = spark.createDataFrame([("a", "xy", 1), ("a", "z", 1), ("b", "é", 1)], "id string, term string, weight int")
     row = evaluation.size_report(rows).first()
     assert (row["rows"], row["terms_per_row"], row["max_terms"], row["total_bytes"]) == (2, 1.5, 2, 3 * 4 + 5)
+
+
+def test_minibatch_centers(spark):
+    rng = np.random.default_rng(12)
+    middles = rng.normal(size=(5, 6)) * 10
+    points = middles[np.arange(2000) % 5] + rng.normal(size=(2000, 6))
+    rows = [(str(i), p.tolist()) for i, p in enumerate(points)] + [("null", None)]
+    frame = lambda parts: spark.createDataFrame(rows, "id string, embedding array<double>").repartition(parts)
+    found = evaluation.minibatch_centers(frame(3), 5, batch_rows=300)
+    assert (found == evaluation.minibatch_centers(frame(7), 5, batch_rows=300)).all()
+    apart = np.linalg.norm(found[:, None] - middles[None], axis=2)
+    assert (apart.min(axis=0) < 0.3).all() and sorted(apart.argmin(axis=1)) == list(range(5))
+    near = evaluation.assigned(frame(2).where("embedding is not null"), found).collect()
+    distance = ((points[:, None] - found[None]) ** 2).sum(axis=2)
+    assert all(r["cluster"] == distance[int(r["id"])].argmin() and abs(r["cost"] - distance[int(r["id"])].min()) < 1e-9 for r in near)
+    assert len(evaluation.minibatch_centers(frame(2).limit(0), 3)) == 0
+    few = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0])], "id string, embedding array<double>")
+    assert evaluation.minibatch_centers(few, 5).tolist() == [[1.0, 2.0]] * 2
+
+
+def test_size_sketches_merge_to_the_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), f"t{j}", i % 3) for i in range(600) for j in range(int(rng.integers(1, 60)))]
+    postings = spark.createDataFrame(rows, "id string, term string, part int")
+    sizes = sorted(len(v) for v in by_id(rows).values())
+    sizes_bytes = sorted(sum(4 + len(t) for t in v) for v in by_id(rows).values())
+    merged = evaluation.merged_sizes(evaluation.size_sketches(postings, ["part"]))
+    row = evaluation.size_quantiles(merged, 10_000).first()
+    at = lambda values, p: values[int(np.ceil(p * len(values))) - 1]
+    for p in (50, 90, 99):
+        assert row[f"terms_p{p}"] == at(sizes, p / 100) and row[f"bytes_p{p}"] == at(sizes_bytes, p / 100)
+    assert row["projected_bytes"] == int(np.ceil(sum(sizes_bytes) / 600 * 10_000)) and row["projected_high_bytes"] == at(sizes_bytes, 0.99) * 10_000
+    # Small sketches stay within their stated error of rank.
+    coarse = evaluation.size_quantiles(evaluation.merged_sizes(evaluation.size_sketches(postings, ["part"], k=64), 64)).first()
+    rank = np.searchsorted(sizes, coarse["terms_p50"], side="right") / 600
+    assert abs(rank - 0.5) < 2.3 / 64**0.9 + 0.03
+    assert evaluation.size_quantiles(evaluation.merged_sizes(evaluation.size_sketches(postings.limit(0)))).count() == 0
+
+
+def by_id(rows):
+    out = {}
+    for i, term, _ in rows:
+        out.setdefault(i, []).append(term)
+    return out
+
+
+def test_expected_classes_at_the_optimum(spark):
+    rng = np.random.default_rng(9)
+    rows = [(rng.normal(size=3).tolist(), int(rng.integers(0, 3))) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "embedding array<double>, label int")
+    found = {r["label"]: r["expected"] for r in evaluation.expected_classes(frame).collect()}
+    assert all(abs(found[c] - sum(label == c for _, label in rows)) < 0.05 for c in range(3))
