@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,13 +22,14 @@ from pyspark.sql import types as T
 
 from quillrank.functions.vectors import steady, unit
 from quillrank.operators import blocks
-from quillrank.operators.placement import attach, fits_broadcast, spread_join, top_k
-from quillrank.session import fresh_path
+from quillrank.operators.placement import fits_broadcast, spread_join, top_k
+from quillrank.session import fresh_path, settled
 
 DENSE_QUERY_ROWS = 20_000
 DENSE_KEPT = 4_000_000
 #: Documents that give the first bounds, and how many times as many there must be for that to be worth a pass.
 FLOOR_ROWS, FLOOR_SHARE = 100_000, 4
+PAIR_ROWS = 1_000_000
 CELL_ROWS = 200_000
 QUERY_BLOCK = 512
 
@@ -410,31 +412,65 @@ def reduce_runs(runs: Sequence[DataFrame], depth: int = 100) -> DataFrame:
 
 
 def token_matrix(vectors: DataFrame) -> DataFrame:
-    """Token vectors (id, pos, vec) to one row per id; a row holds one text's tokens."""
+    """Token vectors (id, pos, vec) to one row (id, matrix) per id; a row holds one text's tokens.
+
+    This is the one shuffle of token vectors: written down, the rows serve every search over the texts.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("pos", "vec")))
     return vectors.groupBy("id").agg(F.transform(ordered, lambda t: t["vec"]).alias("matrix"))
 
 
-def maxsim(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, padded: bool = False) -> DataFrame:
+def maxsim(
+    candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, padded: bool = False, chunk_pairs: int = PAIR_ROWS
+) -> DataFrame:
     """Late interaction over candidate pairs (qid, docid): best match per query token, summed.
 
-    With `padded`, documents have zero vectors behind their tokens, so no match counts below zero.
+    Vectors are rows (id, pos, vec), or (id, matrix) as token_matrix gives them: such documents are read where they lie.
+    Pairs go to the tasks in chunks of whole queries, with those queries' tokens; a document meets all its queries of a chunk in one
+    product. With `padded`, documents have zero vectors behind their tokens, so no match counts below zero.
     """
-
-    @F.pandas_udf("double")
-    def score(q: pd.Series, d: pd.Series) -> pd.Series:
-        out = np.empty(len(q))
-        for i, (a, b) in enumerate(zip(q, d)):
-            best = (np.stack(a).astype(np.float64) @ np.stack(b).astype(np.float64).T).max(axis=1)
-            out[i] = (np.maximum(best, 0.0) if padded else best).sum()
-        return pd.Series(out)
-
-    queries = token_matrix(query_vectors).select(F.col("id").alias("qid"), F.col("matrix").alias("q_matrix"))
-    wanted = candidates.select(F.col("docid").alias("id")).distinct()
-    docs = token_matrix(doc_vectors.join(wanted, "id", "left_semi")).select(F.col("id").alias("docid"), F.col("matrix").alias("d_matrix"))
-    pairs = candidates.select("qid", "docid")
-    with_docs = attach(pairs, docs, "docid", ["qid"])
-    both = spread_join(with_docs, queries, "qid", "inner", ["docid"])
-    scored = both.select("qid", "docid", steady(score("q_matrix", "d_matrix")).alias("score"))
+    as_matrix = lambda rows: rows if "matrix" in rows.columns else token_matrix(rows)
+    pairs = settled(candidates.select("qid", "docid"), "pairs")
+    docs = as_matrix(doc_vectors).select(F.col("id").alias("docid"), "matrix")
+    asked = settled(as_matrix(query_vectors.join(pairs.select(F.col("qid").alias("id")).distinct(), "id", "left_semi")), "asked")
+    chunks = max(1, math.ceil(pairs.count() / chunk_pairs))
+    among = lambda rows, key: rows if chunks == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("docid"))
-    return scored.withColumn("rank", F.row_number().over(order))
+    base = fresh_path(pairs.sparkSession, "scored")
+    for i in range(chunks):
+        scored = _interaction(among(pairs, "qid"), among(asked, "id"), docs, padded)
+        scored = scored.select("qid", "docid", steady(F.col("score")).alias("score"))
+        found = scored.withColumn("rank", F.row_number().over(order))
+        if chunks == 1:
+            return found
+        found.write.parquet(f"{base}/{i}")
+    return pairs.sparkSession.read.schema(found.schema).option("recursiveFileLookup", True).parquet(base)
+
+
+def _interaction(pairs: DataFrame, asked: DataFrame, docs: DataFrame, padded: bool) -> DataFrame:
+    """(qid, docid, score) of a chunk of pairs; `asked` are the token matrices of its queries."""
+    tokens = {r["id"]: np.array(r["matrix"], dtype=np.float64) for r in asked.toLocalIterator()}
+    sent = pairs.sparkSession.sparkContext.broadcast(tokens)
+    lists = pairs.groupBy("docid").agg(F.collect_list("qid").alias("qids"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, docids, scores = [], [], []
+            for docid, matrix, qids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                known = [q for q in qids if q in sent.value]
+                if not known:
+                    continue
+                rows = matrix.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(matrix), -1)
+                stacked = [sent.value[q] for q in known]
+                best = (np.concatenate(stacked) @ rows.T).max(axis=1)
+                starts = np.cumsum([0, *(len(m) for m in stacked[:-1])])
+                scores += np.add.reduceat(np.maximum(best, 0.0) if padded else best, starts).tolist()
+                ids += known
+                docids += [docid] * len(known)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), pa.array(docids, pa.string()), pa.array(scores, pa.float64())], ["qid", "docid", "score"]
+            )
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    met = docs.join(F.broadcast(lists), "docid").select(text("docid"), "matrix", F.transform("qids", lambda q: q.cast("string")).alias("qids"))
+    return met.mapInArrow(score, SCORED)

@@ -185,7 +185,8 @@ def _(spark, d):
     tokens = t.token_vectors(spark, d)
     texts = evaluation.pool_vectors(tokens, "mean").withColumn("embedding", F.col("embedding").cast("array<double>"))
     near = search.dense_topk(texts, texts, 10)
-    return _out(search.maxsim(near, tokens, tokens, padded=True))
+    matrices = t.token_matrices(spark, d)
+    return _out(search.maxsim(near, matrices, matrices, padded=True))
 
 
 @query(

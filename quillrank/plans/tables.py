@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
-from quillrank.operators import blocks, mining, sparse
+from quillrank.operators import blocks, mining, search, sparse
 from quillrank.plans.registry import part
 from quillrank.session import fresh_path
 
@@ -145,6 +145,10 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "token_matrices", lambda: search.token_matrix(token_vectors(spark, sf_dir)))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the assistant turn that follows and the turn before: pairs and triplets.
 

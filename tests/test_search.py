@@ -193,6 +193,28 @@ def test_maxsim(spark):
     assert rows_of(search.maxsim(pairs, queries, docs, padded=True)) == [("q", "d", 8.0, 1), ("q", "e", 0.0, 2)]
 
 
+def test_maxsim_of_stored_matrices_in_chunks(spark, capsys):
+    rng = np.random.default_rng(2)
+    texts = lambda p, n: {f"{p}{i}": rng.integers(-4, 5, (int(rng.integers(1, 6)), 4)).astype(float) for i in range(n)}
+    docs, queries = texts("d", 20), texts("q", 9)
+    frame = lambda m: spark.createDataFrame([(i, p, v.tolist()) for i, rows in m.items() for p, v in enumerate(rows)], "id string, pos int, vec array<double>")
+    pairs = [(q, d) for q in queries for d in docs if rng.random() < 0.6] + [("q0", "unknown"), ("unknown", "d0")]
+    asked = spark.createDataFrame(pairs, "qid string, docid string")
+    wanted = []
+    for q in queries:
+        scores = sorted((-(queries[q] @ docs[d].T).max(axis=1).sum(), d) for a, d in pairs if a == q and d in docs)
+        wanted += [(q, d, -s, r) for r, (s, d) in enumerate(scores, 1)]
+    path = fresh_path(spark, "matrices")
+    search.token_matrix(frame(docs)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for documents, limits in ((frame(docs), {}), (stored, {}), (stored, {"chunk_pairs": 20})):
+        assert rows_of(search.maxsim(asked, frame(queries), documents, **limits)) == sorted(wanted)
+    search.maxsim(asked, frame(queries), stored).explain()
+    plan = capsys.readouterr().out
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "matrix" in line]
+    assert "hashpartitioning(qid" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_rerank_input_and_missing_keys(spark):
     run = spark.createDataFrame([("1", "a", 3.0), ("1", "b", 2.0), ("1", "zz", 1.0), ("9", "a", 1.0)], "qid string, docid string, score double")
     queries = spark.createDataFrame([("1", "ask"), ("2", "none")], "query_id string, query string")
