@@ -35,7 +35,7 @@ def rerank(pairs: DataFrame, score: Column) -> DataFrame:
 
 def add_titles(passages: DataFrame, titles: DataFrame) -> DataFrame:
     """Left join on docid; a passage without a title gets an empty one."""
-    joined = spread_join(passages, titles.select("docid", "title"), "docid", "left", right_fits=False)
+    joined = passages.join(titles.select("docid", "title"), "docid", "left")
     return joined.withColumn("title", F.coalesce("title", F.lit("")))
 
 

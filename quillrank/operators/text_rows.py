@@ -17,6 +17,9 @@ IGNORED = -100
 SCORED_PASSAGE = T.StructType(PASSAGE.fields + [T.StructField("score", T.DoubleType())])
 
 
+ONE_TASK_ROWS = 10_000
+
+
 def _texts(passages: Column, sep: str, prefix: str, lowercase: bool) -> Column:
     return F.transform(passages, lambda p: tx.passage_text(p["title"], p["text"], sep, prefix, lowercase))
 
@@ -203,8 +206,13 @@ def split_by_percent(df: DataFrame, order: list[str], percent: int, range_rows:
 
 
 def take_first(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The first n rows by key, or all where there are fewer."""
-    return df.orderBy(*order).limit(n)
+    """The first n rows by the unique key, or all where there are fewer.
+
+    Many rows are cut by their place, so that they never meet in one task.
+    """
+    if n <= ONE_TASK_ROWS:
+        return df.orderBy(*order).limit(n)
+    return running_total(df, order, name="_place").where(F.col("_place") < n).drop("_place")
 
 
 def longest_first(df: DataFrame, key: str = "docid", within_tasks: bool = False) -> DataFrame:

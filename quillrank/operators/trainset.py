@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as tx
 from quillrank.functions.seeded import seeded_key, seeded_shuffle, seeded_unit
 from quillrank.operators.placement import RANGE_ROWS, running_total, spread_join
+from quillrank.session import settled
 
 # Pair splits whose documents are queries too.
 SYMMETRIC_SPLITS = ("quora", "simplewiki", "stackexchange_duplicate_questions")
@@ -116,10 +117,11 @@ def soft_targets(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
 
     Sums are combined before the shuffle and joined back, so a query with very many rows is never one task.
     """
-    scaled = scores.withColumn("_s", F.col("score") / F.lit(temperature))
+    scaled = settled(scores.withColumn("_s", F.col("score") / F.lit(temperature)), "scores")
     top = scaled.groupBy("qid").agg(F.max("_s").alias("_max"))
+    top = settled(top, "top")
     shifted = spread_join(scaled, top, "qid", "inner", ["docid"]).withColumn("_e", F.exp(F.col("_s") - F.col("_max")))
-    total = shifted.groupBy("qid").agg(F.sum("_e").alias("_total"))
+    total = settled(shifted.groupBy("qid").agg(F.sum("_e").alias("_total")), "totals")
     out = spread_join(shifted, total, "qid", "inner", ["docid"])
     return out.withColumn("target", F.col("_e") / F.col("_total")).drop("_s", "_max", "_e", "_total")
 

@@ -313,6 +313,23 @@ def _(spark, d):
     return readers.read_sentences(spark, path)
 
 
+@query(
+    "s19_exact_splits",
+    using(
+        "SELECT CAST(place * 7 // total AS BIGINT) AS split, count(*) AS rows, min(docid) AS first, max(docid) AS last FROM "
+        "(SELECT docid, row_number() OVER (ORDER BY docid) - 1 AS place, count(*) OVER () AS total FROM corpus) GROUP BY 1",
+        "corpus",
+    ),
+)
+def _(spark, d):
+    """Seven files of the corpus, by the number in their names."""
+    path = fresh_path(spark, "splits")
+    writers.write_json_splits(t.corpus(spark, d), path, 7, "docid")
+    split = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("long").alias("split")
+    rows = spark.read.schema("docid string, title string, text string").json(path).select("docid", split)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("docid").alias("first"), F.max("docid").alias("last"))
+
+
 @query(
     "s24_training_directory",
     using(

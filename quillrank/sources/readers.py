@@ -5,13 +5,16 @@ Readers with `on_bad` give good rows only and fail on a bad line ("fail"), or gi
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import let, strip
 from quillrank.operators.rerank import MAX_LIST, grouped_lists
+from quillrank.session import settled
 
 Paths = str | Sequence[str]
 TRIPLET = "query string, positive string, negative string"
@@ -235,18 +238,63 @@ def read_training(
     return _given(rows.drop("source"), bad, on_bad)
 
 
-def read_text_source(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
-    """Texts by file extension: txt as lines, json or jsonl, csv with a header, parquet."""
+def read_text_source(spark: SparkSession, path: str, extension: str | None = None, schema: str | None = None) -> DataFrame:
+    """Texts by file extension: txt as lines, json or jsonl, csv with a header, parquet.
+
+    With a `schema`, JSON is read in one pass; without, a pass before finds its fields.
+    """
     kind = extension or path.rsplit(".", 1)[-1]
     if kind in ("txt", "text"):
         return spark.read.text(path).withColumnRenamed("value", "text")
     if kind in ("json", "jsonl"):
-        return spark.read.json(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).json(path)
     if kind == "csv":
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return read_csv(spark, path)
     return spark.read.format(kind).load(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, all columns as text, quotes doubled inside quotes; a large file is read by many tasks.
+
+    A quoted field may hold line ends, so a split of a file can begin inside one. Each split counts its quotes; whether it begins
+    inside a field is the parity of all quotes before it. Lines are then records, or parts of the record that began
+    before them, and only records of several lines are brought together. Line ends inside fields become newlines.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    lines = settled(lines.withColumn("quotes", F.length(F.regexp_replace("value", '[^"]', ""))), "lines")
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, *keys: F.coalesce(F.sum(c).over(before(*keys)), F.lit(0))
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    blocks = blocks.select("file", "block", sums("quotes", "file").alias("earlier"))
+    within = Window.partitionBy("file", "block").orderBy("at")
+    past = F.coalesce(F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("begins", (F.col("earlier") + past) % 2 == 0)
+    number = F.sum(F.col("begins").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    lines = settled(lines.select("file", "block", "at", "value", "quotes", "begins", number.alias("number")), "numbered")
+    # Records are numbered through a file; what a block has before its first record belongs to the last one before.
+    starts = lines.groupBy("file", "block").agg(F.max("number").alias("records"))
+    starts = starts.select("file", "block", sums("records", "file").alias("first"))
+    lines = lines.join(F.broadcast(starts), ["file", "block"]).withColumn("record", F.col("number") + F.col("first"))
+    several = F.col("quotes") % 2 == 1
+    whole = lines.where(F.col("begins") & ~several).select("file", "record", "value")
+    parts = lines.where(~(F.col("begins") & ~several)).groupBy("file", "record")
+    joined = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    long_ = parts.agg(F.array_join(F.transform(joined, lambda p: p["value"]), "\n").alias("value"))
+    heads = whole.union(long_.select("file", "record", "value")).where("record = 1")
+    head = heads.orderBy("file").first()
+    if head is None:
+        return spark.createDataFrame([], "text string")
+    names = next(csv.reader(io.StringIO(head["value"], newline="")))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    records = whole.union(long_.select("file", "record", "value")).where("record > 1 and value <> ''")
+    return records.select(F.from_csv("value", schema, {"escape": '"'}).alias("row")).select("row.*")
+
+
 def read_tokenised(
     spark: SparkSession, path: str, schema: str = TOKENISED_ROWS, on_bad: str = "fail"
 ) -> DataFrame | tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.placement import running_total
 from quillrank.operators.sparse import repeated_tokens
+from quillrank.session import settled
 
 
 def corpus_lines(vectors: DataFrame, content_key: str = "content") -> DataFrame:
@@ -89,7 +90,14 @@ def write_json_shards(rows: DataFrame, path: str, shard_rows: int = 45_000) -> N
 
 
 def write_json_splits(rows: DataFrame, path: str, n_splits: int, key: str) -> None:
-    """`n_splits` JSON files of close to equal size, cut by key range."""
-    rows.repartitionByRange(n_splits, key).write.mode("overwrite").json(path)
+    """`n_splits` JSON files in key order, whose sizes differ by one row at most; with fewer rows, a file for each.
+
+    Rows are numbered by the unique key, so which file a row is in follows from its place alone.
+    """
+    placed = settled(running_total(rows, [key], name="_place"), "placed")
+    total = max(placed.count(), 1)
+    split = F.floor(F.col("_place") * n_splits / F.lit(total)).cast("int")
+    split_rows = placed.repartitionById(n_splits, split).sortWithinPartitions("_place").drop("_place")
+    split_rows.write.mode("overwrite").json(path)
 
 

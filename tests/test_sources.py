@@ -1,3 +1,8 @@
+import csv
+import json
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +162,51 @@ def test_query_writer_forms(spark):
     assert writers.query_lines(vectors, repeated=True).first()["value"] == "1\ty y x"
     assert writers.corpus_lines(vectors).first()["value"] == '{"id":"1","content":"","vector":{"y":2,"x":1}}'
     assert text_rows.PASSAGE.names == ["docid", "title", "text"] and tx.QUERY_PREFIX == "query: "
+
+
+def test_csv_of_one_file_is_read_by_many_tasks(spark):
+    rng = random.Random(8)
+    fields = ["plain", 'a "quoted" word', "two\nlines", "\n\nmany\n\n", 'ends with "', '"', "", "comma, inside", "\n", 'x"\n"y']
+    rows = [(str(i), rng.choice(fields), rng.choice(fields)) for i in range(600)]
+    path = fresh_path(spark, "table").removeprefix("file:") + ".csv"
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows([("id", "text", "odd `name`"), *rows])
+    want = sorted((i, a or None, b or None) for i, a, b in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = readers.read_text_source(spark, path)
+            assert found.columns == ["id", "text", "odd `name`"]
+            assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+            plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+            assert sorted(map(str, plain.collect())) == sorted(map(str, found.collect()))
+            if size == "700":
+                assert spark.read.text(path).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_of_several_files_and_of_none(spark):
+    base = fresh_path(spark, "parts")
+    rows = [(str(i), f"line {i}\nnext \"{i}\"") for i in range(50)]
+    spark.createDataFrame(rows, "id string, text string").repartition(4).write.csv(base, header=True, escape='"')
+    assert sorted(map(tuple, readers.read_csv(spark, base).collect())) == sorted(rows)
+    empty = fresh_path(spark, "empty")
+    spark.createDataFrame([], "id string").write.text(empty)
+    assert readers.read_csv(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("rows, n", [(103, 10), (7, 3), (4, 9), (0, 3)])
+def test_json_splits_are_exact(spark, rows, n):
+    path = fresh_path(spark, "splits")
+    frame = spark.createDataFrame([(f"{i:05d}", i) for i in range(rows)], "id string, v long").repartition(5)
+    writers.write_json_splits(frame, path, n, "id")
+    files = sorted(p for p in Path(path.removeprefix("file:")).glob("*.json"))
+    held = [[json.loads(line)["id"] for line in p.read_text().splitlines()] for p in files]
+    held = [h for h in held if h]
+    assert len(held) == min(n, rows) and sum(held, []) == [f"{i:05d}" for i in range(rows)]
+    assert not held or max(map(len, held)) - min(map(len, held)) <= 1

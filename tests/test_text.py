@@ -154,3 +154,11 @@ def test_instruct_without_instruction(spark):
     docs = spark.createDataFrame([("a", "x"), ("b", "y")], "task string, text string")
     told = text_rows.instruct(docs, spark.createDataFrame([("a", "Do:")], "task string, instruction string"))
     assert sorted(r["instructed"] for r in told.collect()) == ["!@#$%^&*()y", "Do: !@#$%^&*()x"]
+
+
+def test_take_first_of_many_rows(spark, monkeypatch):
+    rows = spark.range(0, 30_000, 1, 7).withColumn("k", F.expr("id * 7919 % 30011"))
+    want = sorted(range(30_000), key=lambda i: i * 7919 % 30011)[:12_000]
+    assert sorted(r["id"] for r in text_rows.take_first(rows, ["k"], 12_000).collect()) == sorted(want)
+    assert text_rows.take_first(rows, ["k"], 12_000).columns == rows.columns
+    assert text_rows.take_first(rows, ["k"], 40_000).count() == 30_000
