@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.placement import fits_broadcast
+from quillrank.session import settled
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 BUCKET_DAYS = 64
@@ -69,7 +72,7 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", ur
     whose URL is null or has no host, or whose day is null, matches nothing. Captures that repeat (same id, URL and
     day) are one. Only the named columns are read.
 
-    First the distinct (key, day) pairs of all captures meet the intervals, by key and by a bucket of days that
+    Keys that no list names go first. Then the distinct (key, day) pairs of all captures meet the intervals, by key and by a bucket of days that
     bounds how many intervals a key offers; so a host with a large share of the captures counts once per day. Only
     pairs with an active entry go on to meet the captures.
     """
@@ -81,7 +84,11 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", ur
     asked = rows.where((F.col("host") != "") & F.col("day").isNotNull()).withColumn(
         "key", F.explode(keys_of(F.col("host"), path_of(F.col("url")), bounds["depth"]))
     )
+    # Keys that no list knows go before anything is shuffled: the top-level domain of every capture among them.
+    known = spans.select("kind", "pattern").distinct()
+    known = settled(known, "known")
     asked = asked.select("id", "url", "day", "key.kind", "key.pattern")
+    asked = asked.join(F.broadcast(known) if fits_broadcast(known) else known, ["kind", "pattern"], "left_semi")
     range_ = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
     first, last = F.lit(range_["first"]).cast("date"), F.lit(range_["last"]).cast("date")
     place = lambda day: F.floor(F.datediff(day, first) / BUCKET_DAYS)
