@@ -303,6 +303,29 @@ def read_tokenised(
     return _given(rows.drop("source"), bad, on_bad)
 
 
+def read_dataset(
+    spark: SparkSession, root: str, name: str | None, schema: str = JUDGED, on_bad: str = "fail"
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Judged rows of a dataset by its address, see parse_dataset_name.
+
+    Below `root`, a dataset is a folder of its name, a language a folder in it, and a split a folder or a .json or
+    .jsonl file in that. The default language may be left out, as may be the name for plain files.
+    """
+    base, language, split = parse_dataset_name(name)
+    names = [base] if name is not None else []
+    if language != "default":
+        names.append(language)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folders = ["/".join([root.rstrip("/"), *names])]
+    if language == "default":
+        folders.insert(0, f"{folders[0]}/default")
+    for folder in folders:
+        for place in (f"{folder}/{split}", f"{folder}/{split}.jsonl", f"{folder}/{split}.json"):
+            if path(place).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(place)):
+                return read_training(spark, place, schema, on_bad)
+    raise FileNotFoundError(f"no {split} split of {base} ({language}) below {root}")
+
+
 def parse_dataset_name(name: str | None) -> tuple[str, str, str]:
     """`name[:language][/split]` to (name, language, split); with three slash parts the last is the split."""
     if name is None:

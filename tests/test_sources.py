@@ -210,3 +210,16 @@ def test_json_splits_are_exact(spark, rows, n):
     held = [h for h in held if h]
     assert len(held) == min(n, rows) and sum(held, []) == [f"{i:05d}" for i in range(rows)]
     assert not held or max(map(len, held)) - min(map(len, held)) <= 1
+
+
+def test_datasets_by_address(spark):
+    root = fresh_path(spark, "datasets")
+    row = lambda i: spark.createDataFrame([(i, "ask", [], [], [])], readers.JUDGED)
+    row("1").write.json(f"{root}/own/set/german/dev.jsonl")
+    row("2").write.json(f"{root}/plain/train")
+    row("3").write.json(f"{root}/plain/default/test.json")
+    row("4").write.json(f"{root}/train.jsonl")
+    ids = lambda name: [r["query_id"] for r in readers.read_dataset(spark, root, name).collect()]
+    assert ids("own/set:german/dev") == ["1"] and ids("plain") == ["2"] and ids(None) == ["4"]
+    with pytest.raises(FileNotFoundError, match="no train split of plain .french."):
+        readers.read_dataset(spark, root, "plain:french")
