@@ -33,6 +33,7 @@ FIT_ROWS = 10_000
 AUDIT_QUERIES = 256
 RECALL = 0.94
 QUERY_CHUNK = 1024
+MERGE_ROWS = 500_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -152,6 +153,38 @@ def _rows(found: list, own: np.ndarray) -> pa.RecordBatch:
     )
 
 
+class _Merged:
+    """The k nearest points of each query over all windows that a task has met."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.held.append([c.to_numpy() for c in rows.columns])
+        self.size += rows.num_rows
+        if self.size > MERGE_ROWS:
+            self._cut()
+
+    def _cut(self) -> None:
+        query, point, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((point, score, query))
+        query, point, score = query[order], point[order], score[order]
+        # A point that several windows hold comes with one distance, or with several vectors of one id: the nearest counts.
+        first = np.lexsort((np.arange(len(query)), point, query))
+        again = first[1:][(query[first[1:]] == query[first[:-1]]) & (point[first[1:]] == point[first[:-1]])]
+        stays = np.ones(len(query), bool)
+        stays[again] = False
+        query, point, score = query[stays], point[stays], score[stays]
+        near = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.held = [[query[near], point[near], score[near]]]
+        self.size = int(near.sum())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.held[0]], names=["query_id", "id", "score"])
+
+
 def choose_window(distances: np.ndarray, blocks: int, target: float) -> tuple[int, int]:
     """(curves, half width in blocks) that read the fewest blocks and hold `target` of the neighbours.
 
@@ -236,14 +269,14 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
     met = line.where(~F.col("asks")).union(around).repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, points_, asking, vectors = None, [], [], [], []
+        at, ids, points_, asking, vectors, merged = None, [], [], [], [], _Merged(k)
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> None:
             if asking and ids:
                 own = np.concatenate(asking)
                 found = list(_nearest(np.concatenate(vectors), np.concatenate(ids), np.concatenate(points_), own, k))
                 if found:
-                    yield _rows(found, own)
+                    merged.add(_rows(found, own))
             asking.clear()
             vectors.clear()
 
@@ -257,7 +290,7 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
             for a, b in zip(starts, np.append(starts[1:], len(who))):
                 here = (curve[a], block[a])
                 if here != at:
-                    yield from flush()
+                    flush()
                     at = here
                     ids.clear()
                     points_.clear()
@@ -268,8 +301,9 @@ def _search(points: DataFrame, queries: DataFrame, dim: int, k: int, curves: int
                 for c in range(a, b, QUERY_CHUNK):
                     asking.append(who[c : min(b, c + QUERY_CHUNK)])
                     vectors.append(matrix[c : min(b, c + QUERY_CHUNK)])
-                    yield from flush()
-        yield from flush()
+                    flush()
+        flush()
+        yield from merged.rows()
 
     found = met.mapInArrow(rerank, empty).groupBy("query_id", "id").agg(F.min("score").alias("score"))
     return found
