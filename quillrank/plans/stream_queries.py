@@ -32,7 +32,7 @@ def _(spark, d):
         return sparse.quantise(sparse.pool_max(active))
 
     schema = t.table(spark, d, "documents").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    texts = incremental.arriving_texts(spark, d, schema, glob="documents.parquet")
+    texts = incremental.arriving_texts(spark, f"{d}/documents.parquet", schema)
     out, marks = fresh_path(spark, "encoded"), fresh_path(spark, "stream")
     incremental.encode_stream(texts, encode, out, marks).awaitTermination()
     return incremental.read_encoded(spark, out)

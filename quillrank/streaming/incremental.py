@@ -12,7 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 def arriving_texts(
     spark: SparkSession, path: str, schema: str, kind: str = "parquet", glob: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """File stream: every new file below the path is read once."""
+    """File stream: every new file below the path is read once. The path may be a folder or a single file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if glob is None and system.exists(place) and system.getFileStatus(place).isFile():
+        # A stream reads folders: of this one, the file alone.
+        path, glob = place.getParent().toString(), place.getName()
     reader = spark.readStream.schema(schema).format(kind)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
