@@ -13,14 +13,35 @@ from quillrank.functions.text import LEXICAL
 from quillrank.operators.placement import HOT_KEYS, HOT_ROWS, spread_join, top_k
 
 ACTIVATIONS = "id string, pos long, term string, logit double"
+#: Rows and characters of texts that an encoder gets at once: its activations are many times as large.
+ENCODED_ROWS, ENCODED_CHARS = 1_000, 500_000
+
+
+def pieces(sizes: np.ndarray, rows: int = ENCODED_ROWS, chars: int = ENCODED_CHARS) -> Iterator[slice]:
+    """Consecutive slices of at most so many rows, and of at most so many characters unless a single row has more."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        most = chars + (ends[start - 1] if start else 0)
+        stop = min(max(start + 1, int(np.searchsorted(ends, most, side="right"))), start + rows, len(ends))
+        yield slice(start, stop)
+        start = stop
+
+
+def _chars(batch: pd.DataFrame) -> np.ndarray:
+    """Characters of each row."""
+    sizes = np.zeros(len(batch), np.int64)
+    for name in batch.columns[batch.dtypes == object]:
+        sizes += np.array([len(x) if isinstance(x, str) else 0 for x in batch[name]], np.int64)
+    return sizes
 
 
 def encode_batches(df: DataFrame, encoder: Callable[[pd.DataFrame], pd.DataFrame], schema: str = ACTIVATIONS) -> DataFrame:
-    """Runs a model over Arrow batches of rows; Spark partitions take the place of shards."""
+    """Runs a model over pieces of Arrow batches, of bounded size; Spark partitions take the place of shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield encoder(batch)
+            for part in pieces(_chars(batch)):
+                yield encoder(batch.iloc[part].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
 
@@ -60,8 +81,9 @@ def encode_pooled(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield _pooled(encoder(batch[["id", "text"]]), batch.set_index("id")["n_tokens"], pooling, max_terms)
+            for part in pieces(_chars(batch)):
+                own = batch.iloc[part].reset_index(drop=True)
+                yield _pooled(encoder(own[["id", "text"]]), own.set_index("id")["n_tokens"], pooling, max_terms)
 
     return rows.mapInPandas(run, "id string, term string, weight double")
 
