@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,25 +79,49 @@ class LexicalTokenizer(WordTokenizer):
         return F.transform(texts, lexical_tokens)
 
 
+#: Characters that a tokeniser gets at once: what it gives back is many times as large, until it is packed as Arrow.
+TOKENIZED_CHARS = 500_000
+
+
+def _packed(batches: Iterable[list[list[str]]]) -> pa.Array:
+    """Token lists as one array; those of a batch go before the next ones are made."""
+    strings = pa.list_(pa.string())
+    parts = [pa.array(b, strings) for b in batches]
+    return pa.concat_arrays(parts) if parts else pa.array([], strings)
+
+
 class PluginTokenizer:
     """Tokeniser supplied by the user: a function from a list of texts to a list of token lists.
 
-    It runs on Arrow batches, one call per batch.
+    It runs on Arrow batches, a piece of bounded size per call.
     """
 
     def __init__(self, encode_batch: Callable[[Sequence[str]], list[list[str]]]):
         strings = T.ArrayType(T.StringType())
 
-        @F.pandas_udf(strings)
-        def one(texts: pd.Series) -> pd.Series:
-            return pd.Series(encode_batch([t or "" for t in texts]), dtype=object)
-
-        @F.pandas_udf(T.ArrayType(strings))
-        def many(lists: pd.Series) -> pd.Series:
-            sizes = [0 if x is None else len(x) for x in lists]
-            flat = [t or "" for x in lists if x is not None for t in x]
-            tokens = iter(encode_batch(flat))
-            return pd.Series([[next(tokens) for _ in range(n)] for n in sizes], dtype=object)
+        def encoded(texts: pa.Array) -> pa.Array:
+            def batches() -> Iterator[list[list[str]]]:
+                held, chars = [], 0
+                for text in texts:
+                    held.append(text.as_py() or "")
+                    chars += len(held[-1])
+                    if chars >= TOKENIZED_CHARS:
+                        yield encode_batch(held)
+                        held, chars = [], 0
+                if held:
+                    yield encode_batch(held)
+
+            return _packed(batches())
+
+        @F.arrow_udf(strings)
+        def one(texts: pa.Array) -> pa.Array:
+            return encoded(texts)
+
+        @F.arrow_udf(T.ArrayType(strings))
+        def many(lists: pa.Array) -> pa.Array:
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            return pa.ListArray.from_arrays(ends, encoded(pc.list_flatten(lists)))
 
         self._one, self._many = one, many
 

@@ -33,3 +33,36 @@ def test_stream_of_a_file_or_a_folder(spark, kind):
     texts = incremental.arriving_texts(spark, path, "id string, text string")
     incremental.encode_stream(texts, lambda batch: batch, out, marks).awaitTermination()
     assert rows_of(incremental.read_encoded(spark, out).select("id", "text")) == [("a", "x"), ("b", "y")]
+
+
+def test_encoders_get_pieces_of_bounded_size(spark):
+    """Activations of a whole Arrow batch at once took gigabytes."""
+    import pandas as pd
+
+    from quillrank.operators import sparse
+
+    def encoder(batch):
+        assert len(batch) == 1 or batch["text"].str.len().sum() <= sparse.ENCODED_CHARS
+        rows = [(i, p, w, len(batch) * 0 + 1.0) for i, x in zip(batch["id"], batch["text"]) for p, w in enumerate(x.split(" "))]
+        return pd.DataFrame(rows, columns=["id", "pos", "term", "logit"])
+
+    texts = [(str(i), "ab cd " * 20_000 + "ef") for i in range(9)] + [("big", "x" * 600_000)]
+    rows = spark.createDataFrame(texts, "id string, text string").coalesce(1)
+    assert sparse.encode_batches(rows, encoder).count() == 9 * 40_001 + 1
+    assert sparse.encode_pooled(rows, encoder).count() == 9 * 3 + 1
+
+
+def test_plugged_tokenizer_gets_pieces_of_bounded_size(spark):
+    from quillrank.functions import text as tx
+    from quillrank.operators import plugins
+
+    def split(texts):
+        assert len(texts) == 1 or sum(map(len, texts[:-1])) < tx.TOKENIZED_CHARS
+        return [x.split() for x in texts]
+
+    words = plugins.tokenizer(split)
+    rows = spark.createDataFrame([(i, "ab cd " * 20_000 if i % 4 else None) for i in range(12)], "i int, text string").coalesce(1)
+    found = rows.select(F.size(words.one(F.col("text"))).alias("n"))
+    assert sorted(r["n"] for r in found.collect()) == [0] * 3 + [40_000] * 9
+    lists = spark.createDataFrame([(["a b", None, "c"],), (None,), ([],), (["d"],)], "x array<string>").coalesce(1)
+    assert [r[0] for r in lists.select(words.many(F.col("x"))).collect()] == [[["a", "b"], [], ["c"]], [], [], [["d"]]]
