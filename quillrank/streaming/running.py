@@ -1,28 +1,26 @@
 """Term statistics and postings that follow a stream of document versions.
 
-The state of a document is its last version and that version's terms. A newer version gives the changes that it makes to
-document frequencies; an older or repeated one gives none, so the order of arrival does not matter. Each micro-batch
-adds its changes to the totals of the batch before, which costs as much as the vocabulary, not the corpus. A batch that
-runs again after a failure writes the same folders again, from the same totals.
-
-State grows with the documents: use a store that keeps it on disk (`spark.sql.streaming.stateStore.providerClass`, RocksDB).
+The state of a document is its last version and that version's terms, as the batches before have written them down. A
+newer version gives the changes that it makes to document frequencies; an older or repeated one gives none, so the order
+of arrival does not matter. Each micro-batch looks up the documents that it names among those written down, and adds its
+changes to the totals of the batch before: one scan of the versions that counted, and the vocabulary. No text is read
+again, and no state is held in memory. A batch that runs again after a failure writes the same folders again, from the
+same totals and versions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillrank.functions.text import LEXICAL
 from quillrank.operators import sparse
+from quillrank.operators.placement import fits_broadcast
+from quillrank.session import settled
 
 CHANGES = "id string, version long, term string, change int, terms array<string>"
-STATE = "version long, terms array<string>"
+VERSIONS = "id string, version long, terms array<string>"
 TOTALS = "term string, df long"
 
 
@@ -33,41 +31,35 @@ class TokenLists:
         return tokens
 
 
-def term_changes(versions: DataFrame, tokenizer=LEXICAL) -> DataFrame:
-    """Changes of a stream (id, version, text): a row per term that a document gains or loses, and a row without a term
-    for each version that counts, with the version's terms and 1 where the document is new.
-
-    The highest version counts; of several texts with the same one, the largest list of terms does. Rows without an id
-    or a version are left out, a null text has no terms.
-    """
+def version_terms(versions: DataFrame, tokenizer=LEXICAL) -> DataFrame:
+    """(id, version, terms) of versions (id, version, text). Rows without an id or a version are left out, a null text
+    has no terms."""
     terms = F.array_sort(F.array_distinct(tokenizer.one(F.coalesce(F.col("text"), F.lit("")))))
     rows = versions.select(F.col("id").cast("string").alias("id"), F.col("version").cast("long").alias("version"), terms.alias("terms"))
+    return rows.where(F.col("id").isNotNull() & F.col("version").isNotNull())
+
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = (state.get[0], list(state.get[1])) if state.exists else None
-        best = known
-        for frame in frames:
-            for version, found in zip(frame["version"], frame["terms"]):
-                seen = (int(version), list(found))
-                if best is None or seen > best:
-                    best = seen
-        if best is None or best == known:
-            return
-        state.update(best)
-        old, new = set(known[1] if known else ()), set(best[1])
-        gained, lost = sorted(new - old), sorted(old - new)
-        yield pd.DataFrame(
-            {
-                "id": key[0],
-                "version": best[0],
-                "term": [None, *gained, *lost],
-                "change": [int(known is None), *[1] * len(gained), *[-1] * len(lost)],
-                "terms": [best[1], *[None] * (len(gained) + len(lost))],
-            }
-        )
-
-    rows = rows.where(F.col("id").isNotNull() & F.col("version").isNotNull())
-    return rows.groupBy("id").applyInPandasWithState(follow, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+def _highest(rows: DataFrame, name: str) -> DataFrame:
+    """The highest version of each document; of several texts with the same one, the largest list of terms."""
+    return rows.groupBy("id").agg(F.max(F.struct("version", "terms")).alias(name))
+
+
+def term_changes(arrived: DataFrame, known: DataFrame) -> DataFrame:
+    """What rows (id, version, terms) change against the known last versions: a row per term that a document gains or
+    loses, and a row without a term for each version that counts, with the version's terms and 1 where the document is
+    new. `arrived` is read twice, so stored rows are best.
+    """
+    ids = arrived.select("id").distinct()
+    held = known.join(F.broadcast(ids), "id", "left_semi") if fits_broadcast(ids) else known
+    both = _highest(arrived, "new").join(_highest(held, "old"), "id", "left")
+    both = both.where(F.col("old").isNull() | (F.col("new") > F.col("old")))
+    none = F.array().cast("array<string>")
+    new, old = F.col("new.terms"), F.coalesce(F.col("old.terms"), none)
+    change = lambda term, by, terms: F.struct(term.cast("string").alias("term"), by.cast("int").alias("change"), terms.cast("array<string>").alias("terms"))
+    each = lambda found, by: F.transform(found, lambda x: change(x, F.lit(by), F.lit(None)))
+    version = F.array(change(F.lit(None), F.col("old").isNull(), new))
+    rows = F.concat(version, each(F.array_except(new, old), 1), each(F.array_except(old, new), -1))
+    return both.select("id", F.col("new.version").alias("version"), F.explode(rows).alias("_c")).select("id", "version", "_c.*")
 
 
 def _batches(spark: SparkSession, out: str) -> list[int]:
@@ -83,15 +75,16 @@ def follow_stream(versions: DataFrame, out: str, checkpoint: str, tokenizer=LEXI
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         place = f"{out}/changes/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(place)
-        totals = spark.read.schema(CHANGES).parquet(place).select("term", F.col("change").cast("long").alias("df"))
         before = [b for b in _batches(spark, out) if b < batch_id]
+        changes = term_changes(settled(batch, "arrived"), _counted(spark, out, before))
+        changes.write.mode("overwrite").parquet(place)
+        totals = spark.read.schema(CHANGES).parquet(place).select("term", F.col("change").cast("long").alias("df"))
         if before:
             totals = totals.union(spark.read.schema(TOTALS).parquet(f"{out}/totals/batch_id={before[-1]}"))
         summed = totals.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         summed.write.mode("overwrite").parquet(f"{out}/totals/batch_id={batch_id}")
 
-    writer = term_changes(versions, tokenizer).writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = version_terms(versions, tokenizer).writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -107,16 +100,18 @@ def statistics(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
     return totals.where("term is not null"), documents["df"] if documents else 0
 
 
-def documents(spark: SparkSession, out: str) -> DataFrame:
-    """(id, version, terms) of each document's last version."""
-    batches = _batches(spark, out)
+def _counted(spark: SparkSession, out: str, batches: list[int]) -> DataFrame:
+    """(id, version, terms) of all versions that counted up to the last of these batches."""
     if not batches:
-        return spark.createDataFrame([], "id string, version long, terms array<string>")
+        return spark.createDataFrame([], VERSIONS)
     # Only batches whose totals are whole, so that postings and statistics tell of the same documents.
     rows = spark.read.option("basePath", f"{out}/changes").schema(f"{CHANGES}, batch_id long").parquet(f"{out}/changes")
-    rows = rows.where(F.col("term").isNull() & (F.col("batch_id") <= batches[-1]))
-    last = F.max_by(F.struct("version", "terms"), F.struct("version", "batch_id")).alias("last")
-    return rows.groupBy("id").agg(last).select("id", "last.version", "last.terms")
+    return rows.where(F.col("term").isNull() & (F.col("batch_id") <= batches[-1])).select("id", "version", "terms")
+
+
+def documents(spark: SparkSession, out: str) -> DataFrame:
+    """(id, version, terms) of each document's last version."""
+    return _highest(_counted(spark, out, _batches(spark, out)), "last").select("id", "last.version", "last.terms")
 
 
 def postings(spark: SparkSession, out: str) -> DataFrame:

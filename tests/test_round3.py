@@ -66,3 +66,18 @@ def test_plugged_tokenizer_gets_pieces_of_bounded_size(spark):
     assert sorted(r["n"] for r in found.collect()) == [0] * 3 + [40_000] * 9
     lists = spark.createDataFrame([(["a b", None, "c"],), (None,), ([],), (["d"],)], "x array<string>").coalesce(1)
     assert [r[0] for r in lists.select(words.many(F.col("x"))).collect()] == [[["a", "b"], [], ["c"]], [], [], [["d"]]]
+
+
+def test_stream_of_versions_holds_no_state(spark):
+    """A Python call for each document and a state store in memory took hours."""
+    from quillrank.streaming import running
+
+    base, out, marks = (fresh_path(spark, n) for n in ("arriving", "followed", "marks"))
+    schema = "id string, version long, text string"
+    for shard in ([("a", 1, "x y"), ("b", 2, "x")], [("a", 2, "y z"), ("b", 1, "q"), ("c", 1, "")]):
+        spark.createDataFrame(shard, schema).coalesce(1).write.mode("append").parquet(base)
+        running.follow_stream(incremental.arriving_texts(spark, base, schema), out, marks).awaitTermination()
+    assert rows_of(running.statistics(spark, out)[0]) == [("x", 1), ("y", 1), ("z", 1)]
+    assert running.statistics(spark, out)[1] == 3
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/state")
+    assert not state.getFileSystem(spark._jsc.hadoopConfiguration()).exists(state)
