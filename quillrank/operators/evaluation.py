@@ -266,6 +266,7 @@ def size_quantiles(merged: DataFrame, documents: int | None = None, points: tupl
 
 
 MINI_BATCH = 100_000
+BATCH_FILE_ROWS = 12_500
 
 
 def minibatch_centers(
@@ -284,7 +285,8 @@ def minibatch_centers(
     batches = max(1, math.ceil(n / batch_rows))
     path = fresh_path(spark, "batches")
     deal = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(batches)).cast("int")
-    rows.withColumn("batch", deal).repartition("batch", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("batch").parquet(path)
+    files = min(8, math.ceil(batch_rows / BATCH_FILE_ROWS))
+    rows.withColumn("batch", deal).repartition("batch", F.pmod(F.xxhash64("id"), F.lit(files))).write.partitionBy("batch").parquet(path)
     stored = spark.read.schema("id string, embedding array<double>, batch int").parquet(path)
     drawn = stored.where("batch = 0").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(first_rows).toPandas()
     if not len(drawn):
@@ -333,12 +335,12 @@ def _nearest_sums(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held]), values], ["c", "n", "s"])
 
     parts = rows.select("embedding").mapInArrow(assign, "c long, n long, s array<decimal(38,0)>")
-    places = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)]
-    sums, counts = np.zeros((k, dim)), np.zeros(k)
-    for row in parts.groupBy("c").agg(F.sum("n").alias("n"), *places).collect():
-        counts[row["c"]] = row["n"]
-        sums[row["c"]] = [float(row[f"s{i}"]) / unit for i in range(dim)]
-    return sums, counts
+    # A batch is a few files, so a job is one stage: each task's sums come here.
+    totals, counts = np.zeros((k, dim), object), np.zeros(k)
+    for row in parts.collect():
+        counts[row["c"]] += row["n"]
+        totals[row["c"]] += np.array([int(v) for v in row["s"]], object)
+    return (totals / unit).astype(float), counts
 
 
 def assigned(df: DataFrame, centers: np.ndarray) -> DataFrame:

@@ -81,3 +81,21 @@ def test_stream_of_versions_holds_no_state(spark):
     assert running.statistics(spark, out)[1] == 3
     state = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/state")
     assert not state.getFileSystem(spark._jsc.hadoopConfiguration()).exists(state)
+
+
+def test_a_small_mini_batch_is_one_stage(spark, monkeypatch):
+    """A shuffle and eight files for each batch of some hundred vectors took seconds per batch."""
+    import numpy as np
+
+    from quillrank.operators import evaluation
+
+    rng = np.random.default_rng(1)
+    rows = [(str(i), [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(4)
+    paths = []
+    monkeypatch.setattr(evaluation, "fresh_path", lambda s, n: paths.append(fresh_path(s, n)) or paths[-1])
+    centers = evaluation.minibatch_centers(df, 2, batch_rows=30, epochs=1)
+    assert centers.shape == (2, 3)
+    assert len(spark.read.parquet(paths[0]).inputFiles()) == 2
+    sums, counts = evaluation._nearest_sums(df, np.array([[0.0, 0.0, 0.0]]))
+    assert counts.tolist() == [60] and np.allclose(sums[0], np.sum([r[1] for r in rows], axis=0))
