@@ -32,6 +32,10 @@ FLOOR_ROWS, FLOOR_SHARE = 100_000, 4
 PAIR_ROWS = 1_000_000
 CELL_ROWS = 200_000
 QUERY_BLOCK = 512
+#: Documents that a block of queries meets in one product.
+DOC_BLOCK = 8_192
+#: Postings of a bucket of a stored index, about: one task sorts it and adds up its scores.
+BUCKET_POSTINGS = 2_000_000
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -126,6 +130,9 @@ def sparse_topk_cut(
 def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool = False) -> DataFrame:
     """Stores postings by docid bucket, sorted by docid, and opens them; an index in place is used again.
 
+    `buckets` is the least number: there are more where a bucket would hold more than about BUCKET_POSTINGS. Postings
+    are counted first, so stored ones are best.
+
     Search reads buckets as they lie: no shuffle before the top-k, and the postings of a document stand together,
     which keeps the aggregate on few keys at a time. Each build has a folder of its own, and the facts that name it are
     written last: a build that breaks off leaves the index before it in use.
@@ -135,6 +142,7 @@ def write_index(postings: DataFrame, path: str, buckets: int = 64, rebuild: bool
         found = open_index(spark, path)
         if found is not None:
             return found
+    buckets = max(buckets, math.ceil(postings.count() / BUCKET_POSTINGS))
     path, folder = _qualified(spark, path), f"postings-{uuid.uuid4().hex}"
     (
         postings.select("id", "term", "weight")
@@ -234,10 +242,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _score_batch(best: _Best, q_rows: np.ndarray, q_matrix: np.ndarray, batch: pd.DataFrame) -> None:
     batch = batch.sort_values("id", kind="stable")
     ids, docs = batch["id"].to_numpy(dtype=object), _matrix(batch["embedding"])
-    for start in range(0, len(q_rows), QUERY_BLOCK):
-        rows = q_rows[start : start + QUERY_BLOCK]
-        raw = q_matrix[rows] @ docs.T
-        best.add(rows, np.nan_to_num(np.rint(raw * 1e9) / 1e9, nan=-1.0), ids)
+    for first in range(0, len(ids), DOC_BLOCK):
+        some, names = docs[first : first + DOC_BLOCK].T, ids[first : first + DOC_BLOCK]
+        for start in range(0, len(q_rows), QUERY_BLOCK):
+            rows = q_rows[start : start + QUERY_BLOCK]
+            raw = q_matrix[rows] @ some
+            best.add(rows, np.nan_to_num(np.rint(raw * 1e9) / 1e9, nan=-1.0), names)
 
 
 SCORED = "qid string, docid string, score double"

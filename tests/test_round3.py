@@ -99,3 +99,40 @@ def test_a_small_mini_batch_is_one_stage(spark, monkeypatch):
     assert len(spark.read.parquet(paths[0]).inputFiles()) == 2
     sums, counts = evaluation._nearest_sums(df, np.array([[0.0, 0.0, 0.0]]))
     assert counts.tolist() == [60] and np.allclose(sums[0], np.sum([r[1] for r in rows], axis=0))
+
+
+def test_a_product_meets_a_bounded_number_of_documents(monkeypatch):
+    """A block of queries against all documents of a cell at once took gigabytes."""
+    import numpy as np
+    import pandas as pd
+
+    from quillrank.operators import search
+
+    rng = np.random.default_rng(2)
+    docs = pd.DataFrame({"id": [f"{i:03d}" for i in range(50)], "embedding": list(rng.integers(0, 3, (50, 4)).astype(float))})
+    queries = rng.integers(0, 3, (6, 4)).astype(float)
+    widths = []
+
+    class Watched(search._Best):
+        def add(self, rows, scores, ids):
+            widths.append(scores.shape[1])
+            super().add(rows, scores, ids)
+
+    monkeypatch.setattr(search, "DOC_BLOCK", 8)
+    best = Watched(6, 5)
+    search._score_batch(best, np.arange(6), queries, docs.sample(frac=1, random_state=3))
+    assert max(widths) <= 8
+    scores = queries @ np.stack(docs["embedding"]).T
+    for q in range(6):
+        order = np.lexsort((np.arange(50), -scores[q]))[:5]
+        assert sorted(best.ids[q]) == sorted(docs["id"].iloc[order])
+
+
+def test_buckets_of_an_index_grow_with_its_postings(spark, monkeypatch):
+    from quillrank.operators import search
+
+    monkeypatch.setattr(search, "BUCKET_POSTINGS", 10)
+    rows = spark.createDataFrame([(str(i), f"t{i % 3}", 1) for i in range(55)], "id string, term string, weight int")
+    path = fresh_path(spark, "index")
+    assert rows_of(search.write_index(rows, path, 2)) == rows_of(rows)
+    assert spark.read.parquet(f"{path}/facts").first()["buckets"] == 6
