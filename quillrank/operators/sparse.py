@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import LEXICAL
-from quillrank.operators.placement import HOT_KEYS, HOT_ROWS, spread_join, top_k
+from quillrank.operators import placement
+from quillrank.operators.placement import HOT_KEYS, HOT_ROWS, fits_broadcast, spread_join, top_k
+from quillrank.session import settled
 
 ACTIVATIONS = "id string, pos long, term string, logit double"
 #: Rows and characters of texts that an encoder gets at once: its activations are many times as large.
@@ -122,18 +124,41 @@ def lexical_activations(
 
     `rows` has id and text. With every_position=False only the first place of a term is listed, which gives the
     same maximum with far fewer rows.
+
+    Of a vocabulary too large to broadcast, the terms of most documents are, so only the places of rare ones are shuffled.
     """
     tokens = tokenizer.one(F.col("text"))
-    if every_position:
-        placed = rows.select("id", F.posexplode(tokens).alias("pos", "term"))
+    listed = rows.select("id", (tokens if every_position else F.array_distinct(tokens)).alias("_t"))
+    place = F.posexplode("_t").alias("pos", "term")
+    if fits_broadcast(frequencies) if frequencies_fit is None else frequencies_fit:
+        joined = listed.select("id", place).join(F.broadcast(frequencies), "term", "left")
     else:
-        placed = rows.select("id", F.posexplode(F.array_distinct(tokens)).alias("pos", "term"))
-    hot = frequencies.where(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS)
-    joined = spread_join(placed, frequencies, "term", "left", ["id"], right_fits=frequencies_fit, hot=hot)
+        # Tokens are stored, as both ways read them.
+        joined = _looked_up(settled(listed, "tokens").select("id", place), frequencies)
     logit = F.log(F.lit(float(n_docs + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1.0))
     return joined.select("id", F.col("pos").cast("long").alias("pos"), "term", logit.alias("logit"))
 
 
+def _looked_up(placed: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Places (id, pos, term) with the df of their terms, if they have one; the terms are unique in `frequencies`."""
+    width = F.coalesce(F.length("term"), F.lit(0)) + 24
+    by_df = frequencies.groupBy("df").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).where("df is not null")
+    least, n, b = None, 0, 0
+    for row in by_df.orderBy(F.desc("df")).toLocalIterator():
+        n, b = n + row["n"], b + row["b"]
+        if n > placement.BROADCAST_ROWS or b > placement.BROADCAST_BYTES:
+            break
+        least = row["df"]
+    hot = frequencies.where(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS)
+    if least is None:
+        return spread_join(placed, frequencies, "term", "left", ["id"], right_fits=False, hot=hot)
+    is_common = F.coalesce(F.col("df") >= least, F.lit(False))
+    common, rare = frequencies.where(is_common), frequencies.where(~is_common)
+    known = placed.join(F.broadcast(common), "term")
+    rest = placed.join(F.broadcast(common.select("term")), "term", "left_anti")
+    return known.unionByName(spread_join(rest, rare, "term", "left", ["id"], right_fits=False, hot=hot))
+
+
 def pool_max(activations: DataFrame) -> DataFrame:
     return activations.groupBy("id", "term").agg(_saturate(F.max("logit")).alias("weight"))
 

@@ -136,3 +136,19 @@ def test_buckets_of_an_index_grow_with_its_postings(spark, monkeypatch):
     path = fresh_path(spark, "index")
     assert rows_of(search.write_index(rows, path, 2)) == rows_of(rows)
     assert spark.read.parquet(f"{path}/facts").first()["buckets"] == 6
+
+
+@pytest.mark.parametrize("common", [0, 1, 2, 9])
+@pytest.mark.parametrize("every", [True, False])
+def test_only_rare_terms_of_a_large_vocabulary_are_shuffled(spark, monkeypatch, common, every):
+    from quillrank.operators import placement, sparse
+
+    docs = spark.createDataFrame([("a", "x y x q"), ("b", "x z"), ("c", ""), (None, "y w"), ("a", "x")], "id string, text string")
+    df = spark.createDataFrame([("x", 3), ("y", 2), ("z", 1), ("v", None), (None, 5)], "term string, df long")
+    want = rows_of(sparse.lexical_activations(docs, df, 5, every_position=every, frequencies_fit=True))
+    monkeypatch.setattr(placement, "BROADCAST_ROWS", common)
+    met = []
+    joined = sparse.spread_join
+    monkeypatch.setattr(sparse, "spread_join", lambda left, *a, **k: met.append(left.count()) or joined(left, *a, **k))
+    assert rows_of(sparse.lexical_activations(docs, df, 5, every_position=every, frequencies_fit=False)) == want
+    assert (met[0] < len(want)) == (common > 1)
