@@ -112,11 +112,14 @@ def _(spark, d):
     vectors = _vectors(spark, d).join(
         t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "lang"), "id"
     )
-    base = fresh_path(spark, "shards")
+    base, apart = fresh_path(spark, "shards"), fresh_path(spark, "vectors")
     named = ("en", "fr", "de", "es")
     shard = F.when(F.col("lang").isin(*named), F.col("lang")).otherwise(F.lit("rest"))
+    # Vectors are made once, and each shard reads its own.
+    vectors.withColumn("shard", shard).drop("lang").write.partitionBy("shard").parquet(apart)
+    made = spark.read.schema(vectors.drop("lang").withColumn("shard", shard).schema).parquet(apart)
     for lang in (*named, "rest"):
-        writers.write_lines(writers.corpus_lines(vectors.where(shard == lang).drop("lang")), f"{base}/{lang}")
+        writers.write_lines(writers.corpus_lines(made.where(F.col("shard") == lang).drop("shard")), f"{base}/{lang}")
         shards.append(readers.read_sparse_corpus(spark, f"{base}/{lang}")[0])
     merged = writers.merge_shards(shards)
     mass = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + x)
