@@ -116,8 +116,9 @@ def _(spark, d):
     named = ("en", "fr", "de", "es")
     shard = F.when(F.col("lang").isin(*named), F.col("lang")).otherwise(F.lit("rest"))
     # Vectors are made once, and each shard reads its own.
-    vectors.withColumn("shard", shard).drop("lang").write.partitionBy("shard").parquet(apart)
-    made = spark.read.schema(vectors.drop("lang").withColumn("shard", shard).schema).parquet(apart)
+    placed = vectors.withColumn("shard", shard).drop("lang")
+    placed.write.partitionBy("shard").parquet(apart)
+    made = spark.read.schema(placed.schema).parquet(apart)
     for lang in (*named, "rest"):
         writers.write_lines(writers.corpus_lines(made.where(F.col("shard") == lang).drop("shard")), f"{base}/{lang}")
         shards.append(readers.read_sparse_corpus(spark, f"{base}/{lang}")[0])

@@ -152,3 +152,18 @@ def test_only_rare_terms_of_a_large_vocabulary_are_shuffled(spark, monkeypatch,
     monkeypatch.setattr(sparse, "spread_join", lambda left, *a, **k: met.append(left.count()) or joined(left, *a, **k))
     assert rows_of(sparse.lexical_activations(docs, df, 5, every_position=every, frequencies_fit=False)) == want
     assert (met[0] < len(want)) == (common > 1)
+
+
+def test_vectors_of_shards_are_made_once(spark, sf_dir, monkeypatch):
+    """Each of the five shards grouped all postings again."""
+    from quillrank.operators import sparse
+    from quillrank.plans import source_queries
+
+    base = fresh_path(spark, "tables")
+    rows = [(1, "b a", "en"), (2, "a", "de"), (3, "c a", None), (4, "d", "it")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{base}/documents.parquet")
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    monkeypatch.setattr(source_queries, "_vectors", lambda s, d: sparse.to_vectors(source_queries.t.doc_postings(s, d)).withColumn("id", count("id")))
+    assert rows_of(QUERIES["s7_shard_merge"](spark, base).select("id")) == [("1",), ("2",), ("3",), ("4",)]
+    assert made.value <= 8
