@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 # Token patterns, prefixes, separator, instruction prompts, chat markers.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 ANSWER_PATTERN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 QUERY_PREFIX = "query: "
 PASSAGE_PREFIX = "passage: "
@@ -34,8 +35,8 @@ def strip(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
+    """Runs of letters and digits, in order: the text cut at all else, which costs less than to take each run out."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), "")
 
 
 def lexical_tokens(text: Column) -> Column:

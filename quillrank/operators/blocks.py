@@ -76,7 +76,18 @@ def pack(postings: DataFrame, block_postings: int = BLOCK_POSTINGS) -> DataFrame
             }
         )
 
-    return placed.groupBy("block").applyInArrow(build, block_schema(kind))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        of_row = table.column("block").to_numpy()
+        for block in np.unique(of_row):
+            yield from build(table.filter(pa.array(of_row == block))).to_batches()
+
+    # A partition holds a block or a few; they are told apart there, so rows need no sort.
+    return placed.repartition(blocks, "block").mapInArrow(run, block_schema(kind))
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[list, np.ndarray]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import LEXICAL
+from quillrank.functions.text import LEXICAL, WordTokenizer
 from quillrank.operators import placement
 from quillrank.operators.placement import HOT_KEYS, HOT_ROWS, fits_broadcast, spread_join, top_k
 from quillrank.session import settled
@@ -133,8 +133,9 @@ def lexical_activations(
     if fits_broadcast(frequencies) if frequencies_fit is None else frequencies_fit:
         joined = listed.select("id", place).join(F.broadcast(frequencies), "term", "left")
     else:
-        # Tokens are stored, as both ways read them.
-        joined = _looked_up(settled(listed, "tokens").select("id", place), frequencies)
+        # Both ways read the tokens. Those of a plugged tokeniser are stored; to cut a text at its words again costs less than that.
+        again = listed if isinstance(tokenizer, WordTokenizer) else settled(listed, "tokens")
+        joined = _looked_up(again.select("id", place), frequencies)
     logit = F.log(F.lit(float(n_docs + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1.0))
     return joined.select("id", F.col("pos").cast("long").alias("pos"), "term", logit.alias("logit"))
 
@@ -155,11 +156,15 @@ def _looked_up(placed: DataFrame, frequencies: DataFrame) -> DataFrame:
     is_common = F.coalesce(F.col("df") >= least, F.lit(False))
     common, rare = frequencies.where(is_common), frequencies.where(~is_common)
     known = placed.join(F.broadcast(common), "term")
-    rest = placed.join(F.broadcast(common.select("term")), "term", "left_anti")
+    rest = placed.join(F.broadcast(common), "term", "left").where("df is null").drop("df")
     return known.unionByName(spread_join(rest, rare, "term", "left", ["id"], right_fits=False, hot=hot))
 
 
-def pool_max(activations: DataFrame) -> DataFrame:
+def pool_max(activations: DataFrame, by_row: bool = False) -> DataFrame:
+    """The maximum of each row's term. With `by_row` a row's activations go to one task first, as suits those that are one per
+    term already: what is done with the row's terms afterwards, such as to take the heaviest, needs no second shuffle."""
+    if by_row:
+        activations = activations.repartition("id")
     return activations.groupBy("id", "term").agg(_saturate(F.max("logit")).alias("weight"))
 
 
@@ -216,6 +221,25 @@ def fill_empty(postings: DataFrame, ids: DataFrame, pad: str = "[PAD]") -> DataF
     )
 
 
+def write_filled(postings: DataFrame, ids: DataFrame, path: str, pad: str = "[PAD]") -> None:
+    """Stores what fill_empty gives for postings that are made of the rows of `ids`, without a shuffle of postings.
+
+    They are written as they are made; then the ids that have none are found and their pad terms added to the folder. As
+    in a join, an id that comes n times has each of its postings n times.
+    """
+    spark, kind = postings.sparkSession, postings.schema["weight"].dataType
+    named = postings.where("id is not null").select("id", "term", "weight")
+    counted = ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    copies = settled(counted.where("_n > 1"), "copies")
+    if not copies.isEmpty():
+        times = F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(1).cast("long")))
+        named = spread_join(named, copies, "id", "left", ["term"]).withColumn("_n", F.explode(times)).drop("_n")
+    named.write.parquet(path)
+    seen = spark.read.schema(named.schema).parquet(path).select("id").distinct()
+    empty = ids.select("id").join(seen, "id", "left_anti")
+    empty.select("id", F.lit(pad).alias("term"), F.lit(1).cast(kind).alias("weight")).write.mode("append").parquet(path)
+
+
 def name_terms(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Term ids to strings; ids outside the vocabulary (term_id, term) are dropped."""
     return spread_join(postings, vocabulary, "term_id", "inner", ["id"]).select("id", "term", "weight")

@@ -87,7 +87,7 @@ part("doc_top32", "SELECT id, term, weight FROM doc_max QUALIFY row_number() OVE
 
 @query("e6_top_terms", using("SELECT id, term, round(weight, 6) AS weight FROM doc_top32", "doc_top32"))
 def _(spark, d):
-    pooled = sparse.pool_max(t.activations(spark, d, every_position=False))
+    pooled = sparse.pool_max(t.activations(spark, d, every_position=False), by_row=True)
     return _rounded(sparse.top_terms(pooled, 32))
 
 

@@ -31,12 +31,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "doc_id")
 
 
-def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def _store(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
+def written(
+    spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], store: Callable[[DataFrame, str], None] = _store
+) -> DataFrame:
     """Stores a derived table in the shared folder at first use, as a run or an index would be, and reads it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = fresh_path(spark, name)
-        make().write.parquet(path)
+        store(make(), path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
@@ -79,21 +85,23 @@ def activations(spark: SparkSession, sf_dir: str, every_position: bool = True) -
 
 
 def _encode(spark: SparkSession, sf_dir: str, rows: DataFrame, known: DataFrame) -> DataFrame:
-    weights = sparse.lexical_weights(rows, known, doc_count(spark, sf_dir))
-    return sparse.fill_empty(sparse.quantise(weights), rows)
+    return sparse.quantise(sparse.lexical_weights(rows, known, doc_count(spark, sf_dir)))
 
 
 def make_doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encode(spark, sf_dir, encoder_docs(spark, sf_dir), frequencies(spark, sf_dir))
+    rows = encoder_docs(spark, sf_dir)
+    return sparse.fill_empty(_encode(spark, sf_dir, rows, frequencies(spark, sf_dir)), rows)
 
 
 def make_query_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encoder_queries(spark, sf_dir)
-    return _encode(spark, sf_dir, rows, sparse.frequencies_for(rows, frequencies(spark, sf_dir)))
+    return sparse.fill_empty(_encode(spark, sf_dir, rows, sparse.frequencies_for(rows, frequencies(spark, sf_dir))), rows)
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark, sf_dir, "doc_postings", lambda: make_doc_postings(spark, sf_dir))
+    rows = encoder_docs(spark, sf_dir)
+    make = lambda: _encode(spark, sf_dir, rows, frequencies(spark, sf_dir))
+    return written(spark, sf_dir, "doc_postings", make, lambda df, path: sparse.write_filled(df, rows, path))
 
 
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
