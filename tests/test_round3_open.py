@@ -63,3 +63,20 @@ def test_terms_of_a_vocabulary_that_does_not_fit_are_not_stored(spark, monkeypat
     monkeypatch.setattr(sparse, "settled", lambda *_: pytest.fail("stored"))
     large = sparse.lexical_activations(docs, known, 3, frequencies_fit=False)
     assert rows_of(large) == rows_of(sparse.lexical_activations(docs, known, 3, frequencies_fit=True))
+
+
+def test_words_of_pieces_are_cut_at_markers():
+    import public_tokenizers
+
+    from quillrank.llm import piece_codec
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec = piece_codec.Codec(f.read(), 1)
+    texts = ["", " ", "a", " a", "a ", "a  b", "a b\nc", "▁", "a▁b", "  a   b  ", "\t x", "Ä ß", "a b " * 3]
+    for text in texts:
+        normal = codec._normal(text)
+        assert codec._words(normal) == codec.cut.findall(normal)
+    ids, parity, back = codec.encode(texts)
+    whole = codec.encode_whole(texts)
+    assert ids == whole[0] and back == [a and "▁" not in t for a, t in zip(whole[2], texts)]
+    assert codec.encode(texts) == (ids, parity, back)
