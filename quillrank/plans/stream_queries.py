@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
 from quillrank.operators import plugins, sparse, text_rows
+from quillrank.operators.placement import spread_join
 from quillrank.plans import tables as t
 from quillrank.plans.registry import query, using
-from quillrank.session import fresh_path
+from quillrank.session import dropped, fresh_path, settled
 from quillrank.streaming import incremental, running
 
 _WORD = regex.compile(tx.WORD_PATTERN)
@@ -38,16 +39,33 @@ def _(spark, d):
     return incremental.read_encoded(spark, out)
 
 
+def _corpus_texts(spark, d):
+    """(id, text, lang) of the corpus: its texts joined with the documents' languages by id.
+
+    Both are of the same rows, so only those of an id that comes more than once are joined; rows without an id are left out.
+    """
+    title = F.when(F.col("lang") == "en", F.col("source"))
+    text = tx.passage_text(title, F.col("text")).alias("text")
+    rows = t.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), text, "lang").where("id is not null")
+    several = settled(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "several")
+    if several.isEmpty():
+        return rows
+    again = spread_join(rows, several, "id", "left_semi")
+    joined = again.drop("lang").join(again.select("id", "lang"), "id")
+    return spread_join(rows, several, "id", "left_anti").unionByName(joined)
+
+
 def _followed(spark, d):
     """The corpus as a stream of versions out of order: some last versions first, then drafts of all, then all last versions."""
     arriving, out, marks = (fresh_path(spark, n) for n in ("versions", "followed", "stream"))
-    last = t.corpus(spark, d).join(t.documents(spark, d).select(F.col("doc_id").cast("string").alias("docid"), "lang"), "docid")
-    last = last.select(F.col("docid").alias("id"), F.lit(2).cast("long").alias("version"), tx.passage_text(F.col("title"), F.col("text")).alias("text"), "lang")
+    last = _corpus_texts(spark, d).select("id", F.lit(2).cast("long").alias("version"), "text", "lang")
     drafts = last.withColumns({"version": F.lit(1).cast("long"), "text": F.concat(F.lit("draft "), F.reverse("text"))})
     for shard in (last.where("lang in ('en', 'de')"), drafts, last):
-        shard.drop("lang").write.mode("append").parquet(arriving)
+        shard.drop("lang").write.mode("append").option("compression", "zstd").parquet(arriving)
         texts = incremental.arriving_texts(spark, arriving, "id string, version long, text string")
         running.follow_stream(texts, out, marks).awaitTermination()
+        # A stream reads a file once: those that it has come to the end of take no more room.
+        dropped(spark, arriving)
     return out
 
 
