@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -30,7 +30,6 @@ DENSE_KEPT = 4_000_000
 #: Documents that give the first bounds, and how many times as many there must be for that to be worth a pass.
 FLOOR_ROWS, FLOOR_SHARE = 100_000, 4
 PAIR_ROWS = 1_000_000
-CELL_ROWS = 200_000
 QUERY_BLOCK = 512
 #: Documents that a block of queries meets in one product.
 DOC_BLOCK = 8_192
@@ -189,6 +188,11 @@ def _index_table(place: str) -> str:
     return f"index_{hashlib.sha256(place.encode()).hexdigest()}"
 
 
+def _held(products: np.ndarray) -> np.ndarray:
+    """Products to nine digits; what is not a number counts as -1."""
+    return np.nan_to_num(np.rint(products * 1e9) / 1e9, nan=-1.0)
+
+
 class _Best:
     """Running best k per query inside one task: the smaller id first on equal scores."""
 
@@ -200,20 +204,23 @@ class _Best:
         self.lowest = np.full(n_queries, -np.inf) if floors is None else floors.copy()
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of query rows (in order) against ids, which are sorted."""
-        n = scores.shape[1]
-        floor = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else None
-        for at in np.flatnonzero(scores.max(axis=1) >= self.lowest[rows]):
+        """Products of query rows (in order) with ids, which are sorted; only those that can count are rounded."""
+        # What rounding can add to a product.
+        least = self.lowest[rows]
+        least = least - (1e-9 + 1e-14 * np.abs(least))
+        for at in np.flatnonzero(~(scores.max(axis=1) < least)):
             row, line = rows[at], scores[at]
-            if floor is None:
-                kept = np.flatnonzero(line >= self.lowest[row])
-            else:
-                above = np.flatnonzero(line > floor[at])
-                level = np.flatnonzero(line == floor[at])[: self.k - len(above)]
-                kept = np.concatenate([above, level])
-                kept = kept[line[kept] >= self.lowest[row]]
-            s = np.concatenate([self.scores[row], line[kept]])
-            d = np.concatenate([self.ids[row], ids[kept]])
+            near = np.flatnonzero(~(line < least[at]))
+            held = _held(line[near])
+            kept = held >= self.lowest[row]
+            held, near = held[kept], near[kept]
+            if len(held) > self.k:
+                floor = np.partition(held, len(held) - self.k)[len(held) - self.k]
+                above = np.flatnonzero(held > floor)
+                kept = np.concatenate([above, np.flatnonzero(held == floor)[: self.k - len(above)]])
+                held, near = held[kept], near[kept]
+            s = np.concatenate([self.scores[row], held])
+            d = np.concatenate([self.ids[row], ids[near]])
             if len(s) > self.k:
                 order = np.lexsort((d.astype(str), -s))[: self.k]
                 s, d = s[order], d[order]
@@ -246,11 +253,12 @@ def _score_batch(best: _Best, q_rows: np.ndarray, q_matrix: np.ndarray, batch: p
         some, names = docs[first : first + DOC_BLOCK].T, ids[first : first + DOC_BLOCK]
         for start in range(0, len(q_rows), QUERY_BLOCK):
             rows = q_rows[start : start + QUERY_BLOCK]
-            raw = q_matrix[rows] @ some
-            best.add(rows, np.nan_to_num(np.rint(raw * 1e9) / 1e9, nan=-1.0), names)
+            best.add(rows, q_matrix[rows] @ some, names)
 
 
 SCORED = "qid string, docid string, score double"
+#: The numbers of the cells that each of some query vectors looks into.
+Near = Callable[[np.ndarray], np.ndarray]
 
 
 def dense_topk(
@@ -271,24 +279,32 @@ def dense_topk(
     """
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
     docs = docs.select(F.col("id").cast("string").alias("id"), "embedding")
-    asked = queries.count()
-    chunks = max(1, math.ceil(asked / min(chunk_rows, max(1, chunk_kept // k))))
+    return _dense_chunks(queries, docs, k, min(chunk_rows, max(1, chunk_kept // k)), floor_rows)
+
+
+def _dense_chunks(queries: DataFrame, docs: DataFrame, k: int, chunk_rows: int, floor_rows: int, near: Near | None = None) -> DataFrame:
+    chunks = max(1, math.ceil(queries.count() / chunk_rows))
     sample = math.ceil(docs.count() / floor_rows)
     first = docs.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0) if sample >= FLOOR_SHARE else None
     if chunks == 1:
-        return _dense_chunk(queries, docs, first, k)
+        return _dense_chunk(queries, docs, first, k, near)
     spark, base = queries.sparkSession, fresh_path(queries.sparkSession, "found")
     for i in range(chunks):
-        found = _dense_chunk(queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i), docs, first, k)
+        found = _dense_chunk(queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i), docs, first, k, near)
         found.write.parquet(f"{base}/{i}")
     return spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(base)
 
 
-def _dense_chunk(queries: DataFrame, docs: DataFrame, first: DataFrame | None, k: int) -> DataFrame:
-    """One chunk of queries against all documents; `first` are the documents that give the floors."""
+def _dense_chunk(queries: DataFrame, docs: DataFrame, first: DataFrame | None, k: int, near: Near | None = None) -> DataFrame:
+    """One chunk of queries against all documents, or those of the cells that they look into; `first` are the documents
+    that give the floors."""
     sent, q_ids = _send_queries(queries)
+    nearest = near(sent.value) if near is not None and len(q_ids.value) else None
 
     def search(rows: DataFrame, floors) -> DataFrame:
+        if nearest is not None:
+            return _best(_in_cells(rows, sent, q_ids, nearest, k, floors), k)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matrix = sent.value
             best = _Best(len(q_ids.value), k, None if floors is None else floors.value)
@@ -298,7 +314,7 @@ def _dense_chunk(queries: DataFrame, docs: DataFrame, first: DataFrame | None, k
                     _score_batch(best, every, matrix, batch)
             yield from best.frames(q_ids.value)
 
-        return _best(rows.mapInPandas(run, SCORED), k)
+        return _best(rows.select("id", "embedding").mapInPandas(run, SCORED), k)
 
     if first is None:
         return search(docs, None)
@@ -315,29 +331,6 @@ def _send_queries(queries: DataFrame):
     return context.broadcast(_matrix(local["embedding"])), context.broadcast(local["id"].to_numpy(dtype=object))
 
 
-def _dense_by_cells(queries: DataFrame, docs: DataFrame, k: int, cell_rows: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """Each block of queries meets each block of documents once, in a task of bounded size.
-
-    With `on`, blocks meet only where these columns are equal.
-    """
-    q_cells = max(1, math.ceil(queries.count() / min(cell_rows, DENSE_QUERY_ROWS)))
-    d_cells = max(1, math.ceil(docs.count() / cell_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.withColumn("q_cell", place(q_cells)).withColumn("d_cell", every(d_cells))
-    right = docs.withColumn("d_cell", place(d_cells)).withColumn("q_cell", every(q_cells))
-    key = [*on, "q_cell", "d_cell"]
-
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(q), k)
-        if len(q) and len(d):
-            _score_batch(best, np.arange(len(q)), _matrix(q["embedding"]), d)
-        frames = list(best.frames(q["id"].to_numpy(dtype=object)))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=["qid", "docid", "score"], dtype=object)
-
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, SCORED)
-
-
 def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 1000, **limits) -> DataFrame:
     """Cosine search that leaves out a document with the query's own id and ranks what remains; limits as in dense_topk.
 
@@ -371,50 +364,47 @@ def dense_topk_cells(
     k: int = 1000,
     probes: int = 4,
     queries_fit: bool | None = None,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = DENSE_QUERY_ROWS,
+    floor_rows: int = FLOOR_ROWS,
 ) -> DataFrame:
     """Approximate inner-product search: a query sees the documents of its `probes` nearest cells, scored exactly.
 
-    With queries that fit, documents stay where they are, so a cell with a large share of them needs no shuffle.
-    A larger query set meets the documents by cell, in blocks of bounded size.
+    Documents stay where they are, so a cell with a large share of them needs no shuffle. Of a query set that does not
+    fit, chunks of at most `cell_rows` queries meet them as in dense_topk, each with floors from its own cells; the
+    documents are then stored once with their cells.
     """
     queries = queries.select(F.col("id").cast("string").alias("id"), "embedding")
     docs = celled_docs.select("id", "embedding", "cell")
     centers = np.asarray(centers, dtype=np.float64)
     if queries_fit is None:
         queries_fit = fits_broadcast(queries, DENSE_QUERY_ROWS)
+    near = lambda vectors: _nearest_cells(vectors, centers, probes)
     if not queries_fit:
-        return _best(_dense_by_cells(_probe(queries, centers, probes), docs, k, cell_rows, ("cell",)), k)
+        rows = max(1, min(cell_rows, DENSE_QUERY_ROWS, DENSE_KEPT // k))
+        # Files say little of how many rows a task gets, and every task has its share of all products.
+        dealt = settled(docs.repartition(docs.sparkSession.sparkContext.defaultParallelism), "celled")
+        return _dense_chunks(queries, dealt, k, rows, floor_rows, near)
     sent, q_ids = _send_queries(queries)
-    return _best(_in_cells(docs, sent, q_ids, _nearest_cells(sent.value, centers, probes), k), k)
+    return _best(_in_cells(docs, sent, q_ids, near(sent.value), k), k)
 
 
-def _in_cells(docs: DataFrame, sent, q_ids, nearest: np.ndarray, k: int) -> DataFrame:
-    """Scores of documents (id, embedding, cell) with the sent queries that look into their cell."""
+def _in_cells(docs: DataFrame, sent, q_ids, nearest: np.ndarray, k: int, floors=None) -> DataFrame:
+    """Scores of documents (id, embedding, cell) with the sent queries that look into their cell. Cells that the same
+    queries look into are scored together."""
     visitors = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
+    alike: dict[bytes, int] = {}
+    together = {c: alike.setdefault(rows.tobytes(), c) for c, rows in visitors.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(len(q_ids.value), k)
+        best = _Best(len(q_ids.value), k, None if floors is None else floors.value)
         for batch in batches:
-            for cell, part in batch.groupby("cell"):
-                rows = visitors.get(int(cell), np.empty(0, dtype=int))
-                if len(rows):
-                    _score_batch(best, rows, sent.value, part)
+            for cell, part in batch.groupby(batch["cell"].map(together)):
+                _score_batch(best, visitors[int(cell)], sent.value, part)
         yield from best.frames(q_ids.value)
 
     return docs.select("id", "embedding", "cell").mapInPandas(run, SCORED)
 
 
-def _probe(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """Each query once per cell it looks into."""
-
-    @F.pandas_udf("array<int>")
-    def cells(embeddings: pd.Series) -> pd.Series:
-        return pd.Series(_nearest_cells(_matrix(embeddings), centers, probes).tolist(), index=embeddings.index)
-
-    return queries.select("id", "embedding", F.explode(cells("embedding")).alias("cell"))
-
-
 def reduce_runs(runs: Sequence[DataFrame], depth: int = 100) -> DataFrame:
     """Best `depth` per query over the runs of several shards."""
     parts = [r.select("qid", "docid", "score") for r in runs]

@@ -1,12 +1,14 @@
-"""Streams of versions that leave little on disk."""
+"""Streams of versions that leave little on disk, and cells that many queries look into."""
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_running import batch_run, followed, versions
 
 from quillrank.functions import text as tx
+from quillrank.operators import search
 from quillrank.plans import stream_queries
 from quillrank.plans import tables as t
 from quillrank.session import shared_dir, shuffles_dropped
@@ -58,3 +60,49 @@ def test_shuffle_files_setting_is_put_back(spark):
         assert spark.conf.get(name) == "true"
         raise ValueError
     assert spark.conf.get(name, None) == before
+
+
+def vectors(spark, n, seed, parts):
+    rng = np.random.default_rng(seed)
+    vecs = rng.normal(size=(n, 6)).astype(np.float32)
+    rows = [(str(i), [float(x) for x in v]) for i, v in enumerate(vecs)]
+    return vecs.astype(float), spark.createDataFrame(rows, "id string, embedding array<float>").repartition(parts).cache()
+
+
+@pytest.mark.parametrize("probes", [8, 3])
+def test_many_queries_meet_cells_where_documents_lie(spark, monkeypatch, probes):
+    docs, d = vectors(spark, 2000, 1, 5)
+    asked, q = vectors(spark, 25, 2, 2)
+    centers = docs[:8]
+    cell = np.argmin((centers**2).sum(1)[None, :] - 2 * docs @ centers.T, axis=1)
+    celled = d.join(spark.createDataFrame([(str(i), int(c)) for i, c in enumerate(cell)], "id string, cell int"), "id")
+    handed, best = [], search._best
+    monkeypatch.setattr(search, "_best", lambda scored, k: handed.append(scored) or best(scored, k))
+    found = search.dense_topk_cells(q, celled, centers, 10, probes, queries_fit=False, cell_rows=10, floor_rows=300)
+    seen = np.argsort((centers**2).sum(1)[None, :] - 2 * asked @ centers.T, axis=1, kind="stable")[:, :probes]
+    want = []
+    for i in range(len(asked)):
+        scores = sorted((-round(float(asked[i] @ docs[j]), 9), str(j)) for j in range(len(docs)) if cell[j] in seen[i])
+        want += [(str(i), j, r) for r, (_, j) in enumerate(scores[:10], 1)]
+    rows = found.collect()
+    assert sorted((r["qid"], r["docid"], r["rank"]) for r in rows) == sorted(want)
+    # Documents are not moved to the queries, nor copied for each block of them.
+    plans = [s._jdf.queryExecution().executedPlan().toString() for s in handed]
+    assert all("Exchange" not in p and "CoGroups" not in p for p in plans)
+
+
+def test_best_of_products_with_ties_and_no_numbers():
+    rng = np.random.default_rng(5)
+    scores = np.rint(rng.normal(size=(7, 300)) * 3) / 3 + rng.normal(size=(7, 300)) * 1e-11
+    scores[1, ::7], scores[2], scores[3, :280] = np.nan, np.nan, -5.0
+    ids = np.array([f"{i:03d}" for i in range(300)], dtype=object)
+    held = np.nan_to_num(np.rint(scores * 1e9) / 1e9, nan=-1.0)
+    order = [np.lexsort((ids.astype(str), -line))[:9] for line in held]
+    for floors in (None, np.array([line[o].min() for line, o in zip(held, order)])):
+        best = search._Best(7, 9, floors)
+        for part in np.array_split(rng.permutation(300), 6):
+            part = np.sort(part)
+            best.add(np.arange(7), scores[:, part], ids[part])
+        for q in range(7):
+            got = sorted(zip(-best.scores[q], best.ids[q]))[:9]
+            assert got == sorted(zip(-held[q][order[q]], ids[order[q]]))
