@@ -41,13 +41,15 @@ class TokenLists(WordTokenizer):
 
 
 def _slice() -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int").alias("slice")
+    return F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int")
 
 
 def _in_turn(terms: int) -> list[Column]:
-    """Conditions that part the slices so that each has about SHUFFLED_TERMS of this many terms."""
+    """Conditions that part the slices so that each has about SHUFFLED_TERMS of this many terms. Rows written down without
+    a slice, as they were before, have that of their id."""
     n = min(SLICES, max(1, math.ceil(terms / SHUFFLED_TERMS)))
-    return [F.col("slice").isin(list(range(i, SLICES, n))) for i in range(n)]
+    written = F.col("slice")
+    return [written.isin(own) | (written.isNull() & _slice().isin(own)) for own in (list(range(i, SLICES, n)) for i in range(n))]
 
 
 def version_terms(versions: DataFrame, tokenizer=LEXICAL) -> DataFrame:

@@ -36,6 +36,27 @@ def test_versions_meet_some_slices_at_a_time(spark, monkeypatch, at_once):
     assert parts == {0} if at_once > 1000 else len(parts) > 1
 
 
+def test_versions_written_down_without_slices_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(running, "SHUFFLED_TERMS", 2)
+    rows = [(f"d{i}", 1, f"a w{i % 3} w{i}") for i in range(12)]
+    terms = running.version_terms(spark.createDataFrame(rows, "id string, version long, text string"))
+    changes = running.term_changes(terms, spark.createDataFrame([], running.VERSIONS))
+    changes.write.parquet(f"{tmp_path}/changes/batch_id=0")
+    frequencies, postings, n = batch_run(spark, rows)
+    totals = spark.createDataFrame([(None, n), *frequencies], running.TOTALS)
+    totals.write.parquet(f"{tmp_path}/totals/batch_id=0")
+    assert sorted(map(tuple, running.postings(spark, str(tmp_path)).collect())) == postings
+
+
+def test_slices_are_folders_that_a_turn_reads_alone(spark, monkeypatch, capsys):
+    out = followed(spark, [versions()])
+    monkeypatch.setattr(running, "SHUFFLED_TERMS", 1)
+    own = running._in_turn(running.SLICES)[3]
+    running._counted(spark, out, [0]).where(own).explain()
+    plan = capsys.readouterr().out
+    assert "slice" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
 def test_versions_that_were_followed_are_dropped(spark, tmp_path):
     rows = [(1, "a b", "en", "s"), (2, "b c c", "fr", None), (3, None, "de", "q"), (None, "x", "en", "s"), (2, "b d", "en", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
